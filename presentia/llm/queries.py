@@ -1,9 +1,10 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import quality_rules
+from presentia.llm import mixing, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op3_mix_sources": mixing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
