@@ -1,8 +1,9 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import mixing, quality_rules
+from presentia.llm import mixing, quality_rules, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
     "op2_quality_rules": quality_rules.query,
     "op3_mix_sources": mixing.query,
 }
