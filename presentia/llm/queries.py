@@ -1,11 +1,12 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import mixing, quality_rules, simhash
+from presentia.llm import bpe, mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_quality_rules": quality_rules.query,
     "op3_mix_sources": mixing.query,
+    "op5_byte_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
