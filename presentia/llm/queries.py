@@ -1,12 +1,14 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import bpe, mixing, quality_rules, simhash
+from presentia.llm import bpe, line_dedup, mixing, order_minhash, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_quality_rules": quality_rules.query,
     "op3_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
+    "op6_line_dedup": line_dedup.query,
+    "op10_order_minhash": order_minhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
