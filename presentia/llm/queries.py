@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import bpe, line_dedup, mixing, order_minhash, quality_rules, simhash
+from presentia.llm import bpe, html_text, line_dedup, mixing, order_minhash, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
     "op6_line_dedup": line_dedup.query,
+    "op8_html_text": html_text.query,
     "op10_order_minhash": order_minhash.query,
 }
 
