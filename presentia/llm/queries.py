@@ -1,11 +1,12 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import bpe, html_text, line_dedup, mixing, order_minhash, quality_rules, simhash, toxicity
+from presentia.llm import bpe, html_text, line_dedup, mixing, order_minhash, pitman_yor, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_quality_rules": quality_rules.query,
     "op3_mix_sources": mixing.query,
+    "op4_pitman_yor": pitman_yor.query,
     "op5_byte_bpe": bpe.query,
     "op6_line_dedup": line_dedup.query,
     "op8_html_text": html_text.query,
