@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import bpe, html_text, line_dedup, mixing, order_minhash, pitman_yor, quality_rules, simhash, toxicity
+from presentia.llm import bpe, html_text, kneser_ney, line_dedup, mixing, order_minhash, pitman_yor, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pitman_yor": pitman_yor.query,
     "op5_byte_bpe": bpe.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_kneser_ney": kneser_ney.query,
     "op8_html_text": html_text.query,
     "op9_toxicity": toxicity.query,
     "op10_order_minhash": order_minhash.query,
