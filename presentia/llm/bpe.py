@@ -37,7 +37,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END, LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, LAST, SPACE = range(9)  # classes
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, GLUED, IN_SPACE, ONE_MORE, TWO_MORE = range(8)  # states
 BLOCK = 128
-PIECE = 1 << 21  # code points handled together
+PIECE = 1 << 19  # code points handled together
 WORDS_KEPT = 300_000  # in a worker's cache
 LONG_WORD = 40  # bytes; longer ones are merged one by one
 NONE = np.int32(2**31 - 1)
@@ -311,12 +311,12 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary(shared.value)
         for batch in batches:
-            rows = []
             for run in pieces([t or "" for t in batch]):
+                rows = []
                 for ids in vocab.encode(run):
                     ends = np.cumsum(vocab.lengths[ids]).astype("<u4").tobytes()
                     rows.append((len(ids), ids.astype("<u4").tobytes(), ends, vocab.decode(ids) if decode else None))
-            yield pd.DataFrame(rows, columns=RESULT.names)
+                yield pd.DataFrame(rows, columns=RESULT.names)
 
     docs = docs.drop(*RESULT.names).withColumn("_encoded", encode(text))
     return docs.select("*", "_encoded.*").drop("_encoded")
