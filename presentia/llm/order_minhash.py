@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from presentia.llm.common import cut, let, ranked, read_table
 
@@ -76,28 +77,27 @@ def as_string(s: Column) -> Column:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """(_id, _next, _third) for each id of (_id, _n): the next smaller id, cyclically, and a third of its own length."""
-    by = ranked(ids.groupBy("_id").agg(F.max("_n").alias("_n")), [F.col("_id").desc_nulls_last()], "_at")
-    by = cut(by)
+    """(_id, _next, _before, _third) for each id of (_id, _n): the next smaller id and the next larger, cyclically, and a third of its own length."""
+    by = cut(ranked(ids.groupBy("_id").agg(F.max("_n").alias("_n")), [F.col("_id").desc_nulls_last()], "_at"))
     total = max(1, by.count())
-    roles = F.array(
-        F.struct(F.col("_at").alias("slot"), F.struct("_id", "_n").alias("own"), F.lit(None).cast("struct<_id:bigint>").alias("next")),
-        F.struct(F.pmod(F.col("_at") - 1, F.lit(total)).alias("slot"), F.lit(None).cast("struct<_id:bigint,_n:int>").alias("own"), F.struct("_id").alias("next")),
-    )
-    met = by.select(F.explode(roles).alias("r")).groupBy("r.slot").agg(F.max("r.own").alias("own"), F.max("r.next").alias("next"))
-    return met.select("own._id", F.col("next._id").alias("_next"), F.floor(F.col("own._n") / 3).cast("int").alias("_third"))
+    here = F.struct("_id", "_n")
+    empty = F.lit(None).cast("struct<_id:bigint,_n:int>")
+    role = lambda shift, at: F.struct(F.pmod(F.col("_at") + shift, F.lit(total)).alias("slot"), *[(here if i == at else empty).alias(c) for i, c in enumerate(("own", "next", "before"))])
+    met = by.select(F.explode(F.array(role(0, 0), role(-1, 1), role(1, 2))).alias("r"))
+    met = met.groupBy("r.slot").agg(*[F.max(f"r.{c}").alias(c) for c in ("own", "next", "before")])
+    return met.select("own._id", F.col("next._id").alias("_next"), F.col("before._id").alias("_before"), F.floor(F.col("own._n") / 3).cast("int").alias("_third"))
 
 
 def with_next_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _text, _next, _head): each document beside the id of the next and the beginning of its text."""
+    """(_id, _text, _before, _head): each document beside the id of the one before and the beginning of the next one's text."""
     docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     after = cut(followers(docs.select("_id", F.length("_text").alias("_n"))))
     ahead = after.select(F.col("_id").alias("_for"), F.col("_next").alias("_of"), "_third")
     heads = docs.join(ahead, docs["_id"].eqNullSafe(ahead["_of"])).select("_for", F.substring(F.col("_text"), F.lit(1), F.col("_third")).alias("_head"))
     heads = heads.groupBy("_for").agg(F.min("_head").alias("_head"))
-    after = after.select(F.col("_id").alias("_own"), "_next")
-    near = heads.join(after, heads["_for"].eqNullSafe(after["_own"])).select("_for", "_head", "_next")
-    return docs.join(near, docs["_id"].eqNullSafe(near["_for"])).select("_id", "_text", "_next", "_head")
+    after = after.select(F.col("_id").alias("_own"), "_before")
+    near = heads.join(after, heads["_for"].eqNullSafe(after["_own"])).select("_for", "_head", "_before")
+    return docs.join(near, docs["_id"].eqNullSafe(near["_for"])).select("_id", "_text", "_before", "_head")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -106,12 +106,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     n = F.length("_text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - third), F.substring(F.col("_head"), F.lit(1), third))
-    rows = rows.select("_id", "_next", n.cast("long").alias("n_chars"), "_text", edited.alias("_edited"))
-    rows = rows.select("_id", "_next", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), sketch(F.col("_text")).alias("_own"), sketch(F.col("_edited")).alias("_changed"))
-    rows = cut(rows)
-    others = rows.groupBy(F.col("_id").alias("_other")).agg(F.min("_own").alias("_theirs"))
-    rows = rows.join(others, F.col("_next").eqNullSafe(F.col("_other")))
-    return rows.select(
-        F.col("_id").alias("doc_id"), "n_chars", "edited_sha256", as_string(F.col("_own")).alias("fingerprint"), as_string(F.col("_changed")).alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_changed")).alias("near_edited"), likeness(F.col("_own"), F.col("_theirs")).alias("near_next"),
+    rows = rows.select("_id", "_before", n.cast("long").alias("n_chars"), "_text", edited.alias("_edited"))
+    rows = rows.select("_id", "_before", "n_chars", F.sha2("_edited", 256).alias("sha"), sketch(F.col("_text")).alias("own"), sketch(F.col("_edited")).alias("changed"))
+    # a record that stays at the document, and one that takes its fingerprint to the document before
+    none = F.lit(None).cast("array<long>")
+    stays = F.struct(F.col("_id").alias("at"), "n_chars", "sha", "own", "changed", none.alias("next"))
+    goes = F.struct(F.col("_before").alias("at"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("sha"), none.alias("own"), none.alias("changed"), F.col("own").alias("next"))
+    sent = rows.select(F.explode(F.array(stays, goes)).alias("r")).select("r.*")
+    met = sent.withColumn("theirs", F.min("next").over(Window.partitionBy("at"))).where(F.col("own").isNotNull())
+    return met.select(
+        F.col("at").alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), as_string(F.col("own")).alias("fingerprint"), as_string(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("theirs")).alias("near_next"),
     )
