@@ -93,7 +93,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     rates = sizes.join(solved, "_rank", "left").withColumn("rate", F.when(F.col("size") > 0, rate(F.col("_lambda"), F.col("size").cast("double"), mean, most)).otherwise(F.lit(1.0)))
     salt = F.pmod(F.xxhash64(F.lit(11), "_id"), F.ceil(F.col("_docs") / cell))
     row = F.struct((-F.col("size")).alias("short"), F.xxhash64(F.lit(12), "_id").alias("tie"), F.col("_id").alias("id"), "rate")
-    cells = rates.groupBy("_rank", salt.alias("_salt")).agg(
+    rates = rates.withColumn("_salt", salt).repartition("_rank", "_salt")  # else a large source's cells would share a task
+    cells = rates.groupBy("_rank", "_salt").agg(
         *[F.first(c).alias(c) for c in ("_source", "source_size", "target")], F.sort_array(F.collect_list(row)).alias("rows")
     )  # about `cell` rows each
     size = lambda x: -x["short"].cast("double")
