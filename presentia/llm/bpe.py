@@ -123,15 +123,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(base), run(inverse)
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices of a byte array: differences of one polynomial prefix sum."""
-    n = 1 << int(len(data)).bit_length()
-    up, down = _powers(n)
-    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]))
-    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 19) -> np.ndarray:
+    """64-bit hashes of slices, in order, of a byte array: differences of a polynomial prefix sum, a stretch of bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + stretch, side="right")))
+        low, high = int(starts[first]), int(ends[last - 1])
+        up, down = _powers(1 << int(max(high - low, stretch)).bit_length())
+        sums = np.append(np.uint64(0), np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low]))
+        a, b = starts[first:last] - low, ends[first:last] - low
+        out[first:last] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        first = last
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
 
 
 class Vocabulary:
