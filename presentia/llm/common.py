@@ -23,9 +23,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``. Only where that is
     unset (tests in local mode) is a temporary one made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -53,3 +51,11 @@ def ranked(keys: DataFrame, order: list, name: str = "rank", partitions: int | N
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, also where ``body`` uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; a temporary one only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()

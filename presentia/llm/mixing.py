@@ -114,6 +114,15 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     )
 
 
+def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; rows equal in id, source and size share a decision."""
+    mix = mix_sources(docs, doc_id, text, source, **how)
+    mix = mix.groupBy(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    same = docs[doc_id].eqNullSafe(mix["_id"]) & docs[source].eqNullSafe(mix["_source"]) & (size_of(docs[text]) == mix["_size"])
+    taken = docs.join(mix, same).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_source", "_size", "_copies", "_copy")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: what the mix takes of every document."""
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")

@@ -139,6 +139,13 @@ def quality_rules(
     return df.drop("_lang", "_words", "_chars", "_common", "_len", "_rest", "_lines", "_at", "_ref_chars", "_ref_common")
 
 
+def accepted(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their counts."""
+    # A filter on the row number as well isn't pushed below the projections, which would write the verdict's whole expression out again and again.
+    judged = quality_rules(docs, **how).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: every document with its counts, distances and verdict."""
     names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed char_distance word_distance kept".split()
