@@ -141,10 +141,11 @@ def token_counts(pages: DataFrame, html: str) -> DataFrame:
 def learn_weights(pages: DataFrame, url: str, html: str, sample: int = 2000, vocabulary: int = 2000, strength: float = 50.0) -> dict[str, float]:
     """Scores by kind of token: the prior, moved by the log ratio of its shares inside and outside articles.
 
-    Labelled pages have an <article> or <main>; at most ``sample`` of them are used.
+    Labelled pages have an <article> or <main>; those with the ``sample`` smallest hashes of the url are used.
     """
     labelled = pages.where(F.col(html).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html), F.xxhash64(url).alias("_order"))
-    chosen = labelled.orderBy("_order").limit(sample)
+    last = labelled.select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
+    chosen = labelled.where(F.col("_order") <= F.lit(last))  # stays where it is: only hashes are sorted
     rows = token_counts(chosen, html).orderBy(F.desc(F.col("inside") + F.col("outside"))).limit(vocabulary).collect()  # bounded by vocabulary
     inside, outside = sum(r.inside for r in rows) + 1, sum(r.outside for r in rows) + 1
     weights = {}
