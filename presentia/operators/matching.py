@@ -17,6 +17,8 @@ from presentia.functions import dna
 STRIDE = 1 << 16
 #: Markers below this length give useless seeds.
 SHORT = 10
+#: Longest seed; more bases don't make it rarer.
+SEED = 32
 #: At most so many bases of a window are kept for the first comparison; longer markers are verified on the chunk.
 WINDOW = 64
 #: Most markers, and most of their bases, that are broadcast to all tasks.
@@ -48,7 +50,7 @@ def seeded(pieces: DataFrame, markers: DataFrame, seed: int, longest: int, broad
     Windows stop at breaks by themselves. With ``broadcast`` off the join is
     shuffled by seed, and Spark splits seeds that are very frequent.
     """
-    width = min(longest, WINDOW)
+    seed, width = min(seed, SEED), min(longest, WINDOW)
     windows = F.array_distinct(F.regexp_extract_all("chunk", F.lit(f"(?=([ACGT]{{{seed},{width}}}))"), F.lit(1)))
     starts = pieces.select("genome_id", "chunk_no", F.explode(windows).alias("window")).withColumn("seed", F.left("window", F.lit(seed)))
     wanted = markers.select("seq", "length", F.left("seq", F.lit(seed)).alias("seed"), F.left("seq", F.lit(width)).alias("head"))

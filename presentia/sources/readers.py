@@ -51,7 +51,10 @@ def read_genomes(spark: SparkSession, manifest: str, base_dir: str | None = None
     found = read_genome_files(spark, paths, first_line_only).select(key(F.col("path")).alias("_key"), "seq")
     wanted = listed.withColumn("_key", F.regexp_replace("path", "^[a-z]+:/*", "/"))
     wanted = wanted.withColumn("_key", F.regexp_replace("_key", "/\\./", "/"))
-    return wanted.join(found, "_key").select(F.col("ordinal").cast("long").alias("genome_id"), "name", "seq")
+    if stray := found.select("_key").join(wanted.select("_key"), "_key", "left_anti").head(1):
+        raise ValueError(f"{stray[0]._key} isn't a path of the manifest")
+    # Spark's reader gives no row for an empty file, which is an empty genome
+    return wanted.join(found, "_key", "left").select(F.col("ordinal").cast("long").alias("genome_id"), "name", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def read_markers(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from presentia.plans import planner
 
 def read_genome_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
     """(name, seq) of the files that appear in a folder, plain or FASTA."""
-    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder, wholetext=True)
     return files.select(dna.basename(F.col("_metadata.file_path")).alias("name"), dna.normalise(dna.clean_fasta(F.col("value"))).alias("seq"))
 
 
