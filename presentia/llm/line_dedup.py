@@ -87,7 +87,7 @@ def aligned(a: list[int], b: list[int]) -> dict[int, int]:
 
 
 def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_words: int) -> list[int]:
-    """Positions of ``later`` in aligned blocks of ``min_words`` or more, aligned again until there are none."""
+    """Positions of ``later`` in aligned blocks of ``min_words`` or more; what is left is aligned again until nothing is common."""
     left = list(range(len(later)))
     gone: set[int] = set()
     while True:
@@ -100,10 +100,12 @@ def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_w
                 blocks.append([left[k]])
             before = k
         found = {i for block in blocks if sum(words[i] for i in block) >= min_words for i in block}
-        if not found:
+        if not match:
             return sorted(gone)
         gone |= found
-        left = [i for i in left if i not in found]
+        # short blocks are set aside first, as they may stand in the way of longer ones that moved
+        aside = found or {left[k] for k in match}
+        left = [i for i in left if i not in aside]
 
 
 def line_dedup(
