@@ -31,6 +31,7 @@ COMMON_WORDS = {
 # Character classes after lower-case a to z and white space; a last bin has the rest.
 CLASSES = ["[A-Z]+", r"[^\x00-\x7F]+", "[0-9]+", "[.,;:!?'\"()-]+"]
 SYMBOLS = "[^#*$%&|<>]+"
+SPACES = r"[\x20\x09-\x0D]+"
 #: Windows of up to so many words have their number packed beside 49 bits of hash into one long.
 PACK_BITS = 15
 
@@ -76,7 +77,7 @@ def histograms(df: DataFrame, text: str, lang: str) -> DataFrame:
     known = F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise(F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"_words": words_of(F.col(text)), "_lang": known, "_len": F.length(body), "_dense": F.regexp_replace(body, "[a-z]+", "")})
-    df = df.withColumns({"_rest": F.regexp_replace("_dense", r"[\x20\x09-\x0D]+", "")})
+    df = df.withColumns({"_rest": F.regexp_replace("_dense", SPACES, "")})
     of_class = [F.length("_rest") - F.length(F.regexp_replace("_rest", c, "")) for c in CLASSES]
     sums = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     chars = F.array(*[x.cast("double") for x in (F.col("_len") - F.length("_dense"), F.length("_dense") - F.length("_rest"), *of_class)])
@@ -147,6 +148,33 @@ def accepted(docs: DataFrame, **how) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: every document with its counts, distances and verdict."""
-    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed char_distance word_distance kept".split()
+    """op2: every document with its counts and verdict."""
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
     return quality_rules(read_table(spark, sf_dir, "documents")).select(*names)
+
+
+def oracle_sql(max_char_distance: float = 0.18, max_word_distance: float = 0.4) -> str:
+    """The same rows in DuckDB's SQL."""
+    listed = " ".join(f"WHEN lang = '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items())
+    gone = lambda x, cls: f"regexp_replace({x}, '{cls}', '', 'g')"
+    classes = ", ".join(f"(length(rest) - length({gone('rest', c.replace(chr(39), chr(39) * 2))}))::DOUBLE" for c in CLASSES)
+    times = "(CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END)"
+    term = " + ".join(times.format(f"x[{i}]") for i in (1, 2)) + " - " + times.format("(x[1] + x[2])")
+    distance = lambda p, q: f"sqrt(greatest(0, 1 + list_sum(list_transform(list_zip({p}, {q}), lambda x: {term})) / 2))"
+    share = lambda a: f"list_transform({a}, lambda v: v / nullif(list_sum({a}), 0))"
+    far = " OR ".join(f"coalesce(CASE WHEN len >= 200 THEN {distance(share(h), share(f'q{h}'))} END, 0) > {most}" for h, most in (("ch", max_char_distance), ("wo", max_word_distance)))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(repr(k) for k in COMMON_WORDS)}) THEN lang ELSE '' END AS lang FROM documents),
+w AS (SELECT row_number() OVER () AS r, doc_id, t, lang, length(t) AS len, regexp_extract_all(t, '{WORD}') AS ws, {gone('t', '[a-z]+')} AS dense, CASE {listed} ELSE [] END AS common FROM d),
+x AS (SELECT *, {gone('dense', SPACES)} AS rest, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines,
+  list_transform(common, lambda c: len(list_filter(ws, lambda v: v = c OR v = upper(c) OR v = upper(c[1]) || c[2:]))::DOUBLE) AS own FROM w),
+h AS (SELECT *, list_append(part, greatest(0, len - coalesce(list_sum(part), 0))) AS ch, list_append(own, greatest(0, len(ws) - coalesce(list_sum(own), 0))) AS wo
+  FROM (SELECT *, [(len - length(dense))::DOUBLE, (length(dense) - length(rest))::DOUBLE, {classes}] AS part FROM x)),
+refs AS (SELECT lang, list(c ORDER BY i) AS qch FROM (SELECT lang, i, quantile_disc(v, 0.5) AS c FROM (SELECT lang, unnest(ch) / len AS v, generate_subscripts(ch, 1) AS i FROM h WHERE len(ws) >= 50) GROUP BY lang, i) GROUP BY lang),
+refw AS (SELECT lang, list(c ORDER BY i) AS qwo FROM (SELECT lang, i, avg(v) AS c FROM (SELECT lang, unnest(wo) / len(ws) AS v, generate_subscripts(wo, 1) AS i FROM h WHERE len(ws) >= 50) GROUP BY lang, i) GROUP BY lang),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, sum(coalesce(least(3, following - i), 3))::BIGINT AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS following FROM g WHERE n > 1) GROUP BY r),
+b AS (SELECT h.*, qch, qwo, len(ws)::BIGINT AS n_words, coalesce(rep.n_repeat_words, 0) AS n_repeat_words FROM h LEFT JOIN refs USING (lang) LEFT JOIN refw USING (lang) LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length({gone('rest', SYMBOLS)})::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({far}) AS kept FROM f"""
