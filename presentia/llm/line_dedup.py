@@ -133,7 +133,8 @@ def line_dedup(
 
     removed = met.select("id", F.explode(repeated("l.hash", "l.words", "earlier")).alias("at"))
     removed = removed.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("removed_lines"))  # positions of one document
-    out = docs.join(removed, docs[doc_id] == removed["id"], "left").drop("id")
+    removed = removed.withColumnRenamed("id", "_of")
+    out = docs.join(removed, docs[doc_id] == removed["_of"], "left").drop("_of")
     out = out.withColumns({"removed_lines": F.coalesce("removed_lines", F.array().cast(POSITIONS)), "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long")})
     out = out.withColumn("n_removed", F.size("removed_lines").cast("long"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed_lines"))

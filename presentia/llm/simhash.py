@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = components(links(nodes))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    label = cut(rooted.join(first, "root").select("fp", "component_id"))
-    return fps.join(label, fps["_fp"] == label["fp"]).drop("fp")
+    label = cut(rooted.join(first, "root").select(F.col("fp").alias("_of"), "component_id"))
+    return fps.join(label, fps["_fp"] == label["_of"]).drop("_of")
 
 
 #: Segments of the wide fingerprint, 23 bits each, and which two make a key: neighbours on a ring.
