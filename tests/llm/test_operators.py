@@ -461,6 +461,14 @@ def test_empty_tables(spark):
         assert out.collect() == []
 
 
+def test_columns_with_clashing_names_stay(spark):
+    names = ["id", "fp", "key", "hash", "words", "a", "b", "n", "size", "token", "w", "high", "low", "root", "owner", "count"]
+    docs = documents(spark, ["one two three four five six seven eight", "one two three four five six seven eight nine"]).withColumns({c: F.lit(c) for c in names})
+    for out in (simhash.near_duplicates(docs), simhash.deduplicate(docs), quality_rules.quality_rules(docs), mixing.repeat_documents(docs), bpe.encode_documents(docs), line_dedup.line_dedup(docs)):
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in names)
+
+
 def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "alpha beta gamma delta", "en", None, None), (1, "alpha beta gamma delta", None, "s", None), (1, "alpha beta gamma delta", None, "s", None), (None, None, None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
