@@ -190,50 +190,74 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(label, fps["_fp"] == label["_of"]).drop("_of")
 
 
-#: Segments of the wide fingerprint, 23 bits each, and which two make a key: neighbours on a ring.
-WIDE = 5
-WIDE_FIELDS = T.StructType([T.StructField("key", T.StringType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
+#: Segments of the wide fingerprint, 23 bits each; samples of shingles, and the segments that go with each.
+WIDE, ANCHORS, BESIDE = 5, 8, 2
+WIDE_FIELDS = T.StructType([T.StructField("key", T.StringType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("anchors", LONGS)])
 PROPER, FEW_PROPER = 5, 5
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
+def mix(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    h = h ^ np.uint64(salt * 0x632BE59BD9B4E019 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(words: list[bytes], hashes: np.ndarray) -> tuple[int, int]:
     """A 128-bit SimHash of the distinct words of at least PROPER bytes (of all, if there are few), as two signed numbers.
 
     An edit touches one word but ``n`` shingles, so that texts whose shingles
     agree to 80 % differ here in about 7 % of bits rather than 15 %.
     """
-    every = set(words)
-    chosen = [w for w in every if len(w) >= PROPER]
-    if len(chosen) < FEW_PROPER:
-        chosen = list(every)
+    proper = np.unique(hashes[np.array([len(w) >= PROPER for w in words], bool)])
+    chosen = proper if len(proper) >= FEW_PROPER else np.unique(hashes)
     ones = np.zeros(128, np.int64)
     for at in range(0, len(chosen), SLICE):
-        data = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED) for w in chosen[at : at + SLICE]]), np.uint8)
-        ones += np.unpackbits(data.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+        part = chosen[at : at + SLICE]
+        bits = np.unpackbits(np.column_stack([part, mix(part, 1)]).view(np.uint8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
     return tuple(int(x) for x in np.packbits(2 * ones > len(chosen)).view(">i8"))
 
 
-@F.pandas_udf(WIDE_FIELDS)
-def wide_of(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        words = words_of(text)
-        rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), *wide_fingerprint(words)))
-    return pd.DataFrame(rows, columns=WIDE_FIELDS.names)
+def anchors_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of a text's n-word shingles in each of ANCHORS orders."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    joined = np.zeros(max(1, len(hashes) - n + 1), np.uint64)
+    for i in range(min(n, len(hashes))):
+        joined = joined * ODD + hashes[i : i + len(joined)]
+    return np.array([mix(joined, s + 2).min() for s in range(ANCHORS)], np.uint64).view(np.int64)
+
+
+def wide_marks(n: int):
+    """A column function: a text's words as one hash, its wide fingerprint and its anchors."""
+
+    @F.pandas_udf(WIDE_FIELDS)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            words = words_of(text)
+            hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), *wide_fingerprint(words, hashes), anchors_of(hashes, n)))
+        return pd.DataFrame(rows, columns=WIDE_FIELDS.names)
+
+    return of
 
 
 @F.pandas_udf(LONGS)
-def wide_keys(high: pd.Series, low: pd.Series) -> pd.Series:
-    """Join keys: a nearby codeword of one segment, one of the next, and which they are."""
+def wide_keys(high: pd.Series, low: pd.Series, sample: pd.Series) -> pd.Series:
+    """Golay keys of the segments that go with a sample: a nearby codeword's index, and which segment."""
     h, lo = (x.to_numpy(np.int64).view(np.uint64) for x in (high, low))
     mask = np.uint64((1 << 23) - 1)
     joint = (h << np.uint64(18)) | (lo >> np.uint64(46))
-    parts = [h & mask, (h >> np.uint64(23)) & mask, lo & mask, (lo >> np.uint64(23)) & mask, joint & mask]
-    near = [codeword_indices(p.astype(np.int64)) for p in parts]
+    parts = np.stack([x & mask for x in (h, h >> np.uint64(23), lo, lo >> np.uint64(23), joint)]).astype(np.int64)
     keys = []
-    for i in range(WIDE):
-        a, b = near[i][:, :, None], near[(i + 1) % WIDE][:, None, :]
-        keys.append(np.where((a >= 0) & (b >= 0), ((a << 12) | b) * 8 + i, -1).reshape(len(h), -1))
+    for i in range(BESIDE):
+        segment = (sample.to_numpy(np.int64) + i) % WIDE
+        near = codeword_indices(parts[segment, np.arange(len(h))])
+        keys.append(np.where(near >= 0, near * 8 + segment[:, None], -1))
     both = np.concatenate(keys, axis=1)
     return pd.Series([row[row >= 0] for row in both])
 
@@ -247,21 +271,23 @@ def shingle_set(text, n: int):
 
 
 def similar_pairs(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between nodes (id, high, low), and the ids whose buckets were too full to compare all.
+    """Verified links (a, b) between nodes (id, high, low, anchors), and the ids whose buckets were too full to compare all.
 
-    In a bucket of more than ``few`` nodes each is compared with five leaders only.
+    A bucket is an anchor, the smallest shingle in one of several orders, with a
+    Golay key. In one of more than ``few`` nodes each is compared with the smallest id only.
     """
-    keyed = nodes.select("id", "high", "low", F.explode(wide_keys("high", "low")).alias("key"))
-    salts = range(4)
-    leaders = [F.min("id").alias("l0"), *[F.min_by("id", F.xxhash64(F.lit(s), "id")).alias(f"l{s + 1}") for s in salts]]
-    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1"))
-    met = cut(keyed.join(sizes, "key").select("key", "id", "n", "l0", "l1", "l2", "l3", "l4"))
-    group = met.where(F.col("n") <= few).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    spread = nodes.select("id", "high", "low", F.posexplode("anchors").alias("sample", "anchor"))
+    shared = spread.groupBy("sample", "anchor").count().where("count > 1").select("sample", "anchor")
+    keyed = spread.join(shared, ["sample", "anchor"], "left_semi").select("id", "sample", "anchor", F.explode(wide_keys("high", "low", "sample")).alias("key"))
+    keyed = cut(keyed.select("id", F.xxhash64("sample", "anchor", "key").alias("bucket")))
+    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"))
+    met = keyed.join(sizes, "bucket")
+    group = met.where(F.col("n") <= few).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
     after = lambda a: lambda b: b > a
     pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", after(a)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     direct = group.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
     full = met.where(F.col("n") > few)
-    led = full.select(F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3", "l4"))).alias("l"), "id").select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b"))
+    led = full.select(F.col("leader").alias("a"), F.col("id").alias("b"))
     found = direct.union(led.where("a != b")).distinct()
     bits = lambda side: nodes.select(F.col("id").alias(side), F.col("high").alias(f"{side}_high"), F.col("low").alias(f"{side}_low"))
     apart = F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) + F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")))
@@ -277,12 +303,13 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, few: int = 16, most_bits: int = 26, rounds: int = 6) -> DataFrame:
     """The rows of ``docs`` that stay: of texts linked by equal words or by shingle sets alike to ``similarity``, the smallest id.
 
-    Candidates share a Golay key of the wide fingerprint. Nodes of full buckets
-    that no leader took are compared again among themselves, until none are left
-    or nothing changes. Rows without an id stay.
+    Candidates share an anchor shingle and a Golay key of the wide fingerprint: of
+    its five segments one differs in 2 bits or fewer if all differ in 14 or
+    fewer. Nodes of full buckets that no leader took are compared again among
+    themselves, until none are left or nothing changes. Rows without an id stay.
     """
-    marked = cut(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), wide_of(F.col(text)).alias("w")).select("id", "w.*"))
-    nodes = cut(marked.groupBy("key").agg(F.min("id").alias("id"), F.first("high").alias("high"), F.first("low").alias("low")).select("id", "high", "low"))
+    marked = cut(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), wide_marks(words)(F.col(text)).alias("w")).select("id", "w.*"))
+    nodes = cut(marked.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("high", "low", "anchors")]).drop("key"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     stay, todo = nodes.select("id"), nodes
     for _ in range(rounds):
