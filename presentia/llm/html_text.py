@@ -43,7 +43,7 @@ NEVER = frozenset("nav footer aside form menu dialog button head".split()) | RAW
 # Words in class, id and role that name what is not content.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|wrap\w*|container|block)|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar|widget|related|recommend\w*|"
-    r"share|sharing|social|newsletter|subscribe|signup|login|comments?|commentlist|replies|respond|disqus|footer|masthead|pagination|pager|toolbar|search|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"share|sharing|social|newsletter|subscribe|signup|login|comments?|commentlist|replies|responses?|respond|discussion|feedback|disqus|footer|masthead|pagination|pager|toolbar|search|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
