@@ -24,6 +24,7 @@ a component; an empty table gives an empty result; other columns stay as they ar
 from __future__ import annotations
 
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -92,14 +93,12 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     patterns = np.full((2048, 6), -1, np.int64)
     low = np.array([np.bitwise_xor.reduce([unit[i] for i in range(12) if x >> i & 1] or [0]) for x in range(4096)])
     high = np.array([np.bitwise_xor.reduce([unit[i + 12] for i in range(11) if x >> i & 1] or [0]) for x in range(2048)])
-    every = np.arange(1 << 23)
-    weight = np.bitwise_count(every)
     for w in (0, 1, 2, 3, 4):
-        for x in every[weight == w]:
+        for places in combinations(range(23), w):
+            x = sum(1 << i for i in places)
             s = low[x & 4095] ^ high[x >> 12]
-            free = np.flatnonzero(patterns[s] < 0)
-            if w < 4 or np.bitwise_count(patterns[s, 0]) == 3:
-                patterns[s, free[0]] = x
+            if w < 4 or patterns[s, 0].bit_count() == 3:
+                patterns[s, np.argmax(patterns[s] < 0)] = x
     return low, high, patterns
 
 
