@@ -41,15 +41,15 @@ def statistics(markers: DataFrame) -> dict[str, dict]:
 
 
 def choose(stats: dict[str, dict], strategy: str = "auto") -> Plan:
-    """Few markers are compared with every chunk; many by seeds, broadcast only under a checked size."""
+    """Few markers are compared with every chunk; many by seeds, broadcast only under a checked size, also if asked for."""
     if not stats:
         return Plan([])
     longest = max(s["most"] for s in stats.values())
-    if strategy == "nested":
-        return Plan([Step("nested", 1, longest)], longest)
     n, bases = sum(s["n"] for s in stats.values()), sum(s["bases"] for s in stats.values())
     small = n <= matching.BROADCAST_MARKERS and bases <= matching.BROADCAST_BASES
-    if strategy == "auto" and small:
+    if strategy == "nested" and bases > matching.BROADCAST_BASES:
+        raise ValueError(f"{bases} bases of markers are too many to broadcast; use auto or shuffled")
+    if strategy == "nested" or strategy == "auto" and small:
         return Plan([Step("nested", 1, longest)], longest)
     steps = []
     if short := stats.get("short"):
@@ -57,6 +57,6 @@ def choose(stats: dict[str, dict], strategy: str = "auto") -> Plan:
         steps.append(Step("nested" if few else "by_length", short["least"], short["most"], list(short["lengths"])))
     if long := stats.get("long"):
         fits = long["bases"] <= matching.BROADCAST_BASES
-        kind = strategy if strategy in ("seeded", "shuffled") else "seeded" if fits else "shuffled"
+        kind = "seeded" if fits and strategy != "shuffled" else "shuffled"
         steps.append(Step(kind, long["least"], long["most"]))
     return Plan(steps, longest)

@@ -123,6 +123,9 @@ def test_planner_choices():
     assert [s.kind for s in planner.choose(few | many).steps] == ["nested", "seeded"]
     huge = {"long": {"n": 8_000_000, "bases": 200_000_000, "least": 20, "most": 40, "lengths": []}}
     assert [s.kind for s in planner.choose(huge).steps] == ["shuffled"]
+    assert [s.kind for s in planner.choose(huge, "seeded").steps] == ["shuffled"]
+    with pytest.raises(ValueError):
+        planner.choose(huge, "nested")
     assert planner.choose({}).empty
 
 
