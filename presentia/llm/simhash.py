@@ -150,28 +150,31 @@ def links(nodes: DataFrame, few: int = 16, bits: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node that has an edge: the smallest node of its component.
+    """(node, root) for every node that has an edge and isn't its component's smallest: that smallest node.
 
     Large-star and small-star steps in turn, each a grouped minimum and a join,
-    until nothing changes; rounds grow with the logarithm of the longest chain.
+    until all edges go straight to roots; rounds grow with the logarithm of the
+    longest chain.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    state = mark(e)
-    while state[0]:
+    while not _settled(e):
         both = _both_ways(e, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u")
-        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _both_ways(large.join(least, "u"), ("v", "m"), ("u", "m"))
         e = cut(small.where("u != v").distinct())
-        state, before = mark(e), state
-        if state == before:
-            break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether every node has one edge and no root has an edge to another."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))
+    each = e.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.up").alias("ups"), F.min("x.up").alias("least"))
+    return not each.where((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0))).take(1)
+
+
 def _both_ways(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     """Edges (u, v), for every row one of each pair of columns."""
     each = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
