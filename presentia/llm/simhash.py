@@ -272,24 +272,24 @@ def shingle_set(text, n: int):
     return let(words, lambda w: F.array_distinct(each(w)))
 
 
-def similar_pairs(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int, most_bits: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between nodes (id, high, low, anchors), and the ids whose buckets were too full to compare all.
 
     A bucket is an anchor, the smallest shingle in one of several orders, with a
-    Golay key. In one of more than ``few`` nodes each is compared with the smallest id only.
+    Golay key. In one of more than ``few`` nodes each is compared with one leader only, another in each turn.
     """
     spread = nodes.select("id", "high", "low", F.posexplode("anchors").alias("sample", "anchor"))
     shared = spread.groupBy("sample", "anchor").count().where("count > 1").select("sample", "anchor")
     keyed = spread.join(shared, ["sample", "anchor"], "left_semi").select("id", "sample", "anchor", F.explode(wide_keys("high", "low", "sample")).alias("key"))
     keyed = cut(keyed.select("id", F.xxhash64("sample", "anchor", "key").alias("bucket")))
-    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"))
+    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64(F.lit(turn), "id") if turn else F.col("id")).alias("leader")).where("n > 1"))
     met = keyed.join(sizes, "bucket")
     group = met.where(F.col("n") <= few).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
     after = lambda a: lambda b: b > a
     pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", after(a)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     direct = group.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
     full = met.where(F.col("n") > few)
-    led = full.select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    led = full.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
     found = direct.union(led.where("a != b")).distinct()
     bits = lambda side: nodes.select(F.col("id").alias(side), F.col("high").alias(f"{side}_high"), F.col("low").alias(f"{side}_low"))
     apart = F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) + F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")))
@@ -302,23 +302,21 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     return both.where(share >= similarity).select("a", "b"), full.select("id").distinct()
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, few: int = 16, most_bits: int = 26, rounds: int = 6) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, few: int = 3, most_bits: int = 26, rounds: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of texts linked by equal words or by shingle sets alike to ``similarity``, the smallest id.
 
     Candidates share an anchor shingle and a Golay key of the wide fingerprint: of
     its five segments one differs in 2 bits or fewer if all differ in 14 or
     fewer. Nodes of full buckets that no leader took are compared again among
-    themselves, until none are left or nothing changes. Rows without an id stay.
+    themselves with other leaders, ``rounds`` times in all. Rows without an id stay.
     """
     marked = cut(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), wide_marks(words)(F.col(text)).alias("w")).select("id", "w.*"))
     nodes = cut(marked.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("high", "low", "anchors")]).drop("key"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     stay, todo = nodes.select("id"), nodes
-    for _ in range(rounds):
-        links, full = similar_pairs(todo, texts, words, similarity, few, most_bits)
+    for turn in range(rounds):
+        links, full = similar_pairs(todo, texts, words, similarity, few, most_bits, turn)
         gone = cut(components(links).select(F.col("node").alias("id")))
-        if not gone.take(1):
-            break
         stay = cut(stay.join(gone, "id", "left_anti"))
         todo = cut(todo.join(full, "id", "left_semi").join(gone, "id", "left_anti"))
         if not todo.take(1):
