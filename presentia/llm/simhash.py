@@ -23,6 +23,7 @@ a component; an empty table gives an empty result; other columns stay as they ar
 
 from __future__ import annotations
 
+import math
 from functools import cache
 from itertools import combinations
 
@@ -192,78 +193,54 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(label, fps["_fp"] == label["_of"]).drop("_of")
 
 
-#: Segments of the wide fingerprint, 23 bits each; samples of shingles, and the segments that go with each.
-WIDE, ANCHORS, BESIDE = 5, 8, 2
-WIDE_FIELDS = T.StructType([T.StructField("key", T.StringType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("anchors", LONGS)])
-PROPER, FEW_PROPER = 5, 5
+MARKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", LONGS)])
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles that are set last in the order of prefixes, at most.
+COMMON = 200_000
 
 
-def mix(h: np.ndarray, salt: int) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     """Another 64-bit hash of each hash."""
-    h = h ^ np.uint64(salt * 0x632BE59BD9B4E019 % (1 << 64))
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(words: list[bytes], hashes: np.ndarray) -> tuple[int, int]:
-    """A 128-bit SimHash of the distinct words of at least PROPER bytes (of all, if there are few), as two signed numbers.
-
-    An edit touches one word but ``n`` shingles, so that texts whose shingles
-    agree to 80 % differ here in about 7 % of bits rather than 15 %.
-    """
-    proper = np.unique(hashes[np.array([len(w) >= PROPER for w in words], bool)])
-    chosen = proper if len(proper) >= FEW_PROPER else np.unique(hashes)
-    ones = np.zeros(128, np.int64)
-    for at in range(0, len(chosen), SLICE):
-        part = chosen[at : at + SLICE]
-        bits = np.unpackbits(np.column_stack([part, mix(part, 1)]).view(np.uint8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return tuple(int(x) for x in np.packbits(2 * ones > len(chosen)).view(">i8"))
-
-
-def anchors_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The smallest of a text's n-word shingles in each of ANCHORS orders."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
+def distinct_shingles(words: list[bytes], n: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct n-word shingles (of the whole sequence, if shorter)."""
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
     joined = np.zeros(max(1, len(hashes) - n + 1), np.uint64)
     for i in range(min(n, len(hashes))):
         joined = joined * ODD + hashes[i : i + len(joined)]
-    return np.array([mix(joined, s + 2).min() for s in range(ANCHORS)], np.uint64).view(np.int64)
+    return np.unique(mix(joined).view(np.int64))
 
 
-def wide_marks(n: int):
-    """A column function: a text's words as one hash, its wide fingerprint and its anchors."""
+def prefix_marks(n: int, similarity: float, common=None):
+    """A column function: a text's words as one hash, its number of distinct shingles, and its prefix.
 
-    @F.pandas_udf(WIDE_FIELDS)
+    The prefix is the first size - ceil(similarity * size) + 1 shingles in one order of
+    all shingles: those of ``common`` (a broadcast sorted array) last, else by hash.
+    Two sets alike to ``similarity`` have a shingle of both prefixes in common,
+    whatever the order.
+    """
+
+    @F.pandas_udf(MARKS)
     def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, last = [], np.empty(0, np.int64) if common is None else common.value
         for text in texts:
             words = words_of(text)
-            hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
-            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), *wide_fingerprint(words, hashes), anchors_of(hashes, n)))
-        return pd.DataFrame(rows, columns=WIDE_FIELDS.names)
+            shingles = distinct_shingles(words, n)
+            size = len(shingles)
+            if len(last):
+                late = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
+                shingles = np.concatenate([shingles[~late], shingles[late]])
+            take = size - math.ceil(similarity * size - 1e-9) + 1
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), size, shingles[:take]))
+        return pd.DataFrame(rows, columns=MARKS.names)
 
     return of
 
 
-@F.pandas_udf(LONGS)
-def wide_keys(high: pd.Series, low: pd.Series, sample: pd.Series) -> pd.Series:
-    """Golay keys of the segments that go with a sample: a nearby codeword's index, and which segment."""
-    h, lo = (x.to_numpy(np.int64).view(np.uint64) for x in (high, low))
-    mask = np.uint64((1 << 23) - 1)
-    joint = (h << np.uint64(18)) | (lo >> np.uint64(46))
-    parts = np.stack([x & mask for x in (h, h >> np.uint64(23), lo, lo >> np.uint64(23), joint)]).astype(np.int64)
-    keys = []
-    for i in range(BESIDE):
-        segment = (sample.to_numpy(np.int64) + i) % WIDE
-        near = codeword_indices(parts[segment, np.arange(len(h))])
-        keys.append(np.where(near >= 0, near * 8 + segment[:, None], -1))
-    both = np.concatenate(keys, axis=1)
-    return pd.Series([row[row >= 0] for row in both])
-
-
 def shingle_set(text, n: int):
     """Column: hashes of a text's distinct n-word shingles (of the whole sequence, if shorter)."""
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -272,56 +249,89 @@ def shingle_set(text, n: int):
     return let(words, lambda w: F.array_distinct(each(w)))
 
 
-def similar_pairs(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int, most_bits: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between nodes (id, high, low, anchors), and the ids whose buckets were too full to compare all.
-
-    A bucket is an anchor, the smallest shingle in one of several orders, with a
-    Golay key. In one of more than ``few`` nodes each is compared with one leader only, another in each turn.
-    """
-    spread = nodes.select("id", "high", "low", F.posexplode("anchors").alias("sample", "anchor"))
-    shared = spread.groupBy("sample", "anchor").count().where("count > 1").select("sample", "anchor")
-    keyed = spread.join(shared, ["sample", "anchor"], "left_semi").select("id", "sample", "anchor", F.explode(wide_keys("high", "low", "sample")).alias("key"))
-    keyed = cut(keyed.select("id", F.xxhash64("sample", "anchor", "key").alias("bucket")))
-    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64(F.lit(turn), "id") if turn else F.col("id")).alias("leader")).where("n > 1"))
-    met = keyed.join(sizes, "bucket")
-    group = met.where(F.col("n") <= few).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
-    after = lambda a: lambda b: b > a
-    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", after(a)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    direct = group.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    full = met.where(F.col("n") > few)
-    led = full.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
-    found = direct.union(led.where("a != b")).distinct()
-    bits = lambda side: nodes.select(F.col("id").alias(side), F.col("high").alias(f"{side}_high"), F.col("low").alias(f"{side}_low"))
-    apart = F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) + F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")))
-    found = cut(found.join(bits("a"), "a").join(bits("b"), "b").where(apart <= most_bits).select("a", "b"))
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (id, size) whose shingle sets are alike to ``similarity``."""
+    size = lambda side: nodes.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"))
+    possible = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
+    found = cut(pairs.distinct().join(size("a"), "a").join(size("b"), "b").where(possible).select("a", "b"))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = texts.join(wanted, "id", "left_semi").select("id", shingle_set(F.col("text"), words).alias("set"))
     side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     share = F.size(F.array_intersect("a_set", "b_set")) / F.size(F.array_union("a_set", "b_set"))
-    return both.where(share >= similarity).select("a", "b"), full.select("id").distinct()
+    return cut(both.where(share >= similarity).select("a", "b"))
+
 
+def ordered_pair(x, y) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, few: int = 3, most_bits: int = 26, rounds: int = 3) -> DataFrame:
+
+def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int) -> DataFrame:
+    """(node, root) of components() over all pairs of nodes (id, size, prefix) alike to ``similarity``.
+
+    A bucket is a shingle of prefixes. In one of at most ``few`` nodes all pairs are
+    verified. In a larger one leaders are, with every other node of the bucket that
+    isn't in their component yet; then they leave the bucket, and all others stay.
+    A round takes twice as many leaders as the one before, those first that share
+    most, and a bucket is done when all its nodes are in one component or all
+    outside its largest component have led. So no pair in a bucket goes
+    untested unless both nodes are linked already.
+    """
+    keyed = cut(nodes.select("id", F.explode("prefix").alias("bucket")))
+    members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(20,0)")).alias(f"_m{k}") for k in (1, 2)]
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), *members).where("n > 1")
+    sizes = cut(sizes.groupBy("n", "_m1", "_m2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))  # of buckets with the same nodes, one
+    met = cut(keyed.join(sizes, "bucket"))
+    group = met.where(F.col("n") <= few).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids")
+    after = lambda a: lambda b: b > a
+    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", after(a)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    links = verified(group.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), nodes, texts, words, similarity)
+    found = cut(components(links))
+    met = met.where(F.col("n") > few)
+    popular = met.groupBy("id").agg(F.sum("n").alias("_shared"))
+    left = cut(met.select("bucket", "id").join(popular, "id"))
+    leaders = 1
+    while left.take(1):
+        labelled = left.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        labelled = cut(labelled.select("bucket", "id", "_shared", "root"))
+        parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
+        parts = parts.groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_largest"), (F.sum("_n") - F.max("_n")).alias("_outside")).where("_outside > 0")
+        labelled = cut(labelled.join(parts, "bucket"))
+        ends = F.col("_outside") <= few * leaders
+        lot = F.pmod(F.xxhash64(F.lit(leaders), "id"), F.lit(leaders))
+        first = labelled.where(~ends).groupBy("bucket", lot.alias("_lot")).agg(F.max(F.struct("_shared", "id", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.root").alias("_led"))
+        last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", F.col("id").alias("leader"), F.col("root").alias("_led"))
+        lead = cut(first.union(last))
+        pairs = labelled.join(lead, "bucket").where(F.col("root") != F.col("_led")).select(*ordered_pair("leader", "id"))
+        links = cut(links.union(verified(pairs, nodes, texts, words, similarity)))
+        found = cut(components(links))
+        done = lead.select("bucket", F.col("leader").alias("id"))
+        left = cut(labelled.where(~ends).select("bucket", "id", "_shared").join(done, ["bucket", "id"], "left_anti"))
+        leaders *= 2
+    return found
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, few: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay: of texts linked by equal words or by shingle sets alike to ``similarity``, the smallest id.
 
-    Candidates share an anchor shingle and a Golay key of the wide fingerprint: of
-    its five segments one differs in 2 bits or fewer if all differ in 14 or
-    fewer. Nodes of full buckets that no leader took are compared again among
-    themselves with other leaders, ``rounds`` times in all. Rows without an id stay.
+    Candidates share a shingle of their prefixes (see prefix_marks), so all pairs
+    alike to ``similarity`` are among them. Shingles that are in more than ``few``
+    prefixes by hash alone go last, the COMMON most frequent at most: these order
+    the work and leave the result as it is. Rows without an id stay.
     """
-    marked = cut(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), wide_marks(words)(F.col(text)).alias("w")).select("id", "w.*"))
-    nodes = cut(marked.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("high", "low", "anchors")]).drop("key"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    stay, todo = nodes.select("id"), nodes
-    for turn in range(rounds):
-        links, full = similar_pairs(todo, texts, words, similarity, few, most_bits, turn)
-        gone = cut(components(links).select(F.col("node").alias("id")))
-        stay = cut(stay.join(gone, "id", "left_anti"))
-        todo = cut(todo.join(full, "id", "left_semi").join(gone, "id", "left_anti"))
-        if not todo.take(1):
-            break
-    kept = stay.select(F.col("id").alias("_stay"))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+
+    def marked(common=None) -> DataFrame:
+        marks = rows.select("id", prefix_marks(words, similarity, common)("text").alias("w")).select("id", "w.*")
+        return cut(marks.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "prefix")]).drop("key"))
+
+    nodes = marked()
+    counts = nodes.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > few)
+    often = [r.s for r in counts.orderBy(F.desc("count"), "s").limit(COMMON).select("s").collect()]
+    if often:
+        nodes = marked(docs.sparkSession.sparkContext.broadcast(np.sort(np.array(often, np.int64))))
+    gone = similar_components(nodes, rows, words, similarity, few).select(F.col("node").alias("id"))
+    kept = nodes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("_stay"))
     return docs.join(kept, docs[doc_id] == kept["_stay"], "left").where(F.col("_stay").isNotNull() | F.col(doc_id).isNull()).drop("_stay")
 
 

@@ -124,6 +124,40 @@ def test_deduplicate_five_word_shingles(spark):
     assert [r.doc_id for r in simhash.deduplicate(documents(spark, [base[0], *many])).collect()] == [0]
 
 
+def kept_by_brute_force(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(lowered, texts)]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def test_deduplicate_stars_and_chains(spark):
+    rng = random.Random(6)
+    word = lambda: f"{rng.getrandbits(40):010x}"
+    rows = []
+    for _ in range(3):  # an original in the middle; its copies are alike to it and not to each other
+        base = [word() for _ in range(300)]
+        star = []
+        for _ in range(40):
+            copy = list(base)
+            for i in rng.sample(range(0, 300, 6), 6):
+                copy[i] = word()
+            star.append(" ".join(copy))
+        rows += [*star[:20], " ".join(base), *star[20:]]
+    chain = [word() for _ in range(300)]  # each is alike to its neighbours only
+    for k in range(40):
+        rows.append(" ".join(chain))
+        chain[(k * 30) % 300 : (k * 30) % 300 + 25] = [word() for _ in range(25)]
+    shared = [word() for _ in range(30)]  # many that share a passage and nothing else
+    rows += [" ".join([*shared, *(word() for _ in range(20))]) for _ in range(60)]
+    rng.shuffle(rows)
+    assert {r.doc_id for r in simhash.deduplicate(documents(spark, rows)).collect()} == kept_by_brute_force(rows)
+
+
 # 2 quality rules
 
 
