@@ -1,10 +1,11 @@
 """Operator 6: line dedup by pairwise alignment.
 
-Lines are compared by hash after trimming. An anchor line has ``min_words`` or
-more and is rare, or has ``long_words`` or more and may be as frequent as it
-likes. Every document that holds an anchor is paired with the first (smallest
+Lines are compared by hash after trimming. An anchor is the shortest run of lines
+from one that isn't blank that has ``min_words`` or more in all: every block of so
+many words begins with one, after blank lines. Every document that holds an anchor,
+however frequent, is paired with the first (smallest
 id) that holds it, and with no other: pairs grow with the lines, never with the
-square of a group, and the first document keeps the line. A pair is aligned by
+square of a group, and the first document keeps the lines. A pair is aligned by
 patience diff: lines unique on both sides, their longest increasing run,
 extended over equal neighbours and within the gaps. Aligned common blocks of
 ``min_words`` or more are deleted from the later document, and what is left of
@@ -22,7 +23,9 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,7 @@ from presentia.llm.common import cut, let, read_table
 
 SPACE = " \t\x0b\x0c\r"
 POSITIONS = T.ArrayType(T.IntegerType())
+LONGS = T.ArrayType(T.LongType())
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -108,9 +112,15 @@ def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_w
         left = [i for i in left if i not in aside]
 
 
-def line_dedup(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 8, long_words: int = 20, rare_share: float = 0.001, rare_least: int = 20, drop_emptied: bool = False
-) -> DataFrame:
+def anchors(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Distinct hashes of the shortest runs of lines of ``min_words`` or more, one from each line that isn't blank."""
+    total = np.cumsum(words)
+    ends = np.searchsorted(total, total - words + min_words) + 1
+    starts = np.flatnonzero((words > 0) & (ends <= len(words)))
+    return np.array(sorted({xxhash.xxh64_intdigest(hashes[i : ends[i]].tobytes()) for i in starts.tolist()}), np.uint64).view(np.int64)
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 8, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with repeated blocks deleted from ``text``, and n_lines, removed_lines (positions from 0) and n_removed."""
     docs = docs.drop("n_lines", "removed_lines", "n_removed")
     split = F.split(F.col(text), "\n")
@@ -119,11 +129,14 @@ def line_dedup(
     lines = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), trimmed.alias("lines"))
     lines = lines.select("id", F.struct(F.transform("lines", lambda x: F.xxhash64(x)).alias("hash"), F.transform("lines", count).alias("words")).alias("l"))
     lines = cut(lines.groupBy("id").agg(F.min("l").alias("l")))
-    rare = max(rare_least, int(rare_share * lines.count()))
-    each = lines.select("id", F.explode(F.arrays_zip("l.hash", "l.words")).alias("x")).select("id", "x.hash", "x.words").where(F.col("words") >= min_words)
-    shared = each.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n"), F.max("words").alias("words"))
-    anchors = cut(shared.where((F.col("owner") < F.col("last")) & ((F.col("n") <= rare) | (F.col("words") >= long_words))).select("hash", "owner"))
-    pairs = each.join(anchors, "hash").where("id > owner").select("id", "owner").distinct()
+
+    @F.pandas_udf(LONGS)
+    def anchors_of(hashes: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([anchors(h, w, min_words) for h, w in zip(hashes, words, strict=True)], dtype=object)
+
+    each = cut(lines.select("id", F.explode(anchors_of("l.hash", "l.words")).alias("hash")))
+    shared = each.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("hash", "owner")
+    pairs = each.join(cut(shared), "hash").where("id > owner").select("id", "owner").distinct()
     owners = lines.select(F.col("id").alias("owner"), F.col("l.hash").alias("earlier"))
     met = pairs.join(lines, "id").join(owners, "owner")
 

@@ -328,6 +328,20 @@ def test_line_dedup_deletes_from_later_documents(spark):
     assert 8 not in left and {0, 1, 2, 4, 5, 6, 7} <= left
 
 
+def test_line_dedup_of_frequent_and_short_lines(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    copies = ["\n".join(line(f"copy{k}w", 12) for k in range(3))] * 30  # lines of 8 to 19 words, in more than 20 documents
+    verse = "\n".join(line(f"verse{k}w", 3) for k in range(6))
+    words = "\n".join(f"item{k}" for k in range(9))
+    passages = [f"{line(f'own{i}{x[0]}', 9)}\n{x}\n{line(f'end{i}{x[0]}', 9)}" for x in (verse, words) for i in range(25)]
+    short = [f"only\nseven words\nin a passage\n{line(f'rest{i}w', 9)}" for i in range(3)]  # 6 words: stays
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(documents(spark, copies + passages + short)).collect()}
+    assert [rows[d].removed_lines for d in range(30)] == [[], *[[0, 1, 2]] * 29]
+    same = [rows[30 + d].removed_lines for d in range(50)]
+    assert same == [[], *[[*range(1, 7)]] * 24, [], *[[*range(1, 10)]] * 24]
+    assert [rows[80 + d].removed_lines for d in range(3)] == [[], [], []]
+
+
 # 7 Kneser-Ney
 
 
