@@ -158,6 +158,18 @@ def test_deduplicate_stars_and_chains(spark):
     assert {r.doc_id for r in simhash.deduplicate(documents(spark, rows)).collect()} == kept_by_brute_force(rows)
 
 
+def test_deduplicate_contiguous_edits(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"{rng.getrandbits(40):010x}" for _ in range(n)]
+    base = [words(300) for _ in range(200)]
+    edited = [[*b, *words(73)] if i % 2 else [*b[: 134 * (i % 4)], *words(32), *b[134 * (i % 4) + 32 :]] for i, b in enumerate(base)]  # similarity 0.80
+    few = [f"{'a b ' * rng.randint(1, 9)}{' '.join(rng.choice(['one', 'two', 'six', 'longer']) for _ in range(60))}" for _ in range(40)]  # few different words
+    few += [" ".join([*t.split()[:-4], "quite", "other"]) for t in few]
+    texts = [" ".join(x) for x in base + edited]
+    assert {r.doc_id for r in simhash.deduplicate(documents(spark, texts)).collect()} == set(range(200))
+    assert {r.doc_id for r in simhash.deduplicate(documents(spark, few)).collect()} == kept_by_brute_force(few)
+
+
 # 2 quality rules
 
 
