@@ -286,6 +286,15 @@ def test_sampled_tables_follow_the_exact_conditional():
     assert np.abs(draws - weights / weights.sum()).max() < 0.01
 
 
+def test_context_is_the_whole_word_before(spark):
+    rng = random.Random(3)
+    follower = {f"longer{i}": f"follows{rng.randrange(400)}" for i in range(400)}  # no word has 4 bytes or fewer
+    texts = [" ".join(x for k in rng.choices(list(follower), k=60) for x in (k, follower[k])) for _ in range(120)]
+    rows = [r for r in pitman_yor.score_documents(documents(spark, texts)).collect() if r.held_out]
+    scored = sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
+    assert scored > -2  # a known follower costs next to nothing, a key log10(400) = 2.6; a unigram costs 2.6 for each
+
+
 # 5 BPE
 
 
