@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 import xxhash
@@ -295,6 +297,18 @@ def test_context_is_the_whole_word_before(spark):
     assert scored > -2  # a known follower costs next to nothing, a key log10(400) = 2.6; a unigram costs 2.6 for each
 
 
+def test_blocks_hold_a_pair_once():
+    texts = [b"the cat the cat the cat " * 1000, b"the cat"]
+    token, context, owner = pitman_yor.tokens_of(texts)
+    assert len(token) == 6000 + 1 + 3 and context[0] == context[6001] == 0 and (context[1:6001] == token[:6000]).all()
+    frame = pd.DataFrame({"doc_id": [1, 2], "text": [t.decode() for t in texts], "held_out": [False, True]})
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pitman_yor.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 3))
+        (block,) = pitman_yor.blocks_of(iter([frame]))
+    (pairs,) = pitman_yor.pairs_of(iter([block]))
+    assert len(pairs) == 4 and sorted(pairs["n"]) == [1, 1, 2999, 3000]  # not a row a token
+
+
 # 5 BPE
 
 
