@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 #: Words are runs of anything but these: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage gone.
 
     The folder is the cluster's ``spark.checkpoint.dir``. Only where that is
-    unset (tests in local mode) is a temporary one made.
+    unset (tests in local mode) is a temporary one made. Nothing reads the shuffle
+    files of a written checkpoint again, so Spark is told to drop them at once.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
 
 
 def ranked(keys: DataFrame, order: list, name: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -57,5 +65,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share; a temporary one only where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; on a cluster it names a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
