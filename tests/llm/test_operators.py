@@ -266,26 +266,74 @@ def test_language_model_base_and_held_out(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    count, context, word = rng.integers(0, 60, 300), np.repeat(np.arange(3), 100), np.tile(np.arange(100), 3)
-    t = pitman_yor.sample_tables(count, np.full(300, 0.7), 0.6, rng)
-    assert (t[count > 0] >= 1).all() and (t <= count).all() and (t[count == 1] == 1).all()
-    tables, tokens = np.bincount(context, t), np.bincount(context, count)
-    served = np.bincount(word, t)
-    root = np.where(served > 0, served - 0.3, 0) / (1 + served.sum())
-    unseen = (1 + 0.3 * (served > 0).sum()) / (1 + served.sum())
-    for u in range(3):
-        own = np.maximum(0, count - 0.6 * t)[context == u] / (1 + tokens[u])
-        assert (own + (1 + 0.6 * tables[u]) / (1 + tokens[u]) * root).sum() + (1 + 0.6 * tables[u]) / (1 + tokens[u]) * unseen == pytest.approx(1)
-
-
-def test_sampled_tables_follow_the_exact_conditional():
-    rng = np.random.default_rng(1)
-    d, a, c = 0.5, 1.3, 6
-    draws = np.bincount(pitman_yor.sample_tables(np.full(40000, c), np.full(40000, a), d, rng), minlength=c + 1)[1:] / 40000
-    weights = np.exp(pitman_yor.log_stirling(d)[c, 1 : c + 1]) * a ** np.arange(1, c + 1)
-    assert np.abs(draws - weights / weights.sum()).max() < 0.01
+def test_score_against_a_plain_chinese_restaurant(spark):
+    """Long chains of a seating kept customer by customer, with the same discounts, against the operator's average."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(3, 9), weights=[8, 4, 2, 1, 1])) for _ in range(14)]
+    d, d0, s, train = 0.6, 0.4, pitman_yor.STRENGTH, [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = [x for t in train for x in zip([None, *t.split()], [*t.split(), None], strict=True)]
+    count, total = collections.Counter(pairs), collections.Counter(u for u, _ in pairs)
+    sizes = {p: [1] * c for p, c in count.items()}
+    known = {w for _, w in pairs}
+
+    def parent(w):
+        served, tables = sum(len(x) for (_, v), x in sizes.items() if v == w), sum(map(len, sizes.values()))
+        return ((served - d0) if served else s + d0 * len(known)) / (s + tables)
+
+    def p(u, w):
+        tables = sum(len(x) for (v, _), x in sizes.items() if v == u)
+        return (count[u, w] - d * len(sizes.get((u, w), ())) + (s + d * tables) * parent(w)) / (s + total[u])
+
+    probes, sums, draw = [*{(u, w) for u in known for w in [*known, "new"]}], collections.Counter(), random.Random(6)
+    for sweep in range(500):
+        for (u, w), c in count.items():
+            for _ in range(c if c > 1 else 0):
+                mine = sizes[u, w]
+                at = draw.choices(range(len(mine)), weights=mine)[0]
+                mine[at] -= 1
+                mine[:] = [x for x in mine if x]
+                tables = sum(len(x) for (v, _), x in sizes.items() if v == u)
+                new = (s + d * tables) * parent(w)
+                at = draw.choices(range(len(mine) + 1), weights=[*(x - d for x in mine), new])[0]
+                mine[at : at + 1] = [mine[at] + 1] if at < len(mine) else [1]
+        if sweep >= 100:
+            for x in probes:
+                sums[x] += p(*x) / 400
+    for u in known:
+        assert sum(sums[u, w] for w in [*known, "new"]) == pytest.approx(1)
+    rows = pitman_yor.score_documents(documents(spark, texts), samples=16, burn_in=4, discounts=(d, d0)).collect()
+    for r in rows:
+        w = [None, *texts[r.doc_id].split(), None]
+        assert r.score == pytest.approx(sum(math.log10(sums[x]) for x in zip(w, w[1:], strict=False)), abs=0.04 * r.n_tokens)
+
+
+def test_one_shard_or_many_agree(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 40, 60) for _ in range(80)]
+    one, many = ({r.doc_id: r for r in pitman_yor.score_documents(documents(spark, texts), samples=3, shard_pairs=n).collect()} for n in (10**6, 500))
+    for d, r in one.items():
+        assert (r.n_known, r.base_score) == (many[d].n_known, pytest.approx(many[d].base_score))
+        assert r.score == pytest.approx(many[d].score, abs=0.03 * r.n_tokens)
+
+
+def test_moves_leave_the_conditional_as_it_is():
+    rng, d, a, c = np.random.default_rng(1), 0.5, 1.3, 6
+    stirling = np.zeros((c + 1, c + 2))
+    stirling[1, 1] = 1
+    for k in range(1, c):
+        for t in range(1, c + 1):
+            stirling[k + 1, t] = stirling[k, t - 1] + (k - d * t) * stirling[k, t]
+    weights = stirling[c, 1 : c + 1] * a ** np.arange(1, c + 1)
+    many = np.full(30000, c)
+    flat = lambda pairs, now: np.full(len(pairs), a)
+    tables, sizes = np.ones(30000, np.int64), many.copy()  # far from it at first
+    for _ in range(12):
+        tables, sizes = pitman_yor.gibbs_sweep(many, tables, sizes, flat, d, 4, rng)
+    assert np.abs(np.bincount(tables, minlength=c + 1)[1:] / 30000 - weights / weights.sum()).max() < 0.012
+    assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == c).all()
+    count = np.array([2, 31, 33, 50_000, 3])
+    tables, sizes = pitman_yor.seat_first(count, lambda pairs, now: np.full(len(pairs), 2.0), d, rng)
+    assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == count).all() and len(sizes) == tables.sum()
 
 
 def test_context_is_the_whole_word_before(spark):
@@ -305,8 +353,9 @@ def test_blocks_hold_a_pair_once():
     with pytest.MonkeyPatch.context() as m:
         m.setattr(pitman_yor.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 3))
         (block,) = pitman_yor.blocks_of(iter([frame]))
-    (pairs,) = pitman_yor.pairs_of(iter([block]))
-    assert len(pairs) == 4 and sorted(pairs["n"]) == [1, 1, 2999, 3000]  # not a row a token
+    (sent,) = pitman_yor.pairs_to_shards(1)(iter([block]))
+    counted = pitman_yor.count_shard(1)(sent).set_index("kind")
+    assert counted.loc["seats", ["n1", "n2"]].tolist() == [2, 0] and sorted(pitman_yor.unpack(counted.loc["seats", "data"])[2]) == [2999, 3000]  # not a row a token
 
 
 # 5 BPE
