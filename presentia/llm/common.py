@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,36 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(DROP_SHUFFLES, before)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table to the shared folder and reads it back; all its tables go at the end.
+
+    Unlike a checkpoint a table has its true size, so that in a loop of joins the
+    planner's estimates don't multiply from round to round.
+    """
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        before, path = spark.conf.get(DROP_SHUFFLES, "false"), f"{folder}/{uuid.uuid4().hex}"
+        spark.conf.set(DROP_SHUFFLES, "true")
+        try:
+            df.select("*").write.parquet(path)
+        finally:
+            spark.conf.set(DROP_SHUFFLES, before)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the store that it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(keys: DataFrame, order: list, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """``keys`` with a dense position from 0 in the given total order.
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presentia.llm.common import WORD, cut, let, read_table
+from presentia.llm.common import WORD, cut, let, read_table, scratch
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -157,16 +157,17 @@ def components(edges: DataFrame) -> DataFrame:
     until all edges go straight to roots; rounds grow with the logarithm of the
     longest chain.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    while not _settled(e):
-        both = _both_ways(e, ("u", "v"), ("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u")
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _both_ways(large.join(least, "u"), ("v", "m"), ("u", "m"))
-        e = cut(small.where("u != v").distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    with scratch(edges.sparkSession) as keep:
+        e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+        while not _settled(e):
+            both = _both_ways(e, ("u", "v"), ("v", "u"))
+            least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+            large = both.join(least, "u").where("v > u")
+            large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = _both_ways(large.join(least, "u"), ("v", "m"), ("u", "m"))
+            e = keep(small.where("u != v").distinct())
+        return cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")))
 
 
 def _settled(e: DataFrame) -> bool:
@@ -193,10 +194,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(label, fps["_fp"] == label["_of"]).drop("_of")
 
 
-MARKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", LONGS)])
+MARKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("parity", LONGS), T.StructField("prefix", LONGS)])
+#: Bits of the parity bitmap.
+PARITY = 512
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles that are set last in the order of prefixes, at most.
-COMMON = 200_000
+#: Shingles that are set last in the order of prefixes, at most, and the prefixes that a shingle is in then.
+COMMON, OFTEN = 500_000, 4
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -215,8 +218,21 @@ def distinct_shingles(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(mix(joined).view(np.int64))
 
 
+def bits_of(shingles: np.ndarray) -> int:
+    """The SimHash of distinct shingles' hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), SLICE):
+        ones += np.unpackbits(shingles[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles)).view(">i8")[0])
+
+
+def parity_of(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of PARITY bins is odd. Bits that differ between two sets are at most the shingles that only one has."""
+    return np.packbits(np.bincount(shingles & (PARITY - 1), minlength=PARITY) & 1).view(np.int64)
+
+
 def prefix_marks(n: int, similarity: float, common=None):
-    """A column function: a text's words as one hash, its number of distinct shingles, and its prefix.
+    """A column function: a text's words as one hash, its number of distinct shingles, their SimHash, parities and prefix.
 
     The prefix is the first size - ceil(similarity * size) + 1 shingles in one order of
     all shingles: those of ``common`` (a broadcast sorted array) last, else by hash.
@@ -230,12 +246,12 @@ def prefix_marks(n: int, similarity: float, common=None):
         for text in texts:
             words = words_of(text)
             shingles = distinct_shingles(words, n)
-            size = len(shingles)
+            size, marks = len(shingles), (bits_of(shingles), parity_of(shingles))
             if len(last):
                 late = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
                 shingles = np.concatenate([shingles[~late], shingles[late]])
             take = size - math.ceil(similarity * size - 1e-9) + 1
-            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), size, shingles[:take]))
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), size, *marks, shingles[:take]))
         return pd.DataFrame(rows, columns=MARKS.names)
 
     return of
@@ -249,17 +265,32 @@ def shingle_set(text, n: int):
     return let(words, lambda w: F.array_distinct(each(w)))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (id, size) whose shingle sets are alike to ``similarity``."""
-    size = lambda side: nodes.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"))
-    possible = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
-    found = cut(pairs.distinct().join(size("a"), "a").join(size("b"), "b").where(possible).select("a", "b"))
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, keep) -> DataFrame:
+    """The pairs (a, b) of nodes (id, size, parity) whose shingle sets are alike to ``similarity``.
+
+    Sizes and parities rule out only pairs that can't be: alike sets of x and y
+    shingles have at most (1 - s) / (1 + s) (x + y) that aren't in both.
+    """
+    side = lambda s: nodes.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), F.col("parity").alias(f"{s}_parity"))
+    differ = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    possible = (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-9)
+    found = keep(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(possible).select("a", "b"))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = texts.join(wanted, "id", "left_semi").select("id", shingle_set(F.col("text"), words).alias("set"))
+    sets = keep(sets.groupBy("id").agg(F.first("set").alias("set")))
     side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     share = F.size(F.array_intersect("a_set", "b_set")) / F.size(F.array_union("a_set", "b_set"))
-    return cut(both.where(share >= similarity).select("a", "b"))
+    return keep(both.where(share >= similarity).select("a", "b"))
+
+
+def golay_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (id, fp) with equal fingerprints or ones that links() joins: of each fingerprint the smallest id."""
+    first = cut(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    same = nodes.join(first, "fp").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    side = lambda s: first.select(F.col("fp").alias(s), F.col("first").alias(f"{s}_first"))
+    near = links(first.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    return same.union(near.select(*ordered_pair("a_first", "b_first")))
 
 
 def ordered_pair(x, y) -> list:
@@ -267,69 +298,78 @@ def ordered_pair(x, y) -> list:
 
 
 def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int) -> DataFrame:
-    """(node, root) of components() over all pairs of nodes (id, size, prefix) alike to ``similarity``.
-
-    A bucket is a shingle of prefixes. In one of at most ``few`` nodes all pairs are
-    verified. In a larger one leaders are, with every other node of the bucket that
-    isn't in their component yet; then they leave the bucket, and all others stay.
-    A round takes twice as many leaders as the one before, those first that share
-    most, and a bucket is done when all its nodes are in one component or all
-    outside its largest component have led. So no pair in a bucket goes
-    untested unless both nodes are linked already.
+    """(node, root) of components() over all pairs of nodes (id, size, fp, parity, prefix) alike to ``similarity``.
+
+    First the pairs whose SimHash fingerprints meet in Golay keys are verified and
+    joined. What is alike with more bits apart is found in buckets, a bucket being
+    a shingle of prefixes: in one of at most ``few`` nodes all pairs that aren't in one
+    component yet are verified. In a larger one leaders are, with every other node of
+    the bucket that isn't in their component yet; then they leave the bucket, and
+    all others stay. A round takes twice as many leaders as the one before, those
+    first that share most, and a bucket is done when all its nodes are in one
+    component or all outside its largest component have led. So no pair in a bucket
+    goes untested unless both nodes are linked already.
     """
-    keyed = cut(nodes.select("id", F.explode("prefix").alias("bucket")))
-    members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(20,0)")).alias(f"_m{k}") for k in (1, 2)]
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), *members).where("n > 1")
-    sizes = cut(sizes.groupBy("n", "_m1", "_m2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))  # of buckets with the same nodes, one
-    met = cut(keyed.join(sizes, "bucket"))
-    group = met.where(F.col("n") <= few).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids")
-    after = lambda a: lambda b: b > a
-    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", after(a)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    links = verified(group.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), nodes, texts, words, similarity)
-    found = cut(components(links))
-    met = met.where(F.col("n") > few)
-    popular = met.groupBy("id").agg(F.sum("n").alias("_shared"))
-    left = cut(met.select("bucket", "id").join(popular, "id"))
-    leaders = 1
-    while left.take(1):
-        labelled = left.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        labelled = cut(labelled.select("bucket", "id", "_shared", "root"))
-        parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
-        parts = parts.groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_largest"), (F.sum("_n") - F.max("_n")).alias("_outside")).where("_outside > 0")
-        labelled = cut(labelled.join(parts, "bucket"))
-        ends = F.col("_outside") <= few * leaders
-        lot = F.pmod(F.xxhash64(F.lit(leaders), "id"), F.lit(leaders))
-        first = labelled.where(~ends).groupBy("bucket", lot.alias("_lot")).agg(F.max(F.struct("_shared", "id", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.root").alias("_led"))
-        last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", F.col("id").alias("leader"), F.col("root").alias("_led"))
-        lead = cut(first.union(last))
-        pairs = labelled.join(lead, "bucket").where(F.col("root") != F.col("_led")).select(*ordered_pair("leader", "id"))
-        links = cut(links.union(verified(pairs, nodes, texts, words, similarity)))
-        found = cut(components(links))
-        done = lead.select("bucket", F.col("leader").alias("id"))
-        left = cut(labelled.where(~ends).select("bucket", "id", "_shared").join(done, ["bucket", "id"], "left_anti"))
-        leaders *= 2
-    return found
+    with scratch(nodes.sparkSession) as keep:
+        links = verified(golay_pairs(nodes), nodes, texts, words, similarity, keep)
+        found = components(links)
+        keyed = nodes.select("id", F.explode("prefix").alias("bucket"))
+        counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        met = keep(keyed.join(counts, "bucket"))
+        members = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"_m{k}") for k in (1, 2)]
+        once = met.groupBy("bucket").agg(F.first("n").alias("n"), *members).groupBy("n", "_m1", "_m2").agg(F.min("bucket").alias("bucket"))
+        met = keep(met.join(once.select("bucket"), "bucket", "left_semi"))  # of buckets with the same nodes, one
+        root = lambda rows: rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        group = root(met.where(F.col("n") <= few)).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("ids")).select("ids")
+        apart = lambda a: lambda b: (b["id"] > a["id"]) & (b["root"] != a["root"])
+        pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", apart(a)), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
+        more = verified(group.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), nodes, texts, words, similarity, keep)
+        links = keep(links.union(more))
+        found = components(links)
+        met = met.where(F.col("n") > few)
+        popular = met.groupBy("id").agg(F.sum("n").alias("_shared"))
+        left = keep(met.select("bucket", "id").join(popular, "id"))
+        leaders = 1
+        while left.take(1):
+            labelled = keep(root(left))
+            parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
+            parts = parts.groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_largest"), (F.sum("_n") - F.max("_n")).alias("_outside")).where("_outside > 0")
+            labelled = keep(labelled.join(parts, "bucket"))
+            ends = F.col("_outside") <= few * leaders
+            lot = F.pmod(F.xxhash64(F.lit(leaders), "id"), F.lit(leaders))
+            first = labelled.where(~ends).groupBy("bucket", lot.alias("_lot")).agg(F.max(F.struct("_shared", "id", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.root").alias("_led"))
+            last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", F.col("id").alias("leader"), F.col("root").alias("_led"))
+            lead = keep(first.union(last))
+            pairs = labelled.join(lead, "bucket").where(F.col("root") != F.col("_led")).select(*ordered_pair("leader", "id"))
+            links = keep(links.union(verified(pairs, nodes, texts, words, similarity, keep)))
+            found = components(links)
+            done = lead.select("bucket", F.col("leader").alias("id"))
+            left = keep(labelled.where(~ends).select("bucket", "id", "_shared").join(done, ["bucket", "id"], "left_anti"))
+            leaders *= 2
+        return found  # a checkpoint of its own
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, few: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay: of texts linked by equal words or by shingle sets alike to ``similarity``, the smallest id.
 
-    Candidates share a shingle of their prefixes (see prefix_marks), so all pairs
-    alike to ``similarity`` are among them. Shingles that are in more than ``few``
-    prefixes by hash alone go last, the COMMON most frequent at most: these order
-    the work and leave the result as it is. Rows without an id stay.
+    Candidates have SimHash fingerprints that meet in Golay keys, or share a shingle of
+    their prefixes (see prefix_marks): all pairs alike to ``similarity`` are among
+    them. Shingles that are in more than OFTEN prefixes by hash alone go last, the COMMON
+    most frequent at most: these order the work and leave the result as it is. Rows
+    without an id stay; null and blank texts are equal; of rows that share an id all
+    stay or none.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
     def marked(common=None) -> DataFrame:
         marks = rows.select("id", prefix_marks(words, similarity, common)("text").alias("w")).select("id", "w.*")
-        return cut(marks.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "prefix")]).drop("key"))
+        return cut(marks.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "fp", "parity", "prefix")]).drop("key"))
 
     nodes = marked()
-    counts = nodes.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > few)
-    often = [r.s for r in counts.orderBy(F.desc("count"), "s").limit(COMMON).select("s").collect()]
-    if often:
-        nodes = marked(docs.sparkSession.sparkContext.broadcast(np.sort(np.array(often, np.int64))))
+    counts = nodes.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > OFTEN)
+    often = counts.orderBy(F.desc("count"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy(np.int64)
+    if len(often):
+        nodes = marked(docs.sparkSession.sparkContext.broadcast(np.sort(often)))
     gone = similar_components(nodes, rows, words, similarity, few).select(F.col("node").alias("id"))
     kept = nodes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("_stay"))
     return docs.join(kept, docs[doc_id] == kept["_stay"], "left").where(F.col("_stay").isNotNull() | F.col(doc_id).isNull()).drop("_stay")
