@@ -1,10 +1,10 @@
 """Operator 8: main text of web pages as the maximum-scoring run of tokens.
 
 A page becomes a sequence of tokens: words and tags. A word scores by the element
-that it is in and a tag by its name: in general a word is positive and a tag
-negative, and weights learned from labelled pages (those whose author marked the
-article) shift this: a tag or a place seen mostly inside articles scores higher,
-one seen mostly outside scores far lower. One linear scan finds the run of tokens
+that it is in, with its class, and a tag by its name: in general a word is positive
+and a tag negative, and weights learned from labelled pages (those whose author
+marked the article) shift this: a tag or a place seen mostly inside articles scores
+higher, one seen mostly outside scores far lower, be it listed below or not. One linear scan finds the run of tokens
 with the largest sum. The text of the run, without what sits in elements that
 are never content (menus, footers, asides, forms, scripts, notices, adverts,
 comments by readers), is cut into blocks at block tags.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,13 +33,15 @@ from pyspark.sql import types as T
 
 from presentia.llm.common import read_table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MARK = re.compile(r"<(?:(!--|!\[CDATA\[|[!?])|(/?)([a-zA-Z][^\s/>]*))")
+ENDS = {"!--": "-->", "![CDATA[": "]]>", "!": ">", "?": ">"}
+QUOTED = re.compile(r"=\s*([\"'])")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 # HTML's element kinds.
 RAW = frozenset("script style noscript template textarea title iframe svg math select object canvas xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-PLACES = frozenset("nav header footer aside form article main menu dialog button figcaption table ul ol".split())
+PLACES = frozenset("nav header footer aside form article main menu dialog button figcaption table ul ol section div".split())
 NEVER = frozenset("nav footer aside form menu dialog button head".split()) | RAW
 # Words in class, id and role that name what is not content.
 BOILERPLATE = re.compile(
@@ -47,8 +50,8 @@ BOILERPLATE = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Prior scores: a word, a word of a link, anything in an element that is never content (and so never in the text), a tag.
-WORD, LINK_WORD, BAD, TAG = 1.0, -0.5, -0.2, -0.6
+#: Prior scores: a word, a word of a link, a word of an element that is never content, one of these inside an article (which goes in any case), a tag.
+WORD, LINK_WORD, NEVER_WORD, ASIDE, TAG = 1.0, -0.5, -1.0, -0.2, -0.6
 COUNTS = T.StructType([T.StructField("token", T.StringType()), T.StructField("inside", T.LongType()), T.StructField("outside", T.LongType())])
 RESULT = T.StringType()
 
@@ -69,50 +72,72 @@ def never_content(name: str, attributes: str) -> bool:
     return False
 
 
+def tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at ``at``; a ">" in a quoted value doesn't end it, unless the quote never closes."""
+    first = at
+    while True:
+        end = page.find(">", at)
+        quote = QUOTED.search(page, at, end if end >= 0 else len(page))
+        close = page.find(quote[1], quote.end()) if quote else -1
+        if close < 0:
+            plain = end if end >= 0 else page.find(">", first)
+            return plain + 1 if plain >= 0 else len(page)
+        at = close + 1
+
+
+def place_name(name: str, attributes: str) -> str:
+    """An element's name with its class or else id, digits left out."""
+    given = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
+    own = re.sub(r"\d+", "", given.get("class") or given.get("id") or "")[:40]
+    return f"{name}.{own}" if own else name
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, bad, in_article) for each token in page order.
+    """(kind, text, bad, in_article) for each token in page order, in one pass.
 
     kind is "word/place" for a run of text and "tag/name" for a tag; ``bad`` says
     that it is inside an element that is never content. A <header> counts so
     unless it is inside an article.
     """
-    stack: list[tuple[str, bool]] = []  # open places and elements that are never content
+    stack: list[tuple[str, str, bool]] = []  # open elements: name, place, whether never content
+    open_names: Counter = Counter()
     bad = articles = at = 0
     link = False
 
     def place() -> str:
-        return "a" if link else stack[-1][0] if stack else "body"
+        return "a" if link else stack[-1][1] if stack else "body"
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := MARK.search(page, at):
         if m.start() > at:
             yield "word/" + place(), page[at : m.start()], bad > 0, articles > 0
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue  # a comment or declaration
-        link = name == "a" and not m[1] or link and name in INLINE and name != "a"
-        if m[1]:
+        if m[1]:  # a comment or declaration
+            end = page.find(ENDS[m[1]], m.end())
+            at = end + len(ENDS[m[1]]) if end >= 0 else len(page)
+            continue
+        at, name = tag_end(page, m.end()), m[3].lower()
+        attributes = page[m.end() : at].rstrip(">")
+        link = name == "a" and not m[2] or link and name in INLINE and name != "a"
+        if m[2]:
             closed = bad > 0
-            if any(x[0] == name for x in stack):
-                while stack:
-                    top, was_bad = stack.pop()
-                    bad -= was_bad
-                    articles -= top in ("article", "main")
-                    if top == name:
-                        break
+            while open_names[name]:
+                top, _, was_bad = stack.pop()
+                open_names[top] -= 1
+                bad -= was_bad
+                articles -= top in ("article", "main")
+                if top == name:
+                    break
             yield "tag//" + name, "", closed, articles > 0
             continue
-        is_bad = never_content(name, m[3] or "") or name == "header" and not articles
-        if name in RAW and not (m[3] or "").endswith("/"):
+        is_bad = never_content(name, attributes) or name == "header" and not articles
+        if name in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             yield "tag/" + name, "", True, articles > 0
             continue
         yield "tag/" + name, "", bad + is_bad > 0, articles > 0
-        if name not in VOID and (name in PLACES or name == "header" or is_bad or name == "div" and stack):
-            stack.append((name, is_bad))
+        if name not in VOID and (name in PLACES or is_bad or name not in INLINE and "class" in attributes):
+            stack.append((name, place_name(name, attributes), is_bad))
+            open_names[name] += 1
             bad += is_bad
             articles += name in ("article", "main")
     if at < len(page):
@@ -127,11 +152,9 @@ def token_counts(pages: DataFrame, html: str) -> DataFrame:
             seen: dict[str, list[int]] = {}
             for page in batch["page"]:
                 for kind, text, bad, inside in tokens(page or ""):
-                    if bad:
-                        continue  # never in the text, and so no news of what is
                     n = len(text.split()) if kind.startswith("word/") else 1
                     pair = seen.setdefault(kind, [0, 0])
-                    pair[0 if inside else 1] += n
+                    pair[0 if inside and not bad else 1] += n
             yield pd.DataFrame([(k, a, b) for k, (a, b) in seen.items()], columns=COUNTS.names)
 
     each = pages.select(F.col(html).alias("page")).mapInPandas(count, COUNTS)
@@ -158,7 +181,15 @@ def learn_weights(pages: DataFrame, url: str, html: str, sample: int = 2000, voc
 
 
 def prior_score(kind: str) -> float:
-    return LINK_WORD if kind == "word/a" else WORD if kind.startswith("word/") else TAG
+    if not kind.startswith("word/"):
+        return TAG
+    return LINK_WORD if kind == "word/a" else NEVER_WORD if kind[5:].partition(".")[0] in NEVER else WORD
+
+
+def score(kind: str, weights: dict[str, float]) -> float:
+    """The weight of a kind of token; of a place with a class that isn't known, that of the element."""
+    plain = kind.partition(".")[0]
+    return weights.get(kind, weights.get(plain, prior_score(plain)))
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -177,9 +208,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The text of a page's best run."""
     seen = list(tokens(page or ""))
     scores = []
-    for kind, text, bad, _ in seen:
+    for kind, text, bad, inside in seen:
         n = len(text.split()) if kind.startswith("word/") else 1
-        scores.append(n * (BAD if bad else weights.get(kind, prior_score(kind))))
+        scores.append(n * (ASIDE if bad and inside else min(ASIDE, score(kind, weights)) if bad else score(kind, weights)))
     first, last = best_run(scores)
     blocks, block = [], []
     for kind, text, bad, _ in seen[first:last]:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import types
 import zlib
 
@@ -495,6 +496,35 @@ def test_html_text(spark):
     assert html_text.main_text(PAGE, {}) == ARTICLE
 
 
+def test_learned_places_decide_the_run(spark, monkeypatch):
+    """Boxes that no list names go because labelled pages have them outside their articles only."""
+    box = "<div class=zq7><p>offers of the day and more of the same here</p></div>"
+    labelled = [f"<body>{box}<article><h1>T{i}</h1><p>some words of an article number {i}<br>and more of them</p></article><div class=kx>words below it</div>" for i in range(60)]
+    bare = f"<body>{box}<div><p>the story as it is told without marks, long enough</p><p>and a second part of it, in as many words</p></div><div class=kx>words below it</div>"
+    story = "the story as it is told without marks, long enough and a second part of it, in as many words"
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate([*labelled, bare])], "page_id LONG, url STRING, html STRING")
+    weights = html_text.learn_weights(pages, "url", "html")
+    assert weights["word/div.zq"] < 0 < weights["word/article"] and html_text.main_text(bare, weights) == story
+    assert {r.text for r in html_text.extract_text(pages).where("page_id = 60").collect()} == {story}
+
+    def brute(page):  # every run of tokens, of ties the longest
+        seen = [(k, t, bad, (len(t.split()) if k.startswith("word/") else 1) * html_text.score(k, weights)) for k, t, bad, _ in html_text.tokens(page)]
+        runs = [(sum(x[3] for x in seen[i:j]), j - i, i, j) for i in range(len(seen)) for j in range(i + 1, len(seen) + 1)]
+        _, _, i, j = max(runs)
+        return " ".join(" ".join(x[1] for x in seen[i:j] if x[0].startswith("word/") and not x[2]).split())
+
+    assert brute(bare) == story and all(brute(x) == html_text.main_text(x, weights) for x in labelled[:5])
+    monkeypatch.setattr(html_text, "best_run", lambda scores: (0, len(scores)))
+    assert html_text.main_text(bare, weights) != story
+
+
+@pytest.mark.parametrize("page", ["<a \"'" * 300_000, "<a =\"x" * 150_000, "<nav>" + "<div>" * 50_000 + "</aside>" * 50_000, "<!--" * 250_000, "<" * 1_000_000])
+def test_long_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page, {})
+    assert time.process_time() - began < 3
+
+
 def test_best_run_is_the_largest_sum():
     rng = random.Random(0)
     for _ in range(300):
