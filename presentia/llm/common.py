@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,28 +36,38 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(DROP_SHUFFLES, before)
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function that writes a table to the shared folder and reads it back; all its tables go at the end.
+class Scratch:
+    """Tables in the shared folder that go when they are dropped, or all at the end of a ``with`` block.
 
     Unlike a checkpoint a table has its true size, so that in a loop of joins the
     planner's estimates don't multiply from round to round.
     """
-    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
-    def keep(df: DataFrame) -> DataFrame:
-        before, path = spark.conf.get(DROP_SHUFFLES, "false"), f"{folder}/{uuid.uuid4().hex}"
-        spark.conf.set(DROP_SHUFFLES, "true")
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back."""
+        before, path = self.spark.conf.get(DROP_SHUFFLES, "false"), f"{self.folder}/{uuid.uuid4().hex}"
+        self.spark.conf.set(DROP_SHUFFLES, "true")
         try:
             df.select("*").write.parquet(path)
         finally:
-            spark.conf.set(DROP_SHUFFLES, before)
-        return spark.read.schema(df.schema).parquet(path)
-
-    try:
-        yield keep
-    finally:
-        remove(spark, folder)
+            self.spark.conf.set(DROP_SHUFFLES, before)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for table in tables:
+            remove(self.spark, self.paths.pop(id(table))[1])
+
+    def __exit__(self, *error) -> None:
+        remove(self.spark, self.folder)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

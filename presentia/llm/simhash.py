@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presentia.llm.common import WORD, cut, let, read_table, scratch
+from presentia.llm.common import WORD, Scratch, cut, let, read_table
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -157,7 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
     until all edges go straight to roots; rounds grow with the logarithm of the
     longest chain.
     """
-    with scratch(edges.sparkSession) as keep:
+    with Scratch(edges.sparkSession) as keep:
         e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
         while not _settled(e):
             both = _both_ways(e, ("u", "v"), ("v", "u"))
@@ -310,7 +310,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
     component or all outside its largest component have led. So no pair in a bucket
     goes untested unless both nodes are linked already.
     """
-    with scratch(nodes.sparkSession) as keep:
+    with Scratch(nodes.sparkSession) as keep:
         links = verified(golay_pairs(nodes), nodes, texts, words, similarity, keep)
         found = components(links)
         keyed = nodes.select("id", F.explode("prefix").alias("bucket"))
