@@ -459,20 +459,35 @@ def test_kneser_ney_equals_brute_force(spark):
         return own + (given[u] / total[u] if u in total else 1) * share(w)
 
     probe = [train[0], "w1x w2x never seen", "", None, *(prose(rng, 20, 80) for _ in range(5))]
-    tokens, logp = kneser_ney.log_probabilities(model, probe)
-    for t, k, got in zip(probe, tokens, logp, strict=True):
+    wanted = []
+    for t in probe:
         w = ["<s>", *lowered(t), "</s>"]
-        assert k == len(w) - 1 and got == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(w, w[1:], strict=False)), rel=1e-5)
+        pairs = list(zip(w, w[1:], strict=False))
+        wanted.append((len(pairs), *(pytest.approx(sum(math.log10(p(*x)) for x in some), rel=1e-5) for some in (pairs, set(pairs)))))
+    texts = documents(spark, probe).select(F.col("doc_id").alias("row"), "text")
+    for way in (kneser_ney.by_look_up, kneser_ney.by_joins):
+        assert [tuple(r._s) for r in way(texts, model).orderBy("row").collect()] == wanted
 
 
 def test_classifier_rejects_junk(spark):
     rng = random.Random(12)
     good = [prose(rng, 80, 300) for _ in range(300)]
     junk = [" ".join(f"{rng.getrandbits(40):x}%%" for _ in range(80)) for _ in range(10)]
-    docs = documents(spark, [*good, *junk, None, ""], ["en", "fr", None])
+    docs = documents(spark, [*good, *junk, None, "", "w1x " * 200, "w1x w2x w1x w3x " * 90], ["en", "fr", None])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(300, 0, 0)], "doc_id LONG, quality INT, toxic INT")
     rows = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
-    assert len(rows) == 312 and sum(rows[i].kept for i in range(300)) > 280 and not any(rows[i].kept for i in range(300, 310))
+    assert len(rows) == 314 and sum(rows[i].kept for i in range(300)) > 270 and not any(rows[i].kept for i in [*range(300, 310), 312, 313])
+    held = labels.where(F.xxhash64(F.lit(7), "doc_id") % 2 != 0).where("quality = 1").select("doc_id").collect()
+    for lang in ("en", "fr"):
+        x = sorted(rows[r.doc_id].perplexity for r in held if rows[r.doc_id].lang == lang)
+        y = sorted(rows[r.doc_id].novelty for r in held if rows[r.doc_id].lang == lang)
+        ends = np.quantile(x, 0.003) / 1.1, np.quantile(x, 0.99) * 1.1, np.quantile(y, 0.005) / 1.1
+        for r in rows.values():
+            if r.lang == lang:
+                assert (r.lowest, r.highest, r.least_novelty) == tuple(pytest.approx(v) for v in ends)
+    assert all(r.kept == (r.lowest <= r.perplexity <= r.highest and r.novelty >= r.least_novelty) for r in rows.values())
+    joined = {r.doc_id: r for r in kneser_ney.classify(docs, labels, in_memory=10).collect()}
+    assert all(joined[d].kept == r.kept and joined[d].perplexity == pytest.approx(r.perplexity, rel=1e-4) for d, r in rows.items())
     assert all(r.kept for r in kneser_ney.classify(docs, labels.where("quality > 1")).collect())
 
 
