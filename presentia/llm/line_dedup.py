@@ -1,21 +1,22 @@
 """Operator 6: line dedup by pairwise alignment.
 
-Lines are compared by hash after trimming. An anchor is the shortest run of lines
-from one that isn't blank that has ``min_words`` or more in all: every block of so
-many words begins with one, after blank lines. Every document that holds an anchor,
-however frequent, is paired with the first (smallest
-id) that holds it, and with no other: pairs grow with the lines, never with the
-square of a group, and the first document keeps the lines. A pair is aligned by
-patience diff: lines unique on both sides, their longest increasing run,
-extended over equal neighbours and within the gaps. Aligned common blocks of
-``min_words`` or more are deleted from the later document, and what is left of
-it is aligned again until no block is found, so moved blocks go as well.
+Lines that aren't blank are compared by 128 bits of hash after trimming. Anchors are
+the shortest runs of lines of ``min_words`` words or more, one that begins and one that
+ends at each line: any common block of so many words is covered by the anchors
+in it. Every anchor, however frequent, pairs its document with the first (smallest
+id) that holds it, and with no other, so rows grow with the lines, never with the
+square of a group, and no document's lines are sent along with a pair. The anchors of
+a pair are aligned by patience diff: those that are once on both sides, their longest
+increasing run, extended over the others that fit between. Aligned blocks are deleted
+from the later document, and so are blocks that moved, which aligning what is left
+again and again would find, unless ``moved`` is off. With it, what goes are exactly
+the lines in a run of ``min_words`` or more that an earlier document has.
 
 Defined results: null texts and null ids are left as they are; blank lines are
-deleted only inside a block; rows that share an id are one document, of which the
-smallest array of lines is aligned; exact copies but the first become empty (""),
-and ``drop_emptied`` drops these; an empty table gives an empty result. Columns
-named as the result's (n_lines, removed_lines, n_removed) are replaced.
+deleted where the lines before and after them are; rows that share an id are one
+document, of which the smallest array of lines is aligned; exact copies but the first
+have no words left, and ``drop_emptied`` drops these; an empty table gives an empty
+result. Columns named as the result's (n_lines, removed_lines, n_removed) are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from presentia.llm.common import cut, let, read_table
 
 SPACE = " \t\x0b\x0c\r"
 POSITIONS = T.ArrayType(T.IntegerType())
-LONGS = T.ArrayType(T.LongType())
+ANCHORS = T.ArrayType(T.StructType([T.StructField("hash", T.BinaryType()), *(T.StructField(c, T.IntegerType()) for c in ("place", "upto", "first", "last"))]))
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -55,96 +56,81 @@ def longest_rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned(a: list[int], b: list[int]) -> dict[int, int]:
-    """Positions of ``a`` with those of ``b`` that patience diff aligns them to."""
-    match: dict[int, int] = {}
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        if a0 >= a1 or b0 >= b1:
+def aligned(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the matches (position in the later, in the earlier document) patience diff aligns."""
+    pairs, which = np.unique(np.stack([i, -j], axis=1), axis=0, return_inverse=True)  # of one place the latest first, so that a rising run has it once
+    i, j = pairs[:, 0].tolist(), (-pairs[:, 1]).tolist()
+    in_a, in_b = Counter(i), Counter(j)
+    once = [k for k in range(len(i)) if in_a[i[k]] == in_b[j[k]] == 1] or list(range(len(i)))
+    spine = [once[k] for k in longest_rising([j[k] for k in once])]
+    fits, last_i, last_j, at = np.zeros(len(i), bool), -1, -1, 0
+    for k in range(len(i)):
+        if at < len(spine) and k == spine[at]:
+            at += 1
+        elif not (i[k] > last_i and j[k] > last_j and (at == len(spine) or i[k] < i[spine[at]] and j[k] < j[spine[at]])):
             continue
-        in_b = Counter(b[b0:b1])
-        in_a = Counter(x for x in a[a0:a1] if x in in_b)
-        if not in_a:
-            continue
-        once = {x for x in in_a if in_a[x] == in_b[x] == 1} or set(in_a)
-        first_b: dict[int, int] = {}
-        for j in range(b0, b1):
-            if b[j] in once:
-                first_b.setdefault(b[j], j)
-        seen: set[int] = set()
-        pairs = [(i, first_b[a[i]]) for i in range(a0, a1) if a[i] in once and not (a[i] in seen or seen.add(a[i]))]
-        last_a, last_b = a0, b0
-        for k in longest_rising([j for _, j in pairs]):
-            i, j = pairs[k]
-            if i < last_a or j < last_b:
-                continue  # taken by an extension
-            while i > last_a and j > last_b and a[i - 1] == b[j - 1]:
-                i, j = i - 1, j - 1
-            todo.append((last_a, i, last_b, j))
-            while i < a1 and j < b1 and a[i] == b[j]:
-                match[i] = j
-                i, j = i + 1, j + 1
-            last_a, last_b = i, j
-        todo.append((last_a, a1, last_b, b1))
-    return match
-
-
-def repeated_lines(later: list[int], words: list[int], earlier: list[int], min_words: int) -> list[int]:
-    """Positions of ``later`` in aligned blocks of ``min_words`` or more; what is left is aligned again until nothing is common."""
-    left = list(range(len(later)))
-    gone: set[int] = set()
-    while True:
-        match = aligned([later[i] for i in left], earlier)
-        blocks, before = [], None
-        for k in sorted(match):
-            if before is not None and k == before + 1 and match[k] == match[before] + 1:
-                blocks[-1].append(left[k])
-            else:
-                blocks.append([left[k]])
-            before = k
-        found = {i for block in blocks if sum(words[i] for i in block) >= min_words for i in block}
-        if not match:
-            return sorted(gone)
-        gone |= found
-        # short blocks are set aside first, as they may stand in the way of longer ones that moved
-        aside = found or {left[k] for k in match}
-        left = [i for i in left if i not in aside]
-
-
-def anchors(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """Distinct hashes of the shortest runs of lines of ``min_words`` or more, one from each line that isn't blank."""
-    total = np.cumsum(words)
-    ends = np.searchsorted(total, total - words + min_words) + 1
-    starts = np.flatnonzero((words > 0) & (ends <= len(words)))
-    return np.array(sorted({xxhash.xxh64_intdigest(hashes[i : ends[i]].tobytes()) for i in starts.tolist()}), np.uint64).view(np.int64)
-
-
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 8, drop_emptied: bool = False) -> DataFrame:
+        fits[k], last_i, last_j = True, i[k], j[k]
+    return fits[which.reshape(-1)]
+
+
+def anchors(one: np.ndarray, two: np.ndarray, words: np.ndarray, at: np.ndarray, min_words: int) -> list[tuple[bytes, int, int, int, int]]:
+    """(hash, first and last place among lines that aren't blank, first and last line) of the runs of ``min_words`` or more, one from each line and one to each."""
+    if not len(one):
+        return []
+    total, both = np.cumsum(words), np.stack([one, two], axis=1)
+    ends = np.searchsorted(total, total - words + min_words)  # last line of the run from each
+    starts = np.searchsorted(total - words, total - min_words, "right") - 1  # first line of the run to each
+    n = len(one)
+    runs = sorted({(a, b) for a, b in zip(range(n), ends.tolist(), strict=True) if b < n} | {(a, b) for a, b in zip(starts.tolist(), range(n), strict=True) if a >= 0})
+    return [(xxhash.xxh3_128_digest(both[a : b + 1].tobytes()), a, b, int(at[a]), int(at[b])) for a, b in runs]
+
+
+def covered(place: np.ndarray, upto: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The lines of runs, and the blank ones between a run and one that follows it."""
+    if not len(place):
+        return np.zeros(0, np.int64)
+    order = np.argsort(place, kind="stable")
+    reach = np.maximum.accumulate(upto[order])
+    begins = np.append(True, place[order][1:] > reach[:-1] + 1)
+    at = np.flatnonzero(begins)
+    return np.concatenate([np.arange(a, b + 1) for a, b in zip(first[order][at], np.maximum.reduceat(last[order], at), strict=True)])
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 8, drop_emptied: bool = False, moved: bool = True) -> DataFrame:
     """``docs`` with repeated blocks deleted from ``text``, and n_lines, removed_lines (positions from 0) and n_removed."""
     docs = docs.drop("n_lines", "removed_lines", "n_removed")
     split = F.split(F.col(text), "\n")
     trimmed = F.transform(split, lambda x: F.trim(x, F.lit(SPACE)))
     count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"[\x20\x09-\x0D]+")))
     lines = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), trimmed.alias("lines"))
-    lines = lines.select("id", F.struct(F.transform("lines", lambda x: F.xxhash64(x)).alias("hash"), F.transform("lines", count).alias("words")).alias("l"))
-    lines = cut(lines.groupBy("id").agg(F.min("l").alias("l")))
-
-    @F.pandas_udf(LONGS)
-    def anchors_of(hashes: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([anchors(h, w, min_words) for h, w in zip(hashes, words, strict=True)], dtype=object)
-
-    each = cut(lines.select("id", F.explode(anchors_of("l.hash", "l.words")).alias("hash")))
-    shared = each.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("hash", "owner")
-    pairs = each.join(cut(shared), "hash").where("id > owner").select("id", "owner").distinct()
-    owners = lines.select(F.col("id").alias("owner"), F.col("l.hash").alias("earlier"))
-    met = pairs.join(lines, "id").join(owners, "owner")
+    hashes = [F.transform("lines", lambda x: F.xxhash64(x)).alias("one"), F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("two")]
+    lines = lines.select("id", F.struct(*hashes, F.transform("lines", count).alias("words")).alias("l"))
+    lines = lines.groupBy("id").agg(F.min("l").alias("l"))
+
+    @F.pandas_udf(ANCHORS)
+    def anchors_of(lines: pd.DataFrame) -> pd.Series:
+        rows = []
+        for one, two, words in zip(*(lines[c].map(np.asarray) for c in ("one", "two", "words")), strict=True):
+            at = np.flatnonzero(words)
+            rows.append(anchors(one[at], two[at], words[at], at, min_words))
+        return pd.Series(rows, dtype=object)
+
+    each = cut(lines.select("id", F.explode(anchors_of("l")).alias("a")).select("id", "a.*"))
+    shared = each.groupBy("hash").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+    shared = shared.select("hash", F.col("first.id").alias("owner"), F.col("first.place").alias("there"))
+    met = each.join(shared, "hash").where("id > owner").select("id", "owner", "place", "upto", "there", "first", "last")
 
     @F.pandas_udf(POSITIONS)
-    def repeated(later: pd.Series, words: pd.Series, earlier: pd.Series) -> pd.Series:
-        return pd.Series([repeated_lines(a.tolist(), w.tolist(), b.tolist(), min_words) for a, w, b in zip(later, words, earlier, strict=True)], dtype=object)
-
-    removed = met.select("id", F.explode(repeated("l.hash", "l.words", "earlier")).alias("at"))
+    def repeated(matches: pd.Series) -> pd.Series:
+        out = []
+        for rows in matches:
+            i, j, *runs = (np.array([x[c] for x in rows]) for c in ("place", "there", "upto", "first", "last"))
+            keep = np.ones(len(i), bool) if moved else aligned(i, j)
+            out.append(covered(i[keep], *(x[keep] for x in runs)))
+        return pd.Series(out, dtype=object)
+
+    pair = met.groupBy("id", "owner").agg(F.collect_list(F.struct("place", "upto", "there", "first", "last")).alias("matches"))  # two at most for each line of one document
+    removed = pair.select("id", F.explode(repeated("matches")).alias("at"))
     removed = removed.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("removed_lines"))  # positions of one document
     removed = removed.withColumnRenamed("id", "_of")
     out = docs.join(removed, docs[doc_id] == removed["_of"], "left").drop("_of")
@@ -153,7 +139,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed_lines"))
     rebuilt = let(split, lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))
     if drop_emptied:
-        out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+        # nothing is left of a document if all its lines but blank ones are gone
+        out = out.where((F.col("n_removed") == 0) | rebuilt.rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn(text, F.when(F.col("n_removed") > 0, rebuilt).otherwise(F.col(text)))
 
 

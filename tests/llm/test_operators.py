@@ -390,15 +390,58 @@ def test_bpe_equals_the_library(spark, texts, encoding):
 
 
 def test_patience_alignment():
-    assert line_dedup.aligned([1, 2, 3, 9], [0, 1, 2, 3]) == {0: 1, 1: 2, 2: 3}
-    assert line_dedup.repeated_lines([1, 2, 3, 4], [9, 9, 9, 9], [3, 4, 1, 2], 8) == [0, 1, 2, 3]
-    assert line_dedup.repeated_lines([7, 7, 1], [2, 2, 2], [7, 7, 7, 5], 8) == []
+    aligned = lambda *pairs: line_dedup.aligned(*map(np.array, zip(*pairs, strict=True))).tolist()
+    assert aligned((0, 1), (1, 2), (2, 3)) == [True] * 3 and aligned((0, 2), (1, 0), (2, 1)) == [False, True, True]
+    assert sum(aligned((0, 5), (1, 5), (2, 6))) == 2 and aligned((0, 1), (0, 1), (1, 2)) == [True] * 3
     rng = random.Random(3)
     for _ in range(300):
-        a, b = [rng.randrange(9) for _ in range(rng.randrange(12))], [rng.randrange(9) for _ in range(rng.randrange(12))]
-        match = line_dedup.aligned(a, b)
-        assert all(a[i] == b[j] for i, j in match.items())
-        assert [match[i] for i in sorted(match)] == sorted(set(match.values()))
+        i = np.array([rng.randrange(9) for _ in range(rng.randint(1, 12))])
+        j = np.array([rng.randrange(9) for _ in i])
+        keep = line_dedup.aligned(i, j)
+        kept = np.array(sorted(set(zip(i[keep].tolist(), j[keep].tolist(), strict=True))))
+        assert keep.any() and (np.diff(kept, axis=0) > 0).all()
+
+
+def lines_by_brute_force(texts, least=8):
+    """Positions of lines that are in a run of ``least`` words or more that an earlier document has, and of the blank ones between such lines."""
+    seen, out = set(), []
+    for t in texts:
+        rows = [(k, x.strip(" \t\x0b\x0c\r")) for k, x in enumerate((t or "").split("\n"))]
+        rows = [(k, x, len(WORDS.findall(x))) for k, x in rows if x]
+        runs = [(a, b, tuple(x for _, x, _ in rows[a:b])) for a in range(len(rows)) for b in range(a + 1, len(rows) + 1) if sum(n for _, _, n in rows[a:b]) >= least]
+        gone = sorted({k for a, b, x in runs if x in seen for k in range(a, b)})
+        lines = {rows[k][0] for k in gone}
+        for a, b in zip(gone, gone[1:], strict=False):
+            lines |= set(range(rows[a][0], rows[b][0])) if b == a + 1 else set()
+        out.append(sorted(lines))
+        seen |= {x for _, _, x in runs}
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(12)
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(25)] + [""] * 6
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(60)]
+    texts += ["\n".join(x for t in rng.sample(texts, 2) for x in t.split("\n")) for _ in range(40)]
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(documents(spark, texts)).collect()}
+    brute = lines_by_brute_force(texts)
+    # a blank line between lines that two different documents have stays
+    full = lambda d, at: [k for k in at if texts[d].split("\n")[k]]
+    assert [full(d, rows[d].removed_lines) for d in range(100)] == [full(d, x) for d, x in enumerate(brute)] and sum(map(len, brute)) > 100
+    assert all(set(rows[d].removed_lines) <= set(x) for d, x in enumerate(brute))
+
+
+def test_a_document_of_many_owners(spark):
+    """10,000 lines, each of which another document has first: rows stay as many as lines."""
+    rng = random.Random(2)
+    lines = [" ".join(f"{rng.getrandbits(24):x}" for _ in range(9)) for _ in range(10_000)]
+    docs = documents(spark, [*lines, "\n".join(lines)])
+    began = time.time()
+    (last,) = line_dedup.line_dedup(docs).where("doc_id = 10000").collect()
+    assert last.n_removed == 10_000 and last.text == "" and time.time() - began < 60
+    both = documents(spark, ["\n".join(lines), "\n".join(x for a, b in zip(lines[::2], lines[1::2], strict=True) for x in (b, a))])
+    assert [r.n_removed for r in line_dedup.line_dedup(both).orderBy("doc_id").collect()] == [0, 10_000]
+    assert [r.n_removed for r in line_dedup.line_dedup(both, moved=False).orderBy("doc_id").collect()] == [0, 5_000]
 
 
 def test_line_dedup_deletes_from_later_documents(spark):

@@ -11,7 +11,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as pipeline
-from presentia.llm import bpe, line_dedup, quality_rules
+from presentia.llm import bpe, quality_rules
+from tests.llm.test_operators import lines_by_brute_force
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
@@ -82,22 +83,12 @@ def test_quality_stage(tables):
 
 def test_line_stage(tables):
     _, _, (before, rows, *_) = tables
-    lines = {r.doc_id: [x.strip() for x in r.text.split("\n")] for r in sorted(before)}
-    holders = collections.defaultdict(list)
-    for d, ls in lines.items():
-        for x in set(ls):
-            holders[x].append(d)
-    count = collections.Counter(x for ls in lines.values() for x in ls)
+    before = sorted(before)
     expected = {}
-    for r in before:
-        ls = lines[r.doc_id]
-        n = [len(x.split()) for x in ls]
-        anchors = [x for x, k in zip(ls, n, strict=True) if k >= 8 and (count[x] <= 20 or k >= 20)]
-        gone = set()
-        for owner in {min(holders[x]) for x in anchors} - {r.doc_id}:
-            gone |= set(line_dedup.repeated_lines(ls, n, lines[owner], 8))
-        if len(gone) < len(ls):
-            expected[r.doc_id] = "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone)
+    for r, gone in zip(before, lines_by_brute_force([r.text for r in before]), strict=True):
+        left = "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone)
+        if left.strip():
+            expected[r.doc_id] = left
     assert {r.doc_id: r.text for r in rows} == expected and len(expected) < len(before)
 
 
