@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presentia.functions import dna
 from presentia.operators import matrix
 from presentia.sources import readers, writers
 
@@ -101,11 +102,10 @@ class PresenceMatrix:
 
     def add(self, hits: DataFrame) -> PresenceMatrix:
         """With the cells (genome_id, ordinal) set to 1 as well."""
-        width = self.marker_number
-        old = matrix.to_long(self.bits)
-        new = hits.select("genome_id", F.col("ordinal").cast("int").alias("ordinal"), F.lit(1).cast("tinyint").alias("present"))
-        bits = matrix.from_long(matrix.merge(old, new), width)
-        return PresenceMatrix(self.bits.drop("bits").join(bits, "genome_id"), self._markers)
+        new = hits.groupBy("genome_id").agg(F.collect_set(F.col("ordinal").cast("int")).alias("_new"))
+        both = dna.bits_of(F.array_union(dna.ones_of(F.col("bits")), F.col("_new")), F.lit(self.marker_number))
+        bits = self.bits.join(new, "genome_id", "left").withColumn("bits", F.when(F.col("_new").isNull(), F.col("bits")).otherwise(both))
+        return PresenceMatrix(bits.drop("_new"), self._markers)
 
     def reset(self) -> PresenceMatrix:
         """All zeros."""
@@ -121,7 +121,7 @@ class PresenceMatrix:
 
 
 class MarkerFinder:
-    """Holds genomes and markers and computes their matrix once; setting either forgets it."""
+    """Holds genomes and markers and their matrix, which Spark keeps once it is computed; setting either forgets it."""
 
     def __init__(self, markers: DataFrame | None = None, genomes: DataFrame | None = None, strategy: str = "auto"):
         self._markers, self._genomes, self.strategy, self._matrix = markers, genomes, strategy, None
@@ -132,7 +132,8 @@ class MarkerFinder:
 
     @markers.setter
     def markers(self, value: DataFrame) -> None:
-        self._markers, self._matrix = value, None
+        self.clear_state()
+        self._markers = value
 
     @property
     def genomes(self) -> DataFrame | None:
@@ -140,16 +141,19 @@ class MarkerFinder:
 
     @genomes.setter
     def genomes(self, value: DataFrame) -> None:
-        self._genomes, self._matrix = value, None
+        self.clear_state()
+        self._genomes = value
 
     def clear_state(self) -> None:
+        if self._matrix is not None:
+            self._matrix.bits.unpersist()
         self._matrix = None
 
     def run(self) -> PresenceMatrix:
         if self._markers is None or self._genomes is None:
             raise ValueError("set markers and genomes first")
         if self._matrix is None:
-            self._matrix = PresenceMatrix(MarkerIndex(self._markers).match(self._genomes, self.strategy), self._markers)
+            self._matrix = PresenceMatrix(MarkerIndex(self._markers).match(self._genomes, self.strategy).persist(), self._markers)
         return self._matrix
 
     @property

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VALID = "^[ACGT]+$"
+#: All triples in order, each with a blank: a triple begins at four times its number.
+TRIPLES = "".join(a + b + c + " " for a in "ACGT" for b in "ACGT" for c in "ACGT")
 
 
 def normalise(seq: Column, upper: bool = True) -> Column:
@@ -42,19 +44,17 @@ def base_codes(seq: Column) -> Column:
 
 def pack3(seq: Column) -> Column:
     """Three bases a number: two bits each from the highest, and in the lowest two how many are missing at the end."""
-    code = base_codes(F.rpad(seq, (F.ceil(F.length(seq) / 3) * 3).cast("int"), "A"))
-    digit = lambda i: F.substring(code, i, F.lit(1)).cast("int")
-    missing = lambda i: F.greatest(F.lit(0), i + 2 - F.length(seq))
-    one = lambda i: F.shiftleft(digit(i), 6).bitwiseOR(F.shiftleft(digit(i + 1), 4)).bitwiseOR(F.shiftleft(digit(i + 2), 2)).bitwiseOR(missing(i))
-    starts = F.when(F.length(seq) > 0, F.sequence(F.lit(1), F.length(seq), F.lit(3))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, one)
+    missing = F.pmod(-F.length(seq), F.lit(3)).cast("int")
+    triples = F.regexp_extract_all(F.concat(seq, F.repeat(F.lit("A"), missing)), F.lit("(?s).{3}"), F.lit(0))
+    numbers = F.transform(triples, lambda x: F.instr(F.lit(TRIPLES), x) - 1)
+    last = F.array(F.element_at(numbers, -1) + missing)
+    return F.when(missing == 0, numbers).otherwise(F.concat(F.slice(numbers, F.lit(1), F.size(numbers) - 1), last))
 
 
 def unpack3(packed: Column) -> Column:
     """The bases that pack3 packed."""
-    base = lambda x, shift: F.substring(F.lit("ACGT"), F.shiftright(x, shift).bitwiseAND(F.lit(3)) + 1, F.lit(1))
-    whole = lambda x: F.concat(base(x, 6), base(x, 4), base(x, 2))
-    return F.array_join(F.transform(packed, lambda x: F.substring(whole(x), F.lit(1), 3 - x.bitwiseAND(F.lit(3)))), "")
+    three = lambda x: F.substring(F.lit(TRIPLES), x.bitwiseAND(F.lit(252)) + 1, 3 - x.bitwiseAND(F.lit(3)))
+    return F.array_join(F.transform(packed, three), "")
 
 
 def one_hot(seq: Column) -> Column:
@@ -76,6 +76,16 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def without_prefix(path: Column, prefix: str) -> Column:
+    """A manifest's entry without ``prefix``, where it begins with it."""
+    return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+
+
+def is_clean(text: Column) -> Column:
+    """Whether a file's text is a cleaned genome already: one line, and so no FASTA."""
+    return ~F.contains(F.coalesce(text, F.lit("")), F.lit("\n"))
+
+
 def after_comma(line: Column) -> Column:
     """What follows the first comma; the whole line if there is none."""
     return F.substring(line, F.locate(",", line) + 1, F.length(line))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from presentia.functions import dna
 
 STRIDE = 1 << 16
+#: Chunks of a genome that one task may match by itself.
+SPREAD = 64
 #: Markers below this length give useless seeds.
 SHORT = 10
 #: Longest seed; more bases don't make it rarer.
@@ -31,11 +33,14 @@ def distinct_markers(markers: DataFrame) -> DataFrame:
 
 
 def chunks(genomes: DataFrame, longest: int, stride: int = STRIDE, spread: bool = True) -> DataFrame:
-    """(genome_id, chunk_no, chunk): every start lies in one stride, and a match from there of up to ``longest`` bases in its chunk."""
+    """(genome_id, chunk_no, chunk): every start lies in one stride, and a match from there of up to ``longest`` bases in its chunk.
+
+    A genome that fits in one chunk isn't cut. ``spread`` deals chunks out over the cluster.
+    """
     reach = stride + max(1, longest) - 1
     pattern = f"(?=([ACGTN]{{1,{reach}}}))[ACGTN]{{1,{stride}}}"
-    cut = F.regexp_extract_all("seq", F.lit(pattern), F.lit(1))
-    out = genomes.select("genome_id", F.posexplode(cut).alias("chunk_no", "chunk"))
+    cut = F.when(F.length("seq") <= stride, F.array("seq")).otherwise(F.regexp_extract_all("seq", F.lit(pattern), F.lit(1)))
+    out = genomes.where("seq != ''").select("genome_id", F.posexplode(cut).alias("chunk_no", "chunk"))
     return out.repartition("genome_id", "chunk_no") if spread else out
 
 
@@ -74,10 +79,12 @@ def by_length(pieces: DataFrame, markers: DataFrame, lengths: list[int]) -> Data
     return reduce(DataFrame.union, [one(k) for k in lengths])
 
 
-def match(genomes: DataFrame, markers: DataFrame, strategy: str = "auto", stride: int = STRIDE, spread: bool = True) -> DataFrame:
+def match(genomes: DataFrame, markers: DataFrame, strategy: str = "auto", stride: int = STRIDE, spread: bool | None = None) -> DataFrame:
     """(genome_id, seq): each distinct marker sequence that a genome (genome_id, seq) contains.
 
     ``markers`` needs only seq; strategies are auto, nested, seeded, shuffled, by_length.
+    Unless ``spread`` says so, chunks are dealt out if some genome has more than SPREAD
+    of them; shorter genomes are matched in the task that reads them.
     """
     from presentia.plans import planner
 
@@ -85,6 +92,9 @@ def match(genomes: DataFrame, markers: DataFrame, strategy: str = "auto", stride
     plan = planner.choose(planner.statistics(wanted), strategy)
     if plan.empty:
         return genomes.select("genome_id", F.col("seq")).where("false")
+    stride = max(stride, plan.longest) if stride == STRIDE else stride  # else very long markers would copy genomes many times
+    if spread is None:
+        spread = (genomes.agg(F.max(F.length("seq"))).first()[0] or 0) > SPREAD * stride
     pieces = chunks(genomes.select("genome_id", "seq"), plan.longest, stride, spread)
     parts = []
     for step in plan.steps:

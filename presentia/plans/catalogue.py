@@ -45,6 +45,38 @@ def _hits(strategy: str, **how):
     return query
 
 
+def whole_genomes(spark: SparkSession, d: str) -> DataFrame:
+    """Genomes without breaks: only the letters of a text."""
+    bare = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), LETTERS, BASES), "[^ACGT]+", "")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("genome_id"), bare.alias("seq"))
+
+
+def long_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Markers of 12 to 40 bases, all of a benchmark text cut in a row, ordinals by text and place."""
+    bare = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), LETTERS, BASES), "[^ACGT]+", "")
+    pieces = F.expr("transform(sequence(0, cast(length(bare) / width as int)), i -> substring(bare, i * width + 1, width))")
+    rows = table(spark, d, "benchmark").select("item_id", bare.alias("bare"), (F.col("item_id") % 29 + 12).cast("int").alias("width"))
+    each = rows.select("item_id", "width", F.posexplode(pieces).alias("at", "seq")).where(F.length("seq") == F.col("width"))
+    return each.select((F.col("item_id") * 100_000 + F.col("at")).alias("ordinal"), "seq")
+
+
+def _long_hits(strategy: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        m = long_markers(spark, d)
+        return matrix.fan_out(match(whole_genomes(spark, d), m, strategy), m)
+
+    return query
+
+
+def _clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(dna.is_clean(F.col("text"))).select(F.col("doc_id").alias("genome_id"))
+
+
+def _prefix(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("data/set/")).otherwise(F.lit("other/")), F.lit("g"), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select(dna.without_prefix(path, "data/set/").alias("path"))
+
+
 def _bits(spark: SparkSession, d: str) -> DataFrame:
     return matrix.presence_bits(genomes(spark, d), markers(spark, d))
 
@@ -181,6 +213,10 @@ QUERIES = {
     "presence_shuffled": _hits("shuffled"),
     "presence_by_length": _hits("by_length"),
     "presence_chunked": _hits("nested", stride=64),
+    "long_markers": long_markers,
+    **{f"long_{k}": _long_hits(k) for k in ("auto", "seeded", "shuffled")},
+    "already_clean": _clean,
+    "manifest_prefix": _prefix,
     "segments_split_n": _segments,
     "collapse_n": _collapse,
     "marker_dedupe": _dedupe,
@@ -212,6 +248,12 @@ QUERIES = {
 
 _DNA = f"regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{BASES}'), '[^ACGT]+', 'N', 'g')"
 _VIEWS = f"WITH g AS (SELECT doc_id AS genome_id, {_DNA} AS seq FROM documents), m AS (SELECT item_id AS ordinal, split_part({_DNA}, 'N', 2) AS seq FROM benchmark)"
+_BARE = f"regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{BASES}'), '[^ACGT]+', '', 'g')"
+_LONG_MARKERS = (
+    f"SELECT item_id * 100000 + i AS ordinal, seq FROM (SELECT item_id, i, substr(bare, (i * width + 1)::BIGINT, width::BIGINT) AS seq, width FROM "
+    f"(SELECT item_id, bare, width, unnest(range(0, (length(bare) // width + 1)::BIGINT)) AS i FROM (SELECT item_id, {_BARE} AS bare, item_id % 29 + 12 AS width FROM benchmark))) WHERE length(seq) = width"
+)
+_LONG_HITS = f"WITH g AS (SELECT doc_id AS genome_id, {_BARE} AS seq FROM documents), m AS ({_LONG_MARKERS}) SELECT genome_id, ordinal FROM g JOIN m ON contains(g.seq, m.seq)"
 _FOUND = "m.seq <> '' AND contains(g.seq, m.seq)"
 _HITS = f"{_VIEWS} SELECT genome_id, ordinal FROM g JOIN m ON {_FOUND}"
 _LONG = f"{_VIEWS} SELECT genome_id, ordinal, CASE WHEN {_FOUND} THEN 1 ELSE 0 END::BIGINT AS present FROM g CROSS JOIN m"
@@ -221,6 +263,10 @@ ORACLE_SQL = {
     "presence_bits": _BITS,
     "presence_long": _LONG,
     **{k: _HITS for k in ("presence_hits", "presence_nested", "presence_seeded", "presence_shuffled", "presence_by_length", "presence_chunked")},
+    "long_markers": _LONG_MARKERS,
+    **{k: _LONG_HITS for k in ("long_auto", "long_seeded", "long_shuffled")},
+    "already_clean": "SELECT doc_id AS genome_id FROM documents WHERE NOT contains(coalesce(text, ''), chr(10))",
+    "manifest_prefix": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'g' ELSE 'other/g' END || doc_id AS path FROM documents",
     "segments_split_n": f"{_VIEWS} SELECT genome_id, segment FROM (SELECT genome_id, unnest(string_split(seq, 'N')) AS segment FROM g) WHERE segment <> ''",
     "collapse_n": f"{_VIEWS} SELECT genome_id, seq FROM g",
     "marker_dedupe": f"{_VIEWS} SELECT seq, min(ordinal) AS first_ordinal, count(*) AS n, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ordinals FROM m GROUP BY seq",

@@ -47,8 +47,8 @@ def choose(stats: dict[str, dict], strategy: str = "auto") -> Plan:
     longest = max(s["most"] for s in stats.values())
     n, bases = sum(s["n"] for s in stats.values()), sum(s["bases"] for s in stats.values())
     small = n <= matching.BROADCAST_MARKERS and bases <= matching.BROADCAST_BASES
-    if strategy == "nested" and bases > matching.BROADCAST_BASES:
-        raise ValueError(f"{bases} bases of markers are too many to broadcast; use auto or shuffled")
+    if strategy == "nested" and (bases > matching.BROADCAST_BASES or n > 20 * matching.BROADCAST_MARKERS):
+        raise ValueError(f"{n} markers of {bases} bases are too many to compare with every chunk; use auto or shuffled")
     if strategy == "nested" or strategy == "auto" and small:
         return Plan([Step("nested", 1, longest)], longest)
     steps = []
