@@ -2,8 +2,9 @@
 
 Each document has two histograms: its characters by class, and its words by the
 commonest words of its language (one more bin holds all other words). Both are
-compared by Jensen-Shannon distance with the mean histogram of the language,
-which is taken over all documents that pass the base rules. A document that is
+compared by Jensen-Shannon distance with those of the language: the median share of
+each character class and the mean share of each word over all its documents of
+``min_words`` or more. A document that is
 far from its language in either is rejected; one of too few words to judge is
 rejected by the base rules already, and a histogram with fewer than
 ``min_chars`` characters isn't held against it.
@@ -16,8 +17,11 @@ columns are carried along; the operator's own columns replace any of their names
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from presentia.llm.common import WORD, let, read_table
 
@@ -34,6 +38,8 @@ SYMBOLS = "[^#*$%&|<>]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Windows of up to so many words have their number packed beside 49 bits of hash into one long.
 PACK_BITS = 15
+#: Shares of characters count in parts of so many.
+GRAIN = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -48,16 +54,22 @@ def repeated_positions(words: Column) -> Column:
     key = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     mask = (1 << PACK_BITS) - 1
     packed = F.sort_array(F.transform(at, lambda i: F.shiftleft(key(i), PACK_BITS).bitwiseOR(i.cast("long"))))
-    short = let(packed, lambda a: F.transform(_runs(a, lambda x: F.shiftright(x, PACK_BITS)), lambda x: x.bitwiseAND(F.lit(mask)).cast("int")))
+    equal = lambda i, j: reduce(Column.__and__, [F.get(words, i + k) == F.get(words, j + k) for k in range(3)])
+    at_of = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    short = let(packed, lambda a: F.transform(_runs(a, lambda x: F.shiftright(x, PACK_BITS), at_of, equal), at_of))
     pairs = F.array_sort(F.transform(at, lambda i: F.struct(key(i).alias("h"), i.alias("i"))))
-    long = let(pairs, lambda a: F.transform(_runs(a, lambda x: x["h"]), lambda x: x["i"]))
+    long = let(pairs, lambda a: F.transform(_runs(a, lambda x: x["h"], lambda x: x["i"], equal), lambda x: x["i"]))
     none = F.array().cast("array<int>")
     return F.sort_array(F.when(last < 1, none).when(last < mask, short).otherwise(long))
 
 
-def _runs(ordered: Column, key) -> Column:
-    """Of a sorted array, the elements whose key a neighbour shares."""
-    same = lambda x, i, step: F.coalesce(key(F.get(ordered, i + step)) == key(x), F.lit(False))
+def _runs(ordered: Column, key, at, equal) -> Column:
+    """Of a sorted array, the elements whose key a neighbour shares, where what stands at both is ``equal`` as well."""
+
+    def same(x: Column, i: Column, step: int) -> Column:
+        other = F.get(ordered, i + step)
+        return F.coalesce((key(other) == key(x)) & equal(at(other), at(x)), F.lit(False))
+
     return F.filter(ordered, lambda x, i: same(x, i, -1) | same(x, i, 1))
 
 
@@ -97,9 +109,14 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     share = lambda a, n: F.transform(a, lambda x: x / n)
     df = df.select("_lang", share(F.col("_chars"), F.col("_len").cast("double")).alias("c"), share(F.col("_common"), F.size("_words").cast("double")).alias("w"))
     mean = lambda name, n: F.array(*[F.avg(F.get(F.col(name), F.lit(i))) for i in range(n)])
-    median = lambda name, n: F.array(*[F.percentile_approx(F.get(F.col(name), F.lit(i)), 0.5, 1000) for i in range(n)])
-    means = df.groupBy("_lang").agg(median("c", len(CLASSES) + 3).alias("_ref_chars"), mean("w", 1 + max(map(len, COMMON_WORDS.values()))).alias("_ref_common"))
-    return means.withColumn("_ref_common", F.filter("_ref_common", lambda x: x.isNotNull()))
+    means = df.groupBy("_lang").agg(mean("w", 1 + max(map(len, COMMON_WORDS.values()))).alias("_ref_common"))
+    means = means.withColumn("_ref_common", F.filter("_ref_common", lambda x: x.isNotNull()))
+    # shares in parts of GRAIN have at most GRAIN + 1 values, whose counts give the exact median of all
+    parts = df.select("_lang", F.posexplode(F.transform("c", lambda x: F.round(x * GRAIN))).alias("i", "v")).groupBy("_lang", "i", "v").count()
+    upto = Window.partitionBy("_lang", "i")
+    parts = parts.withColumns({"_upto": F.sum("count").over(upto.orderBy("v")), "_all": F.sum("count").over(upto)}).where(2 * F.col("_upto") >= F.col("_all"))
+    middle = parts.groupBy("_lang", "i").agg((F.min("v") / GRAIN).alias("v")).groupBy("_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("_ref_chars"))
+    return middle.join(means, "_lang")
 
 
 def quality_rules(
@@ -170,7 +187,7 @@ x AS (SELECT *, {gone('dense', SPACES)} AS rest, list_filter(string_split(t, chr
   list_transform(common, lambda c: len(list_filter(ws, lambda v: v = c OR v = upper(c) OR v = upper(c[1]) || c[2:]))::DOUBLE) AS own FROM w),
 h AS (SELECT *, list_append(part, greatest(0, len - coalesce(list_sum(part), 0))) AS ch, list_append(own, greatest(0, len(ws) - coalesce(list_sum(own), 0))) AS wo
   FROM (SELECT *, [(len - length(dense))::DOUBLE, (length(dense) - length(rest))::DOUBLE, {classes}] AS part FROM x)),
-refs AS (SELECT lang, list(c ORDER BY i) AS qch FROM (SELECT lang, i, quantile_disc(v, 0.5) AS c FROM (SELECT lang, unnest(ch) / len AS v, generate_subscripts(ch, 1) AS i FROM h WHERE len(ws) >= 50) GROUP BY lang, i) GROUP BY lang),
+refs AS (SELECT lang, list(c ORDER BY i) AS qch FROM (SELECT lang, i, quantile_disc(v, 0.5) AS c FROM (SELECT lang, round(unnest(ch) / len * {GRAIN}) / {GRAIN} AS v, generate_subscripts(ch, 1) AS i FROM h WHERE len(ws) >= 50) GROUP BY lang, i) GROUP BY lang),
 refw AS (SELECT lang, list(c ORDER BY i) AS qwo FROM (SELECT lang, i, avg(v) AS c FROM (SELECT lang, unnest(wo) / len(ws) AS v, generate_subscripts(wo, 1) AS i FROM h WHERE len(ws) >= 50) GROUP BY lang, i) GROUP BY lang),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, sum(coalesce(least(3, following - i), 3))::BIGINT AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS following FROM g WHERE n > 1) GROUP BY r),
