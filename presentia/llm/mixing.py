@@ -11,9 +11,10 @@ diffusion within cells of about ``cell`` documents of one source, long documents
 first, so that what rounding leaves over is less than a short document.
 
 Defined results: a null text has size 0, takes nothing and is kept once; a null
-source is a source of its own, last in order; repeated rows are weighed and
-rounded one by one; with no words at all the targets are 0; an empty table gives
-an empty result. Rows come from hashes of the id alone, so reruns agree.
+source is a source of its own, last in order; with no words at all the targets are 0; an empty table gives
+an empty result. Rows equal in id, source and size share a decision: so many copies for
+all of them, one more for some if that doesn't divide. Everything comes from hashes of
+ids and sizes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from presentia.llm.common import cut, ranked, read_table
 
 SPACE = " \t\n\x0b\x0c\r"
-STEPS = 8
+#: Newton steps in a job, and jobs at most: a bracket of 400 is halved to nothing by then.
+STEPS, JOBS = 8, 12
 
 
 def size_of(text: Column) -> Column:
@@ -70,15 +72,20 @@ def multipliers(counts: DataFrame, targets: DataFrame, most: int) -> DataFrame:
         start.alias("_lambda"), F.lit(-200.0).alias("_low"), F.lit(200.0).alias("_high"),
     )
     size = F.col("size").cast("double")
-    for _ in range(STEPS):
-        r, x = rate(F.col("_lambda"), size, F.col("_mean"), most), leverage(size, F.col("_mean"))
-        keep = [F.first(c).alias(c) for c in ("target", "_mean", "_lambda", "_low", "_high")]
-        sums = counts.join(state, "_rank").groupBy("_rank").agg(*keep, F.sum(F.col("_n") * size * r).alias("_got"), F.sum(F.col("_n") * size * x * r * (1 - r / most)).alias("_slope"))
-        much = F.col("_got") > F.col("target")
-        low, high = F.when(much, F.col("_low")).otherwise(F.col("_lambda")), F.when(much, F.col("_lambda")).otherwise(F.col("_high"))
-        step = F.col("_lambda") - (F.col("_got") - F.col("target")) / F.col("_slope")
-        new = F.when(F.abs(F.col("_got") - F.col("target")) < 1e-9 * F.col("target"), F.col("_lambda")).when((F.col("_slope") > 0) & (step > low) & (step < high), step).otherwise((low + high) / 2)
-        state = sums.select("_rank", "target", "_mean", new.alias("_lambda"), low.alias("_low"), high.alias("_high"))
+    for _ in range(JOBS):
+        for _ in range(STEPS):
+            r, x = rate(F.col("_lambda"), size, F.col("_mean"), most), leverage(size, F.col("_mean"))
+            keep = [F.first(c).alias(c) for c in ("target", "_mean", "_lambda", "_low", "_high")]
+            sums = counts.join(state, "_rank").groupBy("_rank").agg(*keep, F.sum(F.col("_n") * size * r).alias("_got"), F.sum(F.col("_n") * size * x * r * (1 - r / most)).alias("_slope"))
+            much, near = F.col("_got") > F.col("target"), F.abs(F.col("_got") - F.col("target")) < 1e-9 * F.col("target")
+            low, high = F.when(much, F.col("_low")).otherwise(F.col("_lambda")), F.when(much, F.col("_lambda")).otherwise(F.col("_high"))
+            step = F.col("_lambda") - (F.col("_got") - F.col("target")) / F.col("_slope")
+            new = F.when(near, F.col("_lambda")).when((F.col("_slope") > 0) & (step > low) & (step < high), step).otherwise((low + high) / 2)
+            state = sums.select("_rank", "target", "_mean", new.alias("_lambda"), low.alias("_low"), high.alias("_high"), near.alias("_near"))
+        state = cut(state)
+        if not state.where(~F.col("_near") & (F.col("_high") - F.col("_low") > 1e-9)).take(1):
+            break
+        state = state.drop("_near")
     return state.select("_rank", "_lambda")
 
 
@@ -91,8 +98,10 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     solved = cut(multipliers(counts, targets, most))
     mean = F.col("source_size") / F.col("_docs")
     rates = sizes.join(solved, "_rank", "left").withColumn("rate", F.when(F.col("size") > 0, rate(F.col("_lambda"), F.col("size").cast("double"), mean, most)).otherwise(F.lit(1.0)))
-    salt = F.pmod(F.xxhash64(F.lit(11), "_id"), F.ceil(F.col("_docs") / cell))
-    row = F.struct((-F.col("size")).alias("short"), F.xxhash64(F.lit(12), "_id").alias("tie"), F.col("_id").alias("id"), "rate")
+    # rows that are equal in all that matters here are one row with their number
+    rates = rates.groupBy("_rank", "_id", "size", "rate").agg(F.count("*").alias("same"), *[F.first(c).alias(c) for c in ("_source", "source_size", "target", "_docs")])
+    salt = F.pmod(F.xxhash64(F.lit(11), "_id", "size"), F.ceil(F.col("_docs") / cell))
+    row = F.struct((-F.col("size")).alias("short"), F.xxhash64(F.lit(12), "_id").alias("tie"), F.col("_id").alias("id"), "rate", "same")
     rates = rates.withColumn("_salt", salt).repartition("_rank", "_salt")  # else a large source's cells would share a task
     cells = rates.groupBy("_rank", "_salt").agg(
         *[F.first(c).alias(c) for c in ("_source", "source_size", "target")], F.sort_array(F.collect_list(row)).alias("rows")
@@ -101,28 +110,34 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     start = F.struct(F.lit(0.0).alias("over"), F.array().cast("array<long>").alias("copies"))
 
     def round_one(s: Column, x: Column) -> Column:
-        wanted = x["rate"] + s["over"] / size(x)
-        copies = F.when(x["short"] == 0, F.lit(1)).otherwise(F.least(F.lit(most), F.greatest(F.lit(0), F.round(wanted)))).cast("long")
-        return F.struct((s["over"] + (x["rate"] - copies) * size(x)).alias("over"), F.concat(s["copies"], F.array(copies)).alias("copies"))
+        wanted = x["rate"] * x["same"] + s["over"] / size(x)
+        copies = F.when(x["short"] == 0, x["same"]).otherwise(F.least(most * x["same"], F.greatest(F.lit(0), F.round(wanted)))).cast("long")
+        return F.struct((s["over"] + (x["rate"] * x["same"] - copies) * size(x)).alias("over"), F.concat(s["copies"], F.array(copies)).alias("copies"))
 
     copies = F.aggregate("rows", start, round_one, lambda s: s["copies"])
-    each = cells.withColumn("each", F.explode(F.arrays_zip(F.col("rows").alias("row"), copies.alias("copies"))))
+    each = cells.withColumn("each", F.explode(F.arrays_zip(F.col("rows").alias("row"), copies.alias("all"))))
+    each = each.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("each.row.same"))))
+    own = F.floor(F.col("each.all") / F.col("each.row.same")) + (F.col("nth") <= F.col("each.all") % F.col("each.row.same")).cast("long")
     size_col = -F.col("each.row.short")
     return each.select(
-        F.col("each.row.id").alias(doc_id), F.col("_source").alias(source), size_col.alias("size"), "source_size", "target",
-        F.col("each.row.rate").alias("rate"), F.col("each.copies").alias("copies"), (size_col * F.col("each.copies")).alias("taken"),
+        F.col("each.row.id").alias(doc_id), size_col.alias("size"), "source_size", "target", (size_col * own).alias("taken"),
+        F.col("_source").alias(source), F.col("each.row.rate").alias("rate"), own.alias("copies"),
     )
 
 
 def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; rows equal in id, source and size share a decision."""
+    """``docs`` with every row as often as the mix takes it; of rows equal in id, source and size any may have the copy that doesn't divide."""
     mix = mix_sources(docs, doc_id, text, source, **how)
-    mix = mix.groupBy(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    same = docs[doc_id].eqNullSafe(mix["_id"]) & docs[source].eqNullSafe(mix["_source"]) & (size_of(docs[text]) == mix["_size"])
-    taken = docs.join(mix, same).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_source", "_size", "_copies", "_copy")
+    mix = mix.groupBy(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.min("copies").alias("_copies"), F.sum("copies").alias("_all"), F.count("*").alias("_same"))
+    mix = cut(mix.withColumn("_rest", F.col("_all") - F.col("_copies") * F.col("_same")).drop("_all", "_same"))
+    same = lambda m: docs[doc_id].eqNullSafe(m["_id"]) & docs[source].eqNullSafe(m["_source"]) & (size_of(docs[text]) == m["_size"])
+    taken = docs.join(mix, same(mix)).where("_copies > 0")
+    more = mix.where("_rest > 0")
+    extra = docs.join(more, same(more)).dropDuplicates(["_id", "_source", "_size"]).withColumn("_copies", F.col("_rest"))
+    taken = taken.select(*taken.columns).unionByName(extra)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_source", "_size", "_copies", "_rest", "_copy")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: what the mix takes of every document."""
-    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
