@@ -199,4 +199,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: every document's toxicity."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    return score_toxicity(docs.select("doc_id", "text"), labels)
+    return score_toxicity(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
