@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from presentia.llm.common import cut, let, ranked, read_table
 
 UNIT = r"[^\x20\x09-\x0D]{1,16}"
-#: Bits of a packed long that hold the position; the others hold a hash.
+#: Bits of a packed long that hold the position, of texts of more units a part of it; the others hold a hash.
 AT = 24
 MASK = (1 << AT) - 1
 
@@ -38,7 +38,8 @@ def sketch(text: Column, k: int = 3, bins: int = 64, length: int = 2) -> Column:
     pack = lambda h, at: F.shiftleft(h, AT).bitwiseOR(at)
     at_of = lambda x: x.bitwiseAND(F.lit(MASK))
     last = lambda u: F.greatest(F.lit(0), F.size(u) - k)
-    kmers = lambda u: F.sort_array(F.transform(F.sequence(F.lit(0), last(u)), lambda i: pack(F.xxhash64(*[F.get(u, i + j) for j in range(k)]), at_of(i.cast("long")))))
+    place = lambda u, i: F.when(F.size(u) <= MASK, i.cast("long")).otherwise(F.floor(i * (MASK / F.size(u))).cast("long"))
+    kmers = lambda u: F.sort_array(F.transform(F.sequence(F.lit(0), last(u)), lambda i: pack(F.xxhash64(*[F.get(u, i + j) for j in range(k)]), place(u, i))))
     run_starts = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda j: (j == 0) | (high(F.get(a, j)) != high(F.get(a, j - 1))))
     numbered = lambda x, n: pack(F.xxhash64(high(x), n), at_of(x))
 

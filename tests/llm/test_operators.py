@@ -244,6 +244,34 @@ def test_mix_meets_targets(spark, cell):
     assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in rows)
 
 
+def test_balanced_rates_and_repeated_rows(spark):
+    """The multipliers against bisection; rows of one id, or none, in many copies."""
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randint(1, 400)) for _ in range(150)]
+    sources = [rng.choice("ab") for _ in texts]
+    rows = mixing.mix_sources(documents(spark, texts, "en", sources)).collect()
+    for s in "ab":
+        own = [r for r in rows if r.source == s]
+        mean = own[0].source_size / len(own)
+        rate = lambda m, x: 2 / (1 + math.exp(-m * (0.5 + x / (x + mean))))  # noqa: B023, E731
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (m, high) if sum(rate(m, r.size) * r.size for r in own) < own[0].target else (low, m)
+        if own[0].target < 1.999 * own[0].source_size:
+            assert all(r.rate == pytest.approx(rate(m, r.size), rel=1e-6) for r in own)
+    one = "five words are in here"
+    same = spark.createDataFrame([(7 if i % 2 else None, one, "en", "a", None) for i in range(400)] + [(9, one, "en", "b", None)] * 201, SCHEMA)
+    mixed = mixing.mix_sources(same).collect()
+    taken = collections.Counter()
+    for r in mixed:
+        taken[r.source] += r.taken
+        assert r.taken <= 10
+    target = {r.source: r.target for r in mixed}
+    assert len(mixed) == 601 and all(abs(taken[s] - target[s]) <= 10 for s in "ab")
+    assert mixing.repeat_documents(same).count() * 5 == sum(taken.values())
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_sources(documents(spark, [None, ""])).select("taken", "target").distinct().collect()[0][0] == 0
 
@@ -625,9 +653,33 @@ def test_exceptions_hide_matches():
 
 
 def brute_sketch(text, k=3, bins=64, length=2):
+    """The fingerprint in plain Python: of each bin the smallest numbered k-mers, in text order."""
     units = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
-    grams = [tuple(units[i : i + k]) for i in range(max(1, len(units) - k + 1))] if units else []
-    return units, grams
+    signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    seen, found = collections.Counter(), collections.defaultdict(list)
+    for at in range(max(1, len(units) - k + 1) if units else 0):
+        h = 42
+        for unit in units[at : at + k]:
+            h = xxhash.xxh64_intdigest(unit, h)
+        h %= 2**40
+        n, seen[h] = seen[h], seen[h] + 1
+        wide = h - 2**40 if h >= 2**39 else h
+        e = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), xxhash.xxh64_intdigest((wide % 2**64).to_bytes(8, "little"), 42)) % 2**40
+        found[e >> 34].append((e, at))
+    out = []
+    for b in sorted(found, key=lambda x: (x < 32, x)):  # as signed numbers
+        code = 42
+        for e, _ in sorted(sorted(found[b])[:length], key=lambda x: x[1]):
+            code = xxhash.xxh64_intdigest(e.to_bytes(8, "little"), code)
+        out.append(signed(b << 32 | code % 2**32))
+    return out
+
+
+def test_order_minhash_equals_brute_force(spark, texts, monkeypatch):
+    rng = random.Random(15)
+    many = [*texts, "x " * 80, " ".join(rng.choices("ab", k=300)), prose(rng, 700, 30), "y" * 900, "\U0001f600 " * 9]
+    rows = documents(spark, many).select("doc_id", order_minhash.sketch(F.col("text")).alias("s")).collect()
+    assert {r.doc_id: r.s for r in rows} == {i: brute_sketch(t) for i, t in enumerate(many)}
 
 
 def test_order_minhash(spark, texts):
