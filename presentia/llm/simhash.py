@@ -24,6 +24,7 @@ a component; an empty table gives an empty result; other columns stay as they ar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
@@ -43,6 +44,7 @@ GENERATOR = 0b101011100011
 #: Segments of 64 bits: lowest bit and width.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SLICE = 1 << 16
+SLICE_CHARS = 16 << 20
 LONGS = T.ArrayType(T.LongType())
 
 
@@ -198,8 +200,8 @@ MARKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("size"
 #: Bits of the parity bitmap.
 PARITY = 512
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles that are set last in the order of prefixes, at most, and the prefixes that a shingle is in then.
-COMMON, OFTEN = 500_000, 4
+#: Shingles that are set last in the order of prefixes, at most.
+COMMON = 500_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -231,6 +233,20 @@ def parity_of(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(shingles & (PARITY - 1), minlength=PARITY) & 1).view(np.int64)
 
 
+def common_shingles(rows: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of n-word shingles that several texts of a batch have, the most frequent COMMON. A shingle of many texts is in several batches and found."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in np.array_split(batch["text"].to_numpy(object), 1 + batch["text"].str.len().sum() // SLICE_CHARS):
+                found, times = np.unique(np.concatenate([np.empty(0, np.int64), *(distinct_shingles(words_of(t), n) for t in part)]), return_counts=True)
+                yield pd.DataFrame({"s": found[times > 1], "n": times[times > 1]})
+
+    counts = rows.select("text").mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toPandas()  # 8 bytes each
+    return np.sort(top["s"].to_numpy(np.int64))
+
+
 def prefix_marks(n: int, similarity: float, common=None):
     """A column function: a text's words as one hash, its number of distinct shingles, their SimHash, parities and prefix.
 
@@ -297,6 +313,16 @@ def ordered_pair(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the components ``found`` and further edges (a, b): only edges between roots take rounds."""
+    up = lambda s: found.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))
+    roots = more.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    new = components(roots.where("a != b").distinct())
+    top = new.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    moved = found.join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return cut(moved.union(new))
+
+
 def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int) -> DataFrame:
     """(node, root) of components() over all pairs of nodes (id, size, fp, parity, prefix) alike to ``similarity``.
 
@@ -305,14 +331,13 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
     a shingle of prefixes: in one of at most ``few`` nodes all pairs that aren't in one
     component yet are verified. In a larger one leaders are, with every other node of
     the bucket that isn't in their component yet; then they leave the bucket, and
-    all others stay. A round takes twice as many leaders as the one before, those
+    all others stay. A round takes four times as many leaders as the one before, those
     first that share most, and a bucket is done when all its nodes are in one
     component or all outside its largest component have led. So no pair in a bucket
     goes untested unless both nodes are linked already.
     """
     with Scratch(nodes.sparkSession) as keep:
-        links = verified(golay_pairs(nodes), nodes, texts, words, similarity, keep)
-        found = components(links)
+        found = components(verified(golay_pairs(nodes), nodes, texts, words, similarity, keep))
         keyed = nodes.select("id", F.explode("prefix").alias("bucket"))
         counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         met = keep(keyed.join(counts, "bucket"))
@@ -324,8 +349,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
         apart = lambda a: lambda b: (b["id"] > a["id"]) & (b["root"] != a["root"])
         pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", apart(a)), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
         more = verified(group.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), nodes, texts, words, similarity, keep)
-        links = keep(links.union(more))
-        found = components(links)
+        found = joined(found, more)
         met = met.where(F.col("n") > few)
         popular = met.groupBy("id").agg(F.sum("n").alias("_shared"))
         left = keep(met.select("bucket", "id").join(popular, "id"))
@@ -341,11 +365,10 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
             last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", F.col("id").alias("leader"), F.col("root").alias("_led"))
             lead = keep(first.union(last))
             pairs = labelled.join(lead, "bucket").where(F.col("root") != F.col("_led")).select(*ordered_pair("leader", "id"))
-            links = keep(links.union(verified(pairs, nodes, texts, words, similarity, keep)))
-            found = components(links)
+            found = joined(found, verified(pairs, nodes, texts, words, similarity, keep))
             done = lead.select("bucket", F.col("leader").alias("id"))
             left = keep(labelled.where(~ends).select("bucket", "id", "_shared").join(done, ["bucket", "id"], "left_anti"))
-            leaders *= 2
+            leaders *= 4
         return found  # a checkpoint of its own
 
 
@@ -354,22 +377,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     Candidates have SimHash fingerprints that meet in Golay keys, or share a shingle of
     their prefixes (see prefix_marks): all pairs alike to ``similarity`` are among
-    them. Shingles that are in more than OFTEN prefixes by hash alone go last, the COMMON
-    most frequent at most: these order the work and leave the result as it is. Rows
+    them. Common shingles go last in prefixes: this orders the work and leaves the
+    result as it is. Rows
     without an id stay; null and blank texts are equal; of rows that share an id all
     stay or none.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-
-    def marked(common=None) -> DataFrame:
-        marks = rows.select("id", prefix_marks(words, similarity, common)("text").alias("w")).select("id", "w.*")
-        return cut(marks.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "fp", "parity", "prefix")]).drop("key"))
-
-    nodes = marked()
-    counts = nodes.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > OFTEN)
-    often = counts.orderBy(F.desc("count"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy(np.int64)
-    if len(often):
-        nodes = marked(docs.sparkSession.sparkContext.broadcast(np.sort(often)))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))  # COMMON at most
+    marks = rows.select("id", prefix_marks(words, similarity, common)("text").alias("w")).select("id", "w.*")
+    nodes = cut(marks.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "fp", "parity", "prefix")]).drop("key"))
     gone = similar_components(nodes, rows, words, similarity, few).select(F.col("node").alias("id"))
     kept = nodes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("_stay"))
     return docs.join(kept, docs[doc_id] == kept["_stay"], "left").where(F.col("_stay").isNotNull() | F.col(doc_id).isNull()).drop("_stay")
