@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from presentia.functions import dna
 
@@ -18,6 +18,20 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.where("value != ''").select(F.posexplode(lines).alias("ordinal", "line"))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, line) of one text file of any size, read in splits.
+
+    Lines are numbered within their split, after as many as the splits before have;
+    the only table in one task has a row for each split.
+    """
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    sizes = rows.groupBy("_split").count()
+    before = sizes.select("_split", (F.sum("count").over(Window.orderBy("_split")) - F.col("count")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_split").orderBy("_at")) - 1
+    numbered = rows.withColumn("_within", within).join(F.broadcast(before), "_split")  # a row for each split
+    return numbered.select((F.col("_before") + F.col("_within")).cast("int").alias("ordinal"), "line")
+
+
 def read_manifest(spark: SparkSession, path: str, base_dir: str | None = None) -> DataFrame:
     """(ordinal, path, name): the genome files that a manifest lists, relative to its folder or to ``base_dir``."""
     base = base_dir if base_dir is not None else path.rpartition("/")[0] or "."
@@ -60,7 +74,7 @@ def read_genomes(spark: SparkSession, manifest: str, base_dir: str | None = None
 def read_markers(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """(ordinal, marker_id, seq) of a CSV of id and sequence without a header; the ordinal is the line's number."""
     row = F.from_csv("line", "marker_id INT, seq STRING")
-    out = _lines(spark, path).select("ordinal", row.alias("r")).select("ordinal", "r.marker_id", F.coalesce("r.seq", F.lit("")).alias("seq"))
+    out = _numbered_lines(spark, path).select("ordinal", row.alias("r")).select("ordinal", "r.marker_id", F.coalesce("r.seq", F.lit("")).alias("seq"))
     return out if first is None else out.where(F.col("ordinal") < first)
 
 
@@ -93,6 +107,3 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
 def to_download(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """The manifest entries whose files aren't there yet."""
     return wanted.join(present.select("name").distinct(), "name", "left_anti")
-
-
-RESULT_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("bits", T.StringType())])

@@ -28,7 +28,7 @@ def hits_stream(genomes: DataFrame, markers: DataFrame, stride: int = matching.S
     """
     wanted = matching.distinct_markers(markers)
     stats = planner.statistics(wanted)
-    if sum(s["n"] for s in stats.values()) > matching.BROADCAST_MARKERS:
+    if sum(s["n"] for s in stats.values()) > matching.BROADCAST_MARKERS or sum(s["bases"] for s in stats.values()) > matching.BROADCAST_BASES:
         raise ValueError("too many markers to broadcast; use write_bits")
     longest = max((s["most"] for s in stats.values()), default=1)
     pieces = matching.chunks(genomes, longest, stride, spread=False)

@@ -127,3 +127,31 @@ def test_stream(spark, tmp_path):
     query = hits.writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {tuple(r) for r in spark.table("hits").distinct().collect()} == {("a.txt", "CG"), ("b.txt", "TT")}
+
+
+def test_marker_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"{i},{'ACGT' * (i % 5 + 1)}" for i in range(3000)]
+    lines[7], lines[11] = "", "7"
+    (tmp_path / "m.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        frame = readers.read_markers(spark, str(tmp_path / "m.csv"))
+        rows = frame.collect()
+        assert spark.read.text(str(tmp_path / "m.csv")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {r.ordinal: r for r in rows}
+    assert sorted(got) == list(range(3000)) and got[7].seq == got[11].seq == ""
+    assert all(got[i].seq == "ACGT" * (i % 5 + 1) and got[i].marker_id == i for i in range(3000) if i not in (7, 11))
+
+
+def test_finder_computes_its_matrix_once(spark):
+    finder = api.MarkerFinder(readers.markers_from(spark, ["AC", "GG"]), readers.genomes_from(spark, ["ACGT", "GGA"]))
+    matrix = finder.run()
+    assert matrix.bits.is_cached and finder.run() is matrix
+    added = matrix.add(spark.createDataFrame([(0, 1)], "genome_id LONG, ordinal INT"))
+    assert [r.bits for r in added.bits.orderBy("genome_id").collect()] == ["11", "01"]
+    finder.markers = readers.markers_from(spark, ["T"])
+    assert not matrix.bits.is_cached and [r.bits for r in finder.run().bits.orderBy("genome_id").collect()] == ["1", "0"]
+    finder.clear_state()
