@@ -339,7 +339,7 @@ def test_score_against_a_plain_chinese_restaurant(spark):
 def test_one_shard_or_many_agree(spark):
     rng = random.Random(9)
     texts = [prose(rng, 40, 60) for _ in range(80)]
-    one, many = ({r.doc_id: r for r in pitman_yor.score_documents(documents(spark, texts), samples=3, shard_pairs=n).collect()} for n in (10**6, 500))
+    one, many = ({r.doc_id: r for r in pitman_yor.score_documents(documents(spark, texts), samples=3, shard_tokens=n).collect()} for n in (10**6, 500))
     for d, r in one.items():
         assert (r.n_known, r.base_score) == (many[d].n_known, pytest.approx(many[d].base_score))
         assert r.score == pytest.approx(many[d].score, abs=0.03 * r.n_tokens)
