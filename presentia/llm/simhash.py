@@ -323,6 +323,17 @@ def joined(found: DataFrame, more: DataFrame) -> DataFrame:
     return cut(moved.union(new))
 
 
+def overlap(x, y, similarity: float):
+    """Shingles that sets of x and y have in common at least, if they are alike to ``similarity``."""
+    return F.ceil(similarity / (1 + similarity) * (x + y) - 1e-9)
+
+
+def can_be(x, x_pos, y, y_pos, similarity: float):
+    """Whether sets of x and y may be alike whose first common shingle is at these positions, so far as sizes and what follows tell."""
+    least = overlap(x, y, similarity)
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (x_pos <= x - least) & (y_pos <= y - least)
+
+
 def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: int) -> DataFrame:
     """(node, root) of components() over all pairs of nodes (id, size, fp, parity, prefix) alike to ``similarity``.
 
@@ -334,25 +345,29 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
     all others stay. A round takes four times as many leaders as the one before, those
     first that share most, and a bucket is done when all its nodes are in one
     component or all outside its largest component have led. So no pair in a bucket
-    goes untested unless both nodes are linked already.
+    goes untested unless both nodes are linked already, or the sizes and the positions of
+    the shingle leave too few for their sets to be alike; the bucket of the first shingle
+    that two alike sets have in common never does.
     """
     with Scratch(nodes.sparkSession) as keep:
         found = components(verified(golay_pairs(nodes), nodes, texts, words, similarity, keep))
-        keyed = nodes.select("id", F.explode("prefix").alias("bucket"))
-        counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        met = keep(keyed.join(counts, "bucket"))
+        keyed = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "bucket"))
+        counts = keyed.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("size").alias("_least")).where("_n > 1")
+        alone = F.col("pos") <= F.col("size") - overlap(F.col("size"), F.greatest(F.col("_least"), similarity * F.col("size")), similarity)
+        met = keep(keyed.join(counts, "bucket").where(alone).drop("_n", "_least"))
         members = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"_m{k}") for k in (1, 2)]
-        once = met.groupBy("bucket").agg(F.first("n").alias("n"), *members).groupBy("n", "_m1", "_m2").agg(F.min("bucket").alias("bucket"))
-        met = keep(met.join(once.select("bucket"), "bucket", "left_semi"))  # of buckets with the same nodes, one
+        once = met.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("pos").alias("_at"), *members).where("n > 1")
+        once = once.groupBy("n", "_m1", "_m2").agg(F.min_by("bucket", F.struct("_at", "bucket")).alias("bucket")).select("bucket", "n")
+        met = keep(met.join(once, "bucket"))  # of buckets with the same nodes the first in the order: positions in it are least
         root = lambda rows: rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        group = root(met.where(F.col("n") <= few)).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("ids")).select("ids")
-        apart = lambda a: lambda b: (b["id"] > a["id"]) & (b["root"] != a["root"])
+        group = root(met.where(F.col("n") <= few)).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "root", "size", "pos"))).alias("ids")).select("ids")
+        apart = lambda a: lambda b: (b["id"] > a["id"]) & (b["root"] != a["root"]) & can_be(a["size"], a["pos"], b["size"], b["pos"], similarity)
         pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", apart(a)), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
         more = verified(group.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), nodes, texts, words, similarity, keep)
         found = joined(found, more)
         met = met.where(F.col("n") > few)
         popular = met.groupBy("id").agg(F.sum("n").alias("_shared"))
-        left = keep(met.select("bucket", "id").join(popular, "id"))
+        left = keep(met.select("bucket", "id", "size", "pos").join(popular, "id"))
         leaders = 1
         while left.take(1):
             labelled = keep(root(left))
@@ -361,13 +376,15 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
             labelled = keep(labelled.join(parts, "bucket"))
             ends = F.col("_outside") <= few * leaders
             lot = F.pmod(F.xxhash64(F.lit(leaders), "id"), F.lit(leaders))
-            first = labelled.where(~ends).groupBy("bucket", lot.alias("_lot")).agg(F.max(F.struct("_shared", "id", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.root").alias("_led"))
-            last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", F.col("id").alias("leader"), F.col("root").alias("_led"))
+            who = [F.col(f"x.{c}").alias(f"_{c}") for c in ("id", "root", "size", "pos")]
+            first = labelled.where(~ends).groupBy("bucket", lot.alias("_lot")).agg(F.max(F.struct("_shared", "id", "root", "size", "pos")).alias("x")).select("bucket", *who)
+            last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", *[F.col(c).alias(f"_{c}") for c in ("id", "root", "size", "pos")])
             lead = keep(first.union(last))
-            pairs = labelled.join(lead, "bucket").where(F.col("root") != F.col("_led")).select(*ordered_pair("leader", "id"))
+            tested = (labelled["root"] != lead["_root"]) & (labelled["bucket"] == lead["bucket"]) & can_be(labelled["size"], labelled["pos"], lead["_size"], lead["_pos"], similarity)
+            pairs = labelled.join(lead, tested).select(*ordered_pair("_id", "id"))
             found = joined(found, verified(pairs, nodes, texts, words, similarity, keep))
-            done = lead.select("bucket", F.col("leader").alias("id"))
-            left = keep(labelled.where(~ends).select("bucket", "id", "_shared").join(done, ["bucket", "id"], "left_anti"))
+            done = lead.select("bucket", F.col("_id").alias("id"))
+            left = keep(labelled.where(~ends).select("bucket", "id", "size", "pos", "_shared").join(done, ["bucket", "id"], "left_anti"))
             leaders *= 4
         return found  # a checkpoint of its own
 
