@@ -288,8 +288,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
     shingles have at most (1 - s) / (1 + s) (x + y) that aren't in both.
     """
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), F.col("parity").alias(f"{s}_parity"))
-    differ = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    possible = (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-9)
+    possible = (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9) & (differing("a_parity", "b_parity") <= not_in_both(F.col("a_size"), F.col("b_size"), similarity))
     found = keep(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(possible).select("a", "b"))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = texts.join(wanted, "id", "left_semi").select("id", shingle_set(F.col("text"), words).alias("set"))
@@ -328,6 +327,16 @@ def overlap(x, y, similarity: float):
     return F.ceil(similarity / (1 + similarity) * (x + y) - 1e-9)
 
 
+def differing(a: str, b: str):
+    """Bits that two parity columns differ in."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+
+
+def not_in_both(x, y, similarity: float):
+    """Shingles that are in only one of two sets of x and y at most, if they are alike to ``similarity``."""
+    return (1 - similarity) / (1 + similarity) * (x + y) + 1e-9
+
+
 def can_be(x, x_pos, y, y_pos, similarity: float):
     """Whether sets of x and y may be alike whose first common shingle is at these positions, so far as sizes and what follows tell."""
     least = overlap(x, y, similarity)
@@ -367,8 +376,8 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
         found = joined(found, more)
         met = met.where(F.col("n") > few)
         popular = met.groupBy("id").agg(F.sum("n").alias("_shared"))
-        left = keep(met.select("bucket", "id", "size", "pos").join(popular, "id"))
-        leaders = 1
+        left = keep(met.select("bucket", "id", "size", "pos").join(popular, "id").join(nodes.select("id", "parity"), "id"))
+        leaders, member = 1, ("id", "root", "size", "pos", "parity")
         while left.take(1):
             labelled = keep(root(left))
             parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
@@ -376,15 +385,16 @@ def similar_components(nodes: DataFrame, texts: DataFrame, words: int, similarit
             labelled = keep(labelled.join(parts, "bucket"))
             ends = F.col("_outside") <= few * leaders
             lot = F.pmod(F.xxhash64(F.lit(leaders), "id"), F.lit(leaders))
-            who = [F.col(f"x.{c}").alias(f"_{c}") for c in ("id", "root", "size", "pos")]
-            first = labelled.where(~ends).groupBy("bucket", lot.alias("_lot")).agg(F.max(F.struct("_shared", "id", "root", "size", "pos")).alias("x")).select("bucket", *who)
-            last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", *[F.col(c).alias(f"_{c}") for c in ("id", "root", "size", "pos")])
+            who = [F.col(f"x.{c}").alias(f"_{c}") for c in member]
+            first = labelled.where(~ends).groupBy("bucket", lot.alias("_lot")).agg(F.max(F.struct("_shared", *member)).alias("x")).select("bucket", *who)
+            last = labelled.where(ends & (F.col("root") != F.col("_largest"))).select("bucket", *[F.col(c).alias(f"_{c}") for c in member])
             lead = keep(first.union(last))
             tested = (labelled["root"] != lead["_root"]) & (labelled["bucket"] == lead["bucket"]) & can_be(labelled["size"], labelled["pos"], lead["_size"], lead["_pos"], similarity)
+            tested = tested & (differing("parity", "_parity") <= not_in_both(labelled["size"], lead["_size"], similarity))
             pairs = labelled.join(lead, tested).select(*ordered_pair("_id", "id"))
             found = joined(found, verified(pairs, nodes, texts, words, similarity, keep))
             done = lead.select("bucket", F.col("_id").alias("id"))
-            left = keep(labelled.where(~ends).select("bucket", "id", "size", "pos", "_shared").join(done, ["bucket", "id"], "left_anti"))
+            left = keep(labelled.where(~ends).select("bucket", "id", "size", "pos", "_shared", "parity").join(done, ["bucket", "id"], "left_anti"))
             leaders *= 4
         return found  # a checkpoint of its own
 
