@@ -234,7 +234,7 @@ def parity_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(rows: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of n-word shingles that several texts of a batch have, the most frequent COMMON. A shingle of many texts is in several batches and found."""
+    """Sorted hashes of n-word shingles that several texts of a batch have, of the most frequent COMMON at most. A shingle of many texts is in several batches and found."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,7 +243,14 @@ def common_shingles(rows: DataFrame, n: int) -> np.ndarray:
                 yield pd.DataFrame({"s": found[times > 1], "n": times[times > 1]})
 
     counts = rows.select("text").mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toPandas()  # 8 bytes each
+    counts = cut(counts.withColumn("_bin", F.floor(8 * F.log2("n"))))
+    total, least = 0, None
+    for r in counts.groupBy("_bin").count().orderBy(F.desc("_bin")).collect():  # eight for each doubling, some hundreds
+        total += r["count"]
+        if total > COMMON:
+            break
+        least = r["_bin"]
+    top = counts.where(F.col("_bin") >= F.lit(least).cast("long")).select("s").toPandas()  # COMMON rows of 8 bytes at most
     return np.sort(top["s"].to_numpy(np.int64))
 
 
