@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import base64
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +63,12 @@ def automaton() -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def class_table() -> np.ndarray:
-    """The class of each code point."""
-    table = np.full(0x110000, OTHER, np.uint8)
-    for cp in range(0x110000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind in "LN":
-            table[cp] = LETTER if kind == "L" else NUMBER
-    # White space.
-    table[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    """The class of each code point, in the library's version of Unicode."""
+    table, single = np.full(0x110000, OTHER, np.uint8), {bytes([i]): i for i in range(256)}
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for cls, kind in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        found = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)  # what doesn't match is left out
+        table[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = cls
     return table
 
 
@@ -143,8 +141,8 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch
 class Vocabulary:
     """Ranks of a vocabulary, and a cache of merged words of bounded size."""
 
-    def __init__(self, content: bytes):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -248,10 +246,8 @@ class Vocabulary:
         self.known.update(zip(short + long, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.flat, self.bounds = np.concatenate(flats), np.append(0, np.cumsum(np.concatenate(counts)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
-        if not texts:
-            return []
+    def slices(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first code point in it, and number among the known words, of every pre-token of one text or more."""
         sizes = np.array([len(t) + 1 for t in texts])
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -262,19 +258,26 @@ class Vocabulary:
         real = cls[starts] != END
         starts, ends = starts[real], ends[real]
         of_text = np.searchsorted(stops, starts)
+        places = starts - (stops - sizes + 1)[of_text]
         content = joined.encode("utf-8", "surrogatepass")
         if len(content) != len(points):
             at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
             starts, ends = at[starts], at[ends]
         if not len(starts):
-            return [np.empty(0, np.int32) for _ in texts]
+            return of_text, places, np.empty(0, np.int64)
         _, first, which = np.unique(slice_hashes(np.frombuffer(content, np.uint8), starts, ends), return_index=True, return_inverse=True)
         words = [content[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.known) > WORDS_KEPT:
             self.forget()
         if new := [w for w in words if w not in self.known]:
             self.learn(new)
-        index = np.array([self.known[w] for w in words])[which]
+        return of_text, places, np.array([self.known[w] for w in words])[which]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        if not texts:
+            return []
+        of_text, _, index = self.slices(texts)
         begin, n = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
         ids = self.flat[spread(begin, n)]
         tokens = np.bincount(of_text, weights=n, minlength=len(texts)).astype(np.int64)
@@ -292,7 +295,8 @@ def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def vocabulary(content: bytes) -> Vocabulary:
-    return Vocabulary(content)
+    """The vocabulary of a file of tokens (base 64) and ranks."""
+    return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)})
 
 
 def pieces(texts: list[str], limit: int = PIECE) -> Iterator[list[str]]:
