@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from presentia.llm import bpe, html_text, kneser_ney, line_dedup, mixing, order_minhash, pitman_yor, quality_rules, simhash, toxicity
+from presentia.llm import bpe, collocations, html_text, kneser_ney, line_dedup, mixing, order_minhash, pitman_yor, quality_rules, simhash, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -13,7 +13,14 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_toxicity": toxicity.query,
     "op10_order_minhash": order_minhash.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_collocations": collocations.query,
+    "op13_token_counts": token_counts.query,
 }
 
 #: The other operators hash, sample or learn in ways that SQL has no words for; tests/llm has their brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality_rules.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_collocations": collocations.oracle_sql(),
+}

@@ -1,0 +1,229 @@
+"""Operators 11 to 13 against brute-force versions and the library."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from presentia.llm import bpe, collocations, token_counts, vector_codes
+from presentia.llm.queries import ORACLE_SQL, QUERIES
+from tests.llm.test_operators import ODD, documents, prose
+
+# 11 Vector codes
+
+VECTORS = "vec_id LONG, embedding ARRAY<DOUBLE>, label INT"
+
+
+def codes_by_brute_force(rows, parts=16, entries=64, rounds=2, scale=256):
+    ok = [(i, [math.floor(scale * x) for x in v], lab) for i, v, lab in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    ok.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    w = len(ok[0][1]) // parts
+    cut = lambda q: [q[p * w : (p + 1) * w] for p in range(parts)]
+    books = [[cut(q)[p] for _, q, _ in ok[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    nearest = lambda x, book: min((far(x, e), j) for j, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            got = collections.defaultdict(list)
+            for _, q, _ in ok:
+                x = cut(q)[p]
+                got[nearest(x, books[p])[1]].append(x)
+            for j, xs in got.items():
+                books[p][j] = [sum(c) // len(xs) for c in zip(*xs, strict=True)]
+    digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    out, labels = [], collections.Counter()
+    for i, q, lab in ok:
+        best = [nearest(x, b) for x, b in zip(cut(q), books, strict=True)]
+        out.append((i, "".join(f"{j:02x}" for _, j in best), sum(d for d, _ in best), lab))
+        labels[lab] += out[-1][2]
+    return collections.Counter((i, c, e, labels[lab], digest) for i, c, e, lab in out)
+
+
+def vectors(rng, n, width=2, coarse=False):
+    pick = (lambda: rng.randint(-2, 2) / 256) if coarse else (lambda: rng.gauss(0, 1))
+    return [(i, [pick() for _ in range(16 * width)], rng.choice([0, 0, 0, 1, None])) for i in range(n)]
+
+
+def coded(spark, rows):
+    out = vector_codes.compress(spark.createDataFrame(rows, VECTORS).repartition(3))
+    return collections.Counter((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in out.collect())
+
+
+@pytest.mark.parametrize("coarse", [False, True])
+def test_vector_codes_equal_brute_force(spark, coarse):
+    rng = random.Random(5)
+    rows = vectors(rng, 150, coarse=coarse)
+    rows += [rows[3], rows[3], (None, rows[4][1], 1), (-5, rows[5][1], None), (900, None, 0), (901, [None] * 32, 0), (902, [math.nan] * 32, 0), (903, [math.inf] + [0.0] * 31, 0)]
+    assert coded(spark, rows) == codes_by_brute_force(rows)
+
+
+def test_few_and_large_vectors(spark):
+    rng = random.Random(6)
+    assert coded(spark, vectors(rng, 5)) == codes_by_brute_force(vectors(random.Random(6), 5))
+    rows = [(i, [1e7 * rng.gauss(0, 1) for _ in range(16)], 0) for i in range(80)]  # distances need more than 53 bits
+    assert coded(spark, rows) == codes_by_brute_force(rows)
+
+
+def test_dropped_vectors_extra_columns_and_empty_tables(spark):
+    rows = [*vectors(random.Random(7), 20), (50, [0.0] * 48, 0), (51, [0.0] * 7, 0), (52, [], 0), (53, [1e300] * 32, 0), (54, [-1e300] * 32, 0)]
+    df = spark.createDataFrame(rows, VECTORS).withColumns({"code": F.lit("x"), "q": F.lit(1), "own": F.lit(2), "id": F.lit(3), "label_error": F.lit(0)})
+    out = vector_codes.compress(df)
+    assert out.columns == ["vec_id", "label", "q", "own", "id", "code", "error", "label_error", "codebooks_sha256"]
+    got = {r.vec_id: r for r in out.collect()}
+    assert set(got) == {*range(20), 53, 54} and all(r.own == 2 and len(r.code) == 32 for r in got.values())
+    assert got[53].error == 0  # an entry of its own
+    assert vector_codes.compress(df.where("false")).collect() == [] and vector_codes.compress(df.where("vec_id = 52")).collect() == []
+
+
+def test_bounds_hold_and_prune():
+    rng = np.random.default_rng(3)
+    entries, queries = rng.integers(-300, 300, (64, 4)), rng.integers(-400, 400, (500, 4))
+    cells = vector_codes.Cells(entries, 4)
+    exact = ((queries[:, None] - entries[None]) ** 2).sum(axis=2)
+    low, high = cells.bounds(queries)
+    assert (low <= exact).all() and (exact <= high).all()
+    index, error, computed = cells.nearest(queries)
+    assert (index == exact.argmin(axis=1)).all() and (error == exact.min(axis=1)).all() and computed < exact.size / 5
+
+
+# 12 Collocations
+
+
+def phrases_by_brute_force(rows, longest=3, least=10, inside=50, most=2000):
+    f, n = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f.update((lang, tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    found = {x: a for x, a in f.items() if len(x[1]) > 1 and a >= least}
+    out = collections.defaultdict(list)
+    for (lang, p), a in found.items():
+        if any(x == lang and len(q) > len(p) and 100 * b >= inside * a and any(q[i : i + len(p)] == p for i in range(len(q))) for (x, q), b in found.items()):
+            continue
+        cuts = [(1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        out[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return {(lang, i, p.decode(), -a, left, right, n[lang], -s) for lang, rs in out.items() for i, (s, a, p, left, right) in enumerate(sorted(rs)[:most], 1)}
+
+
+@pytest.mark.parametrize("block, longest", [(8 << 20, 3), (300, 3), (8 << 20, 5)])
+def test_collocations_equal_brute_force(spark, monkeypatch, block, longest):
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    rng = random.Random(2)
+    word = lambda: rng.choice(["New", "york", "city", "of", "the", "été", "İx", "a b"]) + rng.choice([" ", "  ", "\t", ", ", ".", "\n", "\x0b", " "])
+    texts = ["".join(word() for _ in range(rng.randint(0, 60))) for _ in range(120)] + ODD + ["la la la la la la la la la la la la la", "x y"] * 3
+    langs = [rng.choice(["en", "fr", None, "und", ""]) for _ in texts]
+    docs = documents(spark, texts, langs)
+    got = collocations.collocations(docs.withColumns({"n": F.lit(1), "phrase": F.lit("x")}).repartition(5), longest=longest)
+    assert {tuple(r) for r in got.collect()} == phrases_by_brute_force(zip(langs, texts, strict=True), longest)
+
+
+def test_top_phrases_and_ties(spark):
+    texts = [f"w{i} v{i}." * (10 + i % 3) for i in range(60)]
+    got = collocations.collocations(documents(spark, texts), most=20)
+    assert {tuple(r) for r in got.collect()} == phrases_by_brute_force([("en", t) for t in texts], most=20)
+
+
+def test_scores_beyond_64_bits(spark):
+    a = 3_000_000_000
+    got = spark.sql(f"SELECT (cast({a}L as decimal(19,0)) * cast({a}L as decimal(19,0)) * 1000000) div (cast({a + 1}L as decimal(19,0)) * cast({a + 2}L as decimal(19,0))) AS x").first().x
+    assert got == 1_000_000 * a * a // ((a + 1) * (a + 2))
+
+
+def test_a_filter_passes_all_its_phrases(spark):
+    rows = spark.range(5000).selectExpr("concat('l', id % 3) AS lang", "concat('é', id, repeat('x', cast(id % 50 AS INT))) AS phrase")
+    for most in (28, 15):  # a full filter passes more, never less
+        passes = collocations.Filter(collocations.filter_of(rows, most))
+        table = rows.toArrow()
+        assert passes(table["lang"].combine_chunks(), table["phrase"].combine_chunks()).all()
+        none = rows.withColumn("phrase", F.concat("phrase", F.lit("?"))).toArrow()
+        assert passes(none["lang"].combine_chunks(), none["phrase"].combine_chunks()).mean() < (0.1 if most == 28 else 0.2)
+
+
+def test_no_phrases(spark):
+    assert collocations.collocations(documents(spark, [])).collect() == []
+    assert collocations.collocations(documents(spark, ODD)).collect() == []
+
+
+# 13 Token counts
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+
+
+def expected_counts(tokenizer, texts):
+    return [len(e) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("chunk, overlap", [(1 << 16, 1 << 11), (64, 32), (40, 3)])
+def test_token_counts_equal_the_library(spark, tokenizer, chunk, overlap):
+    rng = random.Random(9)
+    bits = ["ab", "b", " ", "  ", "\n", "'", "'ll", "'s", "é", "1", "!!", "<|endoftext|>", "<|endof", "text|>", "日本", "😀", "the ", "ᲊ"]
+    texts = ODD + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    texts += ["a" * 500, " " * 400 + "x", "x" + "\n " * 300, "don't " * 90, "<|endoftext|>" * 30, "!" * 200 + "'re" * 100, prose(rng, 200)]
+    texts += texts[:5] + texts[-3:]
+    docs = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id"))).withColumns({"row": F.lit(7), "nth": F.lit(8), "n_tokens": F.lit("old"), "own": F.lit(9)})
+    out = token_counts.count_tokens(docs.repartition(3), limit=50, chunk=chunk, overlap=overlap)
+    assert set(out.columns) == {*docs.columns, "n_bytes", "over_limit"}
+    got = sorted(((r.text is not None, r.text or ""), r.n_bytes, r.n_tokens, r.over_limit, r.row) for r in out.collect())
+    expected = sorted(((t is not None, t or ""), len((t or "").encode()), n, n > 50, 7) for t, n in zip(texts, expected_counts(tokenizer, texts), strict=True))
+    assert got == expected
+
+
+def test_overlaps_widen_until_neighbours_meet(spark, tokenizer):
+    texts = ["word " * 30 + "a" * 300 + " word" * 30, "　" * 350, "x" * 700]
+    long = documents(spark, texts).select(F.col("doc_id").alias("row"), "text")
+    shared = spark.sparkContext.broadcast(open(public_tokenizers.path(token_counts.VOCABULARY), "rb").read())
+    first = {r.row: r.n_tokens for r in token_counts.spliced(long, shared, 50, 20).collect()}
+    assert None in first.values()  # alignment fails
+    got = token_counts.count_tokens(documents(spark, texts), chunk=50, overlap=20)
+    assert [r.n_tokens for r in got.orderBy("doc_id").collect()] == expected_counts(tokenizer, texts)
+
+
+def test_a_very_long_text_is_many_rows(spark, tokenizer):
+    rng = random.Random(4)
+    text = prose(rng, 200_000)
+    parts = list(token_counts.chunks_of(iter([documents(spark, [text]).selectExpr("doc_id AS row", "text").toPandas()]), 1 << 16, 1 << 11))
+    assert len(parts) == -(-(len(text) - (1 << 11)) // (1 << 16)) and max(len(p.part[0]) for p in parts) <= (1 << 16) + (1 << 11)
+    got = token_counts.count_tokens(documents(spark, [text])).first()
+    assert [got.n_tokens] == expected_counts(tokenizer, [text])
+
+
+def test_classes_are_the_libraries(tokenizer):
+    points = [i for i in range(0x20000) if not 0xD800 <= i < 0xE000]
+    for cls, before in ((bpe.LETTER, "a"), (bpe.NUMBER, "1")):
+        split = tokenizer.pre_tokenizer.pre_tokenize_str("".join(before + chr(i) + "\n" for i in points))
+        begins = {at for _, (at, _) in split}
+        assert all((3 * k + 1 not in begins) == (bpe.class_table()[i] == cls) for k, i in enumerate(points))
+
+
+def test_no_documents(spark):
+    assert token_counts.count_tokens(documents(spark, [])).collect() == []
+
+
+# The queries beside their SQL
+
+
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_collocations"])
+def test_query_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got, exp = QUERIES[name](spark, folder).toPandas(), con.sql(ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(exp.columns)
+    key = lambda df: sorted(map(str, df[sorted(df.columns)].itertuples(index=False)))
+    assert key(got) == key(exp)
