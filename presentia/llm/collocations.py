@@ -6,7 +6,8 @@ so its length is the phrase's exact frequency in the block. Phrases grow a word
 time: the list of a frequent phrase is merge-joined with the postings of adjacent words
 (a list of positions shifted by the phrase's length), and only where the words that
 follow make a frequent phrase as well. A phrase never leaves its document, so lists are
-joined where they are; what is shuffled is a count for each phrase and block.
+joined where they are; what is shuffled is a count for each phrase and block. Phrases
+are told apart by 128 bits of hash until they are known to be frequent.
 
 Which phrases of the level before are frequent is known to a block by a filter of
 bits, of a size that doesn't depend on the corpus beyond ``filter_bits``: a phrase
@@ -32,18 +33,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presentia.llm.common import cut, read_table
+from presentia.llm.simhash import mix
 
 #: Bytes of texts in a block, about.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: 1: ends a piece; 2: ends a word.
 PARTS = np.zeros(256, np.uint8)
 PARTS[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = 1
 PARTS[[9, 32]] = 2
-COUNTS = "lang string, phrase string, n long"
+COUNTS = "h1 long, h2 long, n long, lang string, phrase string"
 #: Bits that a row of a filter holds.
 ROW = 1 << 15
+ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def word_hashes(langs: list[str], lang: np.ndarray, words: pa.Array) -> np.ndarray:
+    """128 bits for each word of a language, as two columns."""
+    seeds = np.array([xxhash.xxh64_intdigest(x) for x in langs], object)[lang].tolist() if len(langs) else []
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist(), seeds)), np.uint64).reshape(-1, 2)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and each key's number among them."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Block:
@@ -62,63 +77,72 @@ class Block:
         begins[ends] = True
         kind = PARTS[data]
         inside = np.append(kind == 0, False)
-        before = np.append(False, inside[:-1]) & ~begins
-        starts = np.flatnonzero(inside & ~before)
-        stops = np.flatnonzero(np.append(False, inside[:-1]) & (begins | ~inside))
+        after = np.append(False, inside[:-1])
+        starts = np.flatnonzero(inside & (begins | ~after))
+        stops = np.flatnonzero(after & (begins | ~inside))
         pieces = np.cumsum((kind == 1) | begins[:-1])
         letters = np.append(0, np.cumsum(stops - starts)).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(letters), pa.py_buffer(LOWER[data[inside[:-1]]])]).dictionary_encode()
-        owner = np.searchsorted(ends, starts, "right") - 1
-        langs = pc.fill_null(langs, "und").dictionary_encode()
-        lang = langs.indices.to_numpy(zero_copy_only=False)[owner].astype(np.int64)
-        number, self.word = np.unique(lang * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
         self.at = np.arange(len(starts)) + (pieces[starts] if len(starts) else 0)
-        self.phrase, self.last = self.word, self.word
-        self.lang = langs.dictionary.take(pa.array(number // max(1, len(words.dictionary))))
-        self.text = self.names = words.dictionary.take(pa.array(number % max(1, len(words.dictionary))))
-
-    def keep(self, passes) -> None:
-        """Only the lists of phrases that pass."""
-        ok = passes(self.lang, self.text)
-        stays = ok[self.phrase]
-        self.at, self.last = self.at[stays], self.last[stays]
-        self.phrase = (np.cumsum(ok) - 1)[self.phrase[stays]]
-        self.lang, self.text = self.lang.filter(pa.array(ok)), self.text.filter(pa.array(ok))
+        langs = pc.fill_null(langs, "und").dictionary_encode()
+        self.langs = langs.dictionary.to_pylist()
+        lang = langs.indices.to_numpy(zero_copy_only=False)[np.searchsorted(ends, starts, "right") - 1].astype(np.int64)
+        self.n_words = np.bincount(lang, minlength=len(self.langs))
+        number, self.phrase = numbered(lang * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False))
+        self.lang, self.names = np.divmod(number, max(1, len(words.dictionary)))
+        self.names = words.dictionary.take(pa.array(self.names))
+        self.last = self.phrase
+        self.hash = self.word_hash = word_hashes(self.langs, self.lang, self.names)
+        self.parts = (self.names, np.arange(len(self.names)), None)
+
+    def keep(self, bits: np.ndarray) -> None:
+        """Only the lists of phrases that pass a filter."""
+        at = self.hash[:, 0] & np.uint64(8 * len(bits) - 1)
+        ok = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        stays, which = ok[self.phrase], np.flatnonzero(ok)
+        self.parts = (self.texts(which), np.arange(len(which)), None)
+        self.at, self.last, self.phrase = self.at[stays], self.last[stays], (np.cumsum(ok) - 1)[self.phrase[stays]]
+        self.lang, self.hash = self.lang[which], self.hash[which]
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        begin, first, word = self.parts
+        out = begin.take(pa.array(first[which]))
+        return out if word is None else pc.binary_join_element_wise(out, self.names.take(pa.array(word[which])), pa.scalar(" ", pa.large_string()))
 
     def extend(self) -> None:
         """Lists of phrases longer by a word: a phrase's list, shifted by one, merged with those of the phrases that overlap it in all but a word."""
+        if not len(self.at):
+            return
         follows = np.searchsorted(self.at, self.at + 1)
         follows[follows == len(self.at)] = 0
-        here = np.flatnonzero(self.at[follows] == self.at + 1) if len(self.at) else np.empty(0, np.int64)
+        here = np.flatnonzero(self.at[follows] == self.at + 1)
         last = self.last[follows[here]]
-        pair, phrase = np.unique(self.phrase[here] * len(self.names) + last, return_inverse=True)
-        first, word = pa.array(pair // max(1, len(self.names))), pa.array(pair % max(1, len(self.names)))
+        pair, phrase = numbered(self.phrase[here] * len(self.names) + last)
+        first, word = np.divmod(pair, len(self.names))
+        self.parts = (self.parts[0], first, word)
         self.at, self.last, self.phrase = self.at[here], last, phrase
-        self.lang, self.text = self.lang.take(first), pc.binary_join_element_wise(self.text.take(first), self.names.take(word), pa.scalar(" ", pa.large_string()))
+        self.lang, self.hash = self.lang[first], mix(self.hash[first] * ODD + self.word_hash[word])
 
-    def lengths(self) -> pa.RecordBatch:
+    def lengths(self) -> np.ndarray:
         """The length of every list."""
-        n = np.bincount(self.phrase, minlength=len(self.text)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([self.lang.cast(pa.string()), self.text.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"])
-
-
-class Filter:
-    """Passes all phrases whose hash has its bit set."""
+        return np.bincount(self.phrase, minlength=len(self.hash))
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def rows(self, n: np.ndarray, named: bool) -> pa.RecordBatch:
+        """A row for each phrase with ``n``, its text only if ``named``."""
+        none = pa.nulls(len(n), pa.string())
+        names = [pa.array(self.langs, pa.string()).take(pa.array(self.lang)), self.texts(np.arange(len(n))).cast(pa.string())] if named else [none, none]
+        return pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in np.ascontiguousarray(self.hash.T)), pa.array(n.astype(np.int64)), *names], names=["h1", "h2", "n", "lang", "phrase"])
 
-    def __call__(self, langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-        seeds = {x: xxhash.xxh64_intdigest(x, 42) for x in pc.unique(langs).to_pylist()}
-        hashes = np.array([xxhash.xxh64_intdigest(p, seeds[x]) for x, p in zip(langs.to_pylist(), phrases.to_pylist(), strict=True)], np.uint64)
-        at = hashes & np.uint64(8 * len(self.bits) - 1)
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    def totals(self) -> pa.RecordBatch:
+        """The number of words of each language."""
+        zero = pa.array(np.zeros(len(self.langs), np.int64))
+        return pa.RecordBatch.from_arrays([zero, zero, pa.array(self.n_words.astype(np.int64)), pa.array(self.langs, pa.string()), pa.nulls(len(self.langs), pa.string())], names=["h1", "h2", "n", "lang", "phrase"])
 
 
 def filter_of(frequent: DataFrame, filter_bits: int) -> np.ndarray:
-    """The bits of a filter of phrases (lang, phrase): 16 for each at least, 2 ** ``filter_bits`` at most."""
+    """The bits of a filter of phrases (h1): 16 for each at least, 2 ** ``filter_bits`` at most."""
     size = max(ROW, 1 << min(filter_bits, (16 * frequent.count()).bit_length()))
-    place = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(size - 1))
+    place = F.col("h1").bitwiseAND(F.lit(size - 1))
     rows = frequent.select(F.shiftright(place, 15).alias("row"), place.bitwiseAND(F.lit(ROW - 1)).alias("bit"))
     bits = np.zeros((size // ROW, ROW // 8), np.uint8)
     for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # `size` bits in all
@@ -126,21 +150,31 @@ def filter_of(frequent: DataFrame, filter_bits: int) -> np.ndarray:
     return bits.ravel()
 
 
-def counts(docs: DataFrame, filters: list) -> DataFrame:
-    """(lang, phrase, n) of all phrases of len(filters) + 1 words of (lang, text) that pass the filters of shorter ones."""
+def counts(docs: DataFrame, filters: list, longest: int) -> DataFrame:
+    """Counts of all phrases of len(filters) + 1 words of (lang, text) whose shorter phrases pass the filters.
+
+    Their rows have no text unless they are of ``longest`` words; as many phrases as are not
+    frequent needn't carry it. Beside them are rows with the text, and n = 0, of phrases of one word less
+    that passed, and with no phrase, the first time, of each language's number of words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             edges = np.append(0, np.flatnonzero(np.diff(sizes // BLOCK)) + 1)
             for a, b in zip(edges, np.append(edges[1:], len(sizes)), strict=True):
                 block = Block(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
-                for f in filters:
-                    block.keep(Filter(f.value))
+                if not filters:
+                    yield block.totals()
+                for i, bits in enumerate(filters, 1):
+                    block.keep(bits.value)
+                    if i == len(filters):
+                        yield block.rows(np.zeros(len(block.hash)), True)
                     block.extend()
-                yield block.lengths()
+                if len(block.at):
+                    yield block.rows(block.lengths(), len(filters) + 1 == longest)
 
-    return docs.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, COUNTS).groupBy("h1", "h2", "lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def cuts(phrase, longest: int):
@@ -173,11 +207,19 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     ``inside`` percent of its frequency is dropped.
     """
     docs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    words = cut(counts(docs, []))
-    levels, filters = [words.where(F.col("n") >= least)], []
-    for _ in range(1, longest):
-        filters.append(docs.sparkSession.sparkContext.broadcast(filter_of(levels[-1], filter_bits)))  # 2 ** filter_bits bits at most
-        levels.append(cut(counts(docs, filters).where(F.col("n") >= least)))
+    levels, filters, frequent = [], [], None
+    for k in range(1, longest + 1):
+        found = cut(counts(docs, filters, longest).where((F.col("n") >= least) | F.col("lang").isNotNull()))
+        if k == 1:
+            totals = found.where("h1 = 0 AND h2 = 0 AND lang IS NOT NULL").select("lang", "n")
+            found = found.where("lang IS NULL")
+        else:
+            named = found.where("n = 0").select("h1", "h2", "lang", "phrase")
+            levels.append(frequent.join(named, ["h1", "h2"]).select("lang", "phrase", "n"))
+        frequent = found.where(F.col("n") >= least).select("h1", "h2", "n", *(["lang", "phrase"] if k == longest else []))
+        if k < longest:
+            filters.append(docs.sparkSession.sparkContext.broadcast(filter_of(frequent, filter_bits)))  # 2 ** filter_bits bits at most
+    levels = [cut(x) for x in (*levels, frequent.select("lang", "phrase", "n"))]
     all_levels, candidates = levels[0], levels[1].limit(0)
     for level in levels[1:]:
         all_levels, candidates = all_levels.union(level), candidates.union(level)
@@ -194,7 +236,6 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     longer = longer.groupBy("lang", "phrase").agg(F.max("n").alias("_n"))
     kept = each.join(longer, ["lang", "phrase"], "left").where(F.col("_n").isNull() | (100 * F.col("_n") < inside * F.col("a"))).drop("_n")
     best = cut(top(kept, most))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
