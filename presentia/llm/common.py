@@ -102,6 +102,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def row_hashes(*columns: str) -> list[Column]:
+    """128 bits that tell rows apart by these columns, as two longs; a null is told from an empty value."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(k), *parts) for k in (21, 22)]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share; a temporary one only where none is set."""
     sc = spark.sparkContext

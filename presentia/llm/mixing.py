@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presentia.llm.common import cut, ranked, read_table
+from presentia.llm.common import cut, ranked, read_table, row_hashes
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Newton steps in a job, and jobs at most: a bracket of 400 is halved to nothing by then.
@@ -89,9 +89,11 @@ def multipliers(counts: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     return state.select("_rank", "_lambda")
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(3, 1, 2), share: float = 1.5, most: int = 2, cell: int = 256) -> DataFrame:
-    """A row for each document: its id, source, size, source_size, target, rate, copies and taken."""
-    sizes = cut(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), size_of(F.col(text)).alias("size")))
+def decisions(docs: DataFrame, doc_id: str, text: str, source: str, weights=(3, 1, 2), share: float = 1.5, most: int = 2, cell: int = 256) -> DataFrame:
+    """A row for all documents that are equal in id, source and text: _id, _source, size, a hash of all three (_k0, _k1), how many they are (same), source_size, target, rate, and the copies of all of them."""
+    keys = ["_k0", "_k1"]
+    key = [k.alias(name) for k, name in zip(row_hashes(doc_id, source, text), keys, strict=True)]
+    sizes = cut(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), size_of(F.col(text)).alias("size"), *key))
     targets = cut(source_targets(sizes, "_source", weights, share, most))
     sizes = sizes.join(targets.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
     counts = cut(sizes.where("size > 0").groupBy("_rank", "size").agg(F.count("*").alias("_n")))
@@ -99,9 +101,9 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     mean = F.col("source_size") / F.col("_docs")
     rates = sizes.join(solved, "_rank", "left").withColumn("rate", F.when(F.col("size") > 0, rate(F.col("_lambda"), F.col("size").cast("double"), mean, most)).otherwise(F.lit(1.0)))
     # rows that are equal in all that matters here are one row with their number
-    rates = rates.groupBy("_rank", "_id", "size", "rate").agg(F.count("*").alias("same"), *[F.first(c).alias(c) for c in ("_source", "source_size", "target", "_docs")])
-    salt = F.pmod(F.xxhash64(F.lit(11), "_id", "size"), F.ceil(F.col("_docs") / cell))
-    row = F.struct((-F.col("size")).alias("short"), F.xxhash64(F.lit(12), "_id").alias("tie"), F.col("_id").alias("id"), "rate", "same")
+    rates = rates.groupBy("_rank", "_id", "size", "rate", *keys).agg(F.count("*").alias("same"), *[F.first(c).alias(c) for c in ("_source", "source_size", "target", "_docs")])
+    salt = F.pmod(F.xxhash64(F.lit(11), *keys), F.ceil(F.col("_docs") / cell))
+    row = F.struct((-F.col("size")).alias("short"), F.xxhash64(F.lit(12), "_id").alias("tie"), F.col("_id").alias("id"), *keys, "rate", "same")
     rates = rates.withColumn("_salt", salt).repartition("_rank", "_salt")  # else a large source's cells would share a task
     cells = rates.groupBy("_rank", "_salt").agg(
         *[F.first(c).alias(c) for c in ("_source", "source_size", "target")], F.sort_array(F.collect_list(row)).alias("rows")
@@ -116,26 +118,37 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     copies = F.aggregate("rows", start, round_one, lambda s: s["copies"])
     each = cells.withColumn("each", F.explode(F.arrays_zip(F.col("rows").alias("row"), copies.alias("all"))))
-    each = each.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("each.row.same"))))
-    own = F.floor(F.col("each.all") / F.col("each.row.same")) + (F.col("nth") <= F.col("each.all") % F.col("each.row.same")).cast("long")
-    size_col = -F.col("each.row.short")
-    return each.select(
-        F.col("each.row.id").alias(doc_id), size_col.alias("size"), "source_size", "target", (size_col * own).alias("taken"),
-        F.col("_source").alias(source), F.col("each.row.rate").alias("rate"), own.alias("copies"),
-    )
+    row = F.col("each.row")
+    return each.select(row["id"].alias("_id"), "_source", (-row["short"]).alias("size"), *[row[k].alias(k) for k in keys], row["same"].alias("same"), row["rate"].alias("rate"), "source_size", "target", F.col("each.all").alias("all"))
+
+
+def numbered(rows: DataFrame, n: Column, lot: int = 1000) -> DataFrame:
+    """Every row ``n`` times, with _nth from 0; large numbers are dealt out in lots first."""
+    upto = lambda a, b: F.explode(F.sequence(a, b)).alias("_nth")
+    few = rows.where((n > 0) & (n <= lot)).select("*", upto(F.lit(0).cast("long"), n - 1))
+    lots = rows.where(n > lot).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / lot))).alias("_lot"))
+    many = lots.repartition("_k0", "_lot")
+    return few.unionByName(many.select("*", upto(F.col("_lot") * lot, F.least(F.col("_lot") * lot + lot, n) - 1)).drop("_lot"))
+
+
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """A row for each document: its id, source, size, source_size, target, rate, copies and taken; ``how`` as in decisions()."""
+    each = numbered(cut(decisions(docs, doc_id, text, source, **how)), F.col("same"))
+    own = F.floor(F.col("all") / F.col("same")) + (F.col("_nth") < F.col("all") % F.col("same")).cast("long")
+    return each.select(F.col("_id").alias(doc_id), "size", "source_size", "target", (F.col("size") * own).alias("taken"), F.col("_source").alias(source), "rate", own.alias("copies"))
 
 
 def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; of rows equal in id, source and size any may have the copy that doesn't divide."""
-    mix = mix_sources(docs, doc_id, text, source, **how)
-    mix = mix.groupBy(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.min("copies").alias("_copies"), F.sum("copies").alias("_all"), F.count("*").alias("_same"))
-    mix = cut(mix.withColumn("_rest", F.col("_all") - F.col("_copies") * F.col("_same")).drop("_all", "_same"))
-    same = lambda m: docs[doc_id].eqNullSafe(m["_id"]) & docs[source].eqNullSafe(m["_source"]) & (size_of(docs[text]) == m["_size"])
-    taken = docs.join(mix, same(mix)).where("_copies > 0")
+    """``docs`` with every row as often as the mix takes it; of rows equal in id, source and text any may have the copy that doesn't divide."""
+    key = row_hashes(doc_id, source, text)
+    mix = cut(decisions(docs, doc_id, text, source, **how).select("_k0", "_k1", F.floor(F.col("all") / F.col("same")).alias("_copies"), (F.col("all") % F.col("same")).alias("_rest")))
+    keyed = docs.withColumns({"_r0": key[0], "_r1": key[1]})
+    same = lambda m: (keyed["_r0"] == m["_k0"]) & (keyed["_r1"] == m["_k1"])
+    taken = keyed.join(mix.where("_copies > 0"), same(mix)).drop("_rest")
     more = mix.where("_rest > 0")
-    extra = docs.join(more, same(more)).dropDuplicates(["_id", "_source", "_size"]).withColumn("_copies", F.col("_rest"))
-    taken = taken.select(*taken.columns).unionByName(extra)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_source", "_size", "_copies", "_rest", "_copy")
+    extra = keyed.join(more, same(more)).drop("_copies").dropDuplicates(["_k0", "_k1"]).withColumnRenamed("_rest", "_copies")  # equal rows but one go
+    lots = lambda df: numbered(df, F.col("_copies")).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns).unionByName(lots(extra))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
