@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presentia.llm.common import WORD, Scratch, cut, let, read_table
+from presentia.llm.common import WORD, Scratch, cut, let, read_table, row_hashes
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -289,7 +289,7 @@ def shingle_set(text, n: int):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, keep) -> DataFrame:
-    """The pairs (a, b) of nodes (id, size, parity) whose shingle sets are alike to ``similarity``.
+    """The pairs (a, b) of nodes (id, row, size, parity) whose shingle sets are alike to ``similarity``; ``row`` names the row of ``texts`` (row, text) that a node stands for.
 
     Sizes and parities rule out only pairs that can't be: alike sets of x and y
     shingles have at most (1 - s) / (1 + s) (x + y) that aren't in both.
@@ -297,9 +297,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), F.col("parity").alias(f"{s}_parity"))
     possible = (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9) & (differing("a_parity", "b_parity") <= not_in_both(F.col("a_size"), F.col("b_size"), similarity))
     found = keep(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(possible).select("a", "b"))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").select("id", shingle_set(F.col("text"), words).alias("set"))
-    sets = keep(sets.groupBy("id").agg(F.first("set").alias("set")))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "row"), "id")
+    sets = texts.join(wanted, "row").select("id", shingle_set(F.col("text"), words).alias("set"))
+    sets = keep(sets.groupBy("id").agg(F.first("set").alias("set")))  # rows of one id and text are equal
     side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"{s}_set"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     share = F.size(F.array_intersect("a_set", "b_set")) / F.size(F.array_union("a_set", "b_set"))
@@ -412,17 +412,20 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     Candidates have SimHash fingerprints that meet in Golay keys, or share a shingle of
     their prefixes (see prefix_marks): all pairs alike to ``similarity`` are among
     them. Common shingles go last in prefixes: this orders the work and leaves the
-    result as it is. Rows
-    without an id stay; null and blank texts are equal; of rows that share an id all
-    stay or none.
+    result as it is. Rows without an id stay; null and blank texts are equal; rows that share an id
+    and have different texts are different documents, of which a hash of the text tells the smaller;
+    rows equal in id and text all stay or none.
     """
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    row = F.struct(F.col(doc_id).alias("id"), *[h.alias(f"t{i}") for i, h in enumerate(row_hashes(text))])
+    rows = docs.where(F.col(doc_id).isNotNull()).select(row.alias("row"), F.col(text).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))  # COMMON at most
-    marks = rows.select("id", prefix_marks(words, similarity, common)("text").alias("w")).select("id", "w.*")
-    nodes = cut(marks.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "fp", "parity", "prefix")]).drop("key"))
-    gone = similar_components(nodes, rows, words, similarity, few).select(F.col("node").alias("id"))
-    kept = nodes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("_stay"))
-    return docs.join(kept, docs[doc_id] == kept["_stay"], "left").where(F.col("_stay").isNotNull() | F.col(doc_id).isNull()).drop("_stay")
+    marks = rows.select("row", prefix_marks(words, similarity, common)("text").alias("w")).select("row", "w.*")
+    nodes = marks.groupBy("key").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("size", "fp", "parity", "prefix")]).drop("key")
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
+    found = similar_components(nodes, rows, words, similarity, few).withColumnRenamed("node", "id")
+    kept = nodes.select("id", "row").join(found, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("row").alias("_stay")).select("_stay")
+    out = docs.withColumn("_row", row)
+    return out.join(kept, out["_row"] == kept["_stay"], "left").where(F.col("_stay").isNotNull() | F.col(doc_id).isNull()).drop("_row", "_stay")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
