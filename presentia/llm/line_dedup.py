@@ -8,15 +8,16 @@ id) that holds it, and with no other, so rows grow with the lines, never with th
 square of a group, and no document's lines are sent along with a pair. The anchors of
 a pair are aligned by patience diff: those that are once on both sides, their longest
 increasing run, extended over the others that fit between. Aligned blocks are deleted
-from the later document, and so are blocks that moved, which aligning what is left
-again and again would find, unless ``moved`` is off. With it, what goes are exactly
-the lines in a run of ``min_words`` or more that an earlier document has.
+from the later document. Then, unless ``moved`` is off, what is left is aligned again
+until nothing is, for the blocks that moved: in the end the lines in a run of
+``min_words`` or more that an earlier document has are gone.
 
 Defined results: null texts and null ids are left as they are; blank lines are
-deleted where the lines before and after them are; rows that share an id are one
-document, of which the smallest array of lines is aligned; exact copies but the first
-have no words left, and ``drop_emptied`` drops these; an empty table gives an empty
-result. Columns named as the result's (n_lines, removed_lines, n_removed) are replaced.
+deleted where the lines before and after them are; rows that share an id and have
+different texts are different documents, in the order of a hash of the text, and those
+with equal texts are one; exact copies but the first have no words left, and
+``drop_emptied`` drops these; an empty table gives an empty result. Columns named as the
+result's (n_lines, removed_lines, n_removed) are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presentia.llm.common import cut, let, read_table
+from presentia.llm.common import cut, let, read_table, row_hashes
 
 SPACE = " \t\x0b\x0c\r"
 POSITIONS = T.ArrayType(T.IntegerType())
@@ -73,6 +74,17 @@ def aligned(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return fits[which.reshape(-1)]
 
 
+def blocks(i: np.ndarray, j: np.ndarray, moved: bool) -> np.ndarray:
+    """Which matches go: those aligned, and if ``moved`` those aligned among what is left, until nothing is."""
+    gone = np.zeros(len(i), bool)
+    while len(left := np.flatnonzero(~gone)):
+        fits = aligned(i[left], j[left])
+        gone[left[fits]] = True
+        if not moved or not fits.any():
+            break
+    return gone
+
+
 def anchors(one: np.ndarray, two: np.ndarray, words: np.ndarray, at: np.ndarray, min_words: int) -> list[tuple[bytes, int, int, int, int]]:
     """(hash, first and last place among lines that aren't blank, first and last line) of the runs of ``min_words`` or more, one from each line and one to each."""
     if not len(one):
@@ -99,13 +111,14 @@ def covered(place: np.ndarray, upto: np.ndarray, first: np.ndarray, last: np.nda
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 8, drop_emptied: bool = False, moved: bool = True) -> DataFrame:
     """``docs`` with repeated blocks deleted from ``text``, and n_lines, removed_lines (positions from 0) and n_removed."""
     docs = docs.drop("n_lines", "removed_lines", "n_removed")
+    own = F.struct(F.col(doc_id).alias("id"), *[h.alias(f"t{i}") for i, h in enumerate(row_hashes(text))])
     split = F.split(F.col(text), "\n")
     trimmed = F.transform(split, lambda x: F.trim(x, F.lit(SPACE)))
     count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"[\x20\x09-\x0D]+")))
-    lines = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), trimmed.alias("lines"))
+    lines = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(own.alias("id"), trimmed.alias("lines"))
     hashes = [F.transform("lines", lambda x: F.xxhash64(x)).alias("one"), F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("two")]
     lines = lines.select("id", F.struct(*hashes, F.transform("lines", count).alias("words")).alias("l"))
-    lines = lines.groupBy("id").agg(F.min("l").alias("l"))
+    lines = lines.groupBy("id").agg(F.first("l").alias("l"))  # equal texts
 
     @F.pandas_udf(ANCHORS)
     def anchors_of(lines: pd.DataFrame) -> pd.Series:
@@ -125,7 +138,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         out = []
         for rows in matches:
             i, j, *runs = (np.array([x[c] for x in rows]) for c in ("place", "there", "upto", "first", "last"))
-            keep = np.ones(len(i), bool) if moved else aligned(i, j)
+            keep = blocks(i, j, moved)
             out.append(covered(i[keep], *(x[keep] for x in runs)))
         return pd.Series(out, dtype=object)
 
@@ -133,7 +146,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     removed = pair.select("id", F.explode(repeated("matches")).alias("at"))
     removed = removed.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("removed_lines"))  # positions of one document
     removed = removed.withColumnRenamed("id", "_of")
-    out = docs.join(removed, docs[doc_id] == removed["_of"], "left").drop("_of")
+    out = docs.withColumn("_own", own)
+    out = out.join(removed, out["_own"] == removed["_of"], "left").drop("_own", "_of")
     out = out.withColumns({"removed_lines": F.coalesce("removed_lines", F.array().cast(POSITIONS)), "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long")})
     out = out.withColumn("n_removed", F.size("removed_lines").cast("long"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed_lines"))

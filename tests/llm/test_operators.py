@@ -484,6 +484,23 @@ def test_line_dedup_deletes_from_later_documents(spark):
     assert 8 not in left and {0, 1, 2, 4, 5, 6, 7} <= left
 
 
+def test_lines_go_by_alignment(spark, monkeypatch):
+    rng = random.Random(8)
+    line = lambda: " ".join(f"q{rng.getrandbits(30)}" for _ in range(9))
+    blocks = [line() for _ in range(8)]
+    order = [0, 1, 2, 5, 3, 4, 7, 6]
+    docs = documents(spark, ["\n".join(blocks), "\n".join(blocks[k] for k in order)])
+    removed = lambda **how: line_dedup.line_dedup(docs, **how).where("doc_id = 1").first().removed_lines
+    spine = [order.index(k) for k in (0, 1, 2, 3, 4)]  # what a plain patience diff aligns, and one of the last two
+    aligned_only = removed(moved=False)
+    assert set(spine) <= set(aligned_only) and len(aligned_only) == 6 and removed() == [*range(8)]
+    i, j = np.array([0, 1, 2]), np.array([5, 4, 3])
+    assert line_dedup.blocks(i, j, True).all() and line_dedup.blocks(i, j, False).sum() == 1
+    real = line_dedup.aligned
+    monkeypatch.setattr(line_dedup, "aligned", lambda i, j: np.zeros(len(i), bool) if len(i) < 3 else real(i, j))
+    assert not line_dedup.blocks(i[:2], j[:2], True).any()  # nothing goes that isn't aligned
+
+
 def test_line_dedup_of_frequent_and_short_lines(spark):
     line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     copies = ["\n".join(line(f"copy{k}w", 12) for k in range(3))] * 30  # lines of 8 to 19 words, in more than 20 documents

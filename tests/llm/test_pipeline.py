@@ -147,3 +147,59 @@ def test_token_stage(tables):
 def test_run(spark, tables):
     folder, _, (*_, rows) = tables
     assert sorted(pipeline.run(spark, folder).collect()) == sorted(rows)
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark, tmp_path_factory):
+    """Documents that share an id, or have none, and whose texts differ; some are exact or near copies."""
+    rng = random.Random(33)
+    common = quality_rules.COMMON_WORDS["en"]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    lone = [line(60) for _ in range(40)]  # one size, no id, one source
+    twins = [f"{line(40)}\n{line(40)}" for _ in range(12)]
+    passage = line(50)
+    rows = [(None, t, "en", "a", None) for t in lone]
+    rows += [(i // 4, t, "en", "b", None) for i, t in enumerate(twins)]
+    rows += [(2, f"{passage}\n{line(60)}", "en", "b", None), (2, f"{line(60)}\n{passage}", "en", "b", None), (9, f"{passage}\n{line(70)}", "en", None, None)]
+    rows += [(1, re.sub(r"^\S+", "Changed", twins[0]), "en", "b", None), (1, twins[4], "en", "b", None)]
+    folder = str(tmp_path_factory.mktemp("shared"))
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return folder, rows, passage
+
+
+def test_rows_that_share_an_id_stay_apart(spark, shared_ids):
+    folder, rows, passage = shared_ids
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    unit = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    # lines: only the passage and whole or near copies of lines go, each but once, and from no other row
+    out = pipeline.delete_repeated_lines(spark, docs, folder)
+    texts = collections.Counter(r.text for r in out.collect())
+    joined = "\n".join(texts)  # rows equal in id and text are one
+    lines = {x for _, t, *_ in rows for x in t.split("\n")}
+    held = collections.Counter(x for i, t in {(i, t) for i, t, *_ in rows if i is not None} for x in t.split("\n"))
+    assert all(joined.count(x) == 1 for x in lines if held[x]) and joined.count(passage) == 1
+    assert sum(t in {x[1] for x in rows if x[0] is None} for t in texts.elements()) == 40
+    # near duplicates: one row of each group, none else
+    out = pipeline.keep_one_of_near_duplicates(spark, docs, folder).collect()
+    named = [r for r in rows if r[0] is not None]
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), t).split() for _, t, *_ in named]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words]
+    groups = []
+    for k, s in enumerate(sets):
+        meet = [g for g in groups if any(len(s & sets[x]) >= 0.8 * len(s | sets[x]) for x in g)]
+        groups = [g for g in groups if g not in meet] + [[x for g in meet for x in g] + [k]]
+    kept = sorted(unit(r) for r in out if r.doc_id is not None)
+    assert sum(r.doc_id is None for r in out) == 40
+    choices = [{unit(named[x]) for x in g} for g in groups]
+    assert all(len({*kept} & c) == 1 for c in choices) and len({*kept}) == len(choices)
+    assert all(min(x[1] for x in c) == next(x[1] for x in kept if x in c) for c in choices)
+    # mixing: no text more than twice for each of its rows, sources near their targets
+    out = pipeline.mix_to_weights(spark, docs, folder).collect()
+    given, taken = collections.Counter(unit(r) for r in rows), collections.Counter(unit(r) for r in out)
+    assert set(taken) <= set(given) and all(n <= 2 * given[x] for x, n in taken.items()) and len({t for *_, t in taken}) > 30
+
+
+def test_run_over_shared_ids(spark, shared_ids):
+    folder, rows, _ = shared_ids
+    assert 0 < pipeline.run(spark, folder).count() <= 2 * len(rows)
