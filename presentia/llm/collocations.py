@@ -6,13 +6,14 @@ so its length is the phrase's exact frequency in the block. Phrases grow a word
 time: the list of a frequent phrase is merge-joined with the postings of adjacent words
 (a list of positions shifted by the phrase's length), and only where the words that
 follow make a frequent phrase as well. A phrase never leaves its document, so lists are
-joined where they are; what is shuffled is a count for each phrase and block. Phrases
-are told apart by 128 bits of hash until they are known to be frequent.
-
-Which phrases of the level before are frequent is known to a block by a filter of
-bits, of a size that doesn't depend on the corpus beyond ``filter_bits``: a phrase
-that isn't frequent may pass it and is dropped when the counts are added up, a
-frequent one always passes. Scores are exact: decimals of 38 digits, divided as whole
+joined where they are; what is shuffled is a list's length for each phrase and block.
+
+A level is counted twice. First every phrase has 64 bits of hash for a name: phrases that
+share one are added up, so no count is too low. Those that are frequent by this count set
+bits of a filter of ``filter_bits`` at most. The next pass, which extends the lists that
+pass the filter, tells their lengths by the phrase itself, and so the exact
+frequencies: what passed without being frequent falls out then, and a frequent phrase
+always passes. Scores are exact: decimals of 38 digits, divided as whole
 numbers.
 
 Defined results: null and empty texts have no words; a null language is `und`; a null
@@ -43,16 +44,17 @@ LOWER[65:91] += 32
 PARTS = np.zeros(256, np.uint8)
 PARTS[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = 1
 PARTS[[9, 32]] = 2
-COUNTS = "h1 long, h2 long, n long, lang string, phrase string"
+COUNTS = "h long, n long, lang string, phrase string"
 #: Bits that a row of a filter holds.
 ROW = 1 << 15
-ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+HALF = np.uint64(32)
 
 
 def word_hashes(langs: list[str], lang: np.ndarray, words: pa.Array) -> np.ndarray:
-    """128 bits for each word of a language, as two columns."""
+    """64 bits for each word of a language."""
     seeds = np.array([xxhash.xxh64_intdigest(x) for x in langs], object)[lang].tolist() if len(langs) else []
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist(), seeds)), np.uint64).reshape(-1, 2)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words.to_pylist(), seeds)), np.uint64)
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +99,9 @@ class Block:
 
     def keep(self, bits: np.ndarray) -> None:
         """Only the lists of phrases that pass a filter."""
-        at = self.hash[:, 0] & np.uint64(8 * len(bits) - 1)
-        ok = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        ok = np.ones(len(self.hash), bool)
+        for at in (self.hash & np.uint64(8 * len(bits) - 1), (self.hash >> HALF) & np.uint64(8 * len(bits) - 1)):
+            ok &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         stays, which = ok[self.phrase], np.flatnonzero(ok)
         self.parts = (self.texts(which), np.arange(len(which)), None)
         self.at, self.last, self.phrase = self.at[stays], self.last[stays], (np.cumsum(ok) - 1)[self.phrase[stays]]
@@ -127,23 +130,25 @@ class Block:
         """The length of every list."""
         return np.bincount(self.phrase, minlength=len(self.hash))
 
-    def rows(self, n: np.ndarray, named: bool) -> pa.RecordBatch:
-        """A row for each phrase with ``n``, its text only if ``named``."""
-        none = pa.nulls(len(n), pa.string())
-        names = [pa.array(self.langs, pa.string()).take(pa.array(self.lang)), self.texts(np.arange(len(n))).cast(pa.string())] if named else [none, none]
-        return pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in np.ascontiguousarray(self.hash.T)), pa.array(n.astype(np.int64)), *names], names=["h1", "h2", "n", "lang", "phrase"])
+    def rows(self, named: bool) -> pa.RecordBatch:
+        """A row for each phrase with its list's length; it is named by itself, or by its hash."""
+        n, none = len(self.hash), pa.nulls
+        names = [none(n, pa.int64()), pa.array(self.langs, pa.string()).take(pa.array(self.lang)), self.texts(np.arange(n)).cast(pa.string())]
+        names = names if named else [pa.array(self.hash.view(np.int64)), none(n, pa.string()), none(n, pa.string())]
+        return pa.RecordBatch.from_arrays([names[0], pa.array(self.lengths().astype(np.int64)), *names[1:]], names=["h", "n", "lang", "phrase"])
 
     def totals(self) -> pa.RecordBatch:
         """The number of words of each language."""
-        zero = pa.array(np.zeros(len(self.langs), np.int64))
-        return pa.RecordBatch.from_arrays([zero, zero, pa.array(self.n_words.astype(np.int64)), pa.array(self.langs, pa.string()), pa.nulls(len(self.langs), pa.string())], names=["h1", "h2", "n", "lang", "phrase"])
+        n = len(self.langs)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(self.n_words.astype(np.int64)), pa.array(self.langs, pa.string()), pa.nulls(n, pa.string())], names=["h", "n", "lang", "phrase"])
 
 
 def filter_of(frequent: DataFrame, filter_bits: int) -> np.ndarray:
-    """The bits of a filter of phrases (h1): 16 for each at least, 2 ** ``filter_bits`` at most."""
-    size = max(ROW, 1 << min(filter_bits, (16 * frequent.count()).bit_length()))
-    place = F.col("h1").bitwiseAND(F.lit(size - 1))
-    rows = frequent.select(F.shiftright(place, 15).alias("row"), place.bitwiseAND(F.lit(ROW - 1)).alias("bit"))
+    """The bits of a filter of hashes (h), two for each: 32 bits for each at least, 2 ** ``filter_bits`` at most."""
+    size = max(ROW, 1 << min(filter_bits, (32 * frequent.count()).bit_length()))
+    places = F.array(*[x.bitwiseAND(F.lit(size - 1)) for x in (F.col("h"), F.shiftrightunsigned("h", 32))])
+    place = frequent.select(F.explode(places).alias("place"))
+    rows = place.select(F.shiftright("place", 15).alias("row"), F.col("place").bitwiseAND(F.lit(ROW - 1)).alias("bit"))
     bits = np.zeros((size // ROW, ROW // 8), np.uint8)
     for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # `size` bits in all
         bits[r.row] = np.frombuffer(r.bits, np.uint8)
@@ -151,11 +156,11 @@ def filter_of(frequent: DataFrame, filter_bits: int) -> np.ndarray:
 
 
 def counts(docs: DataFrame, filters: list, longest: int) -> DataFrame:
-    """Counts of all phrases of len(filters) + 1 words of (lang, text) whose shorter phrases pass the filters.
+    """(h, n, lang, phrase): numbers of occurrences in (lang, text).
 
-    Their rows have no text unless they are of ``longest`` words; as many phrases as are not
-    frequent needn't carry it. Beside them are rows with the text, and n = 0, of phrases of one word less
-    that passed, and with no phrase, the first time, of each language's number of words.
+    Rows with h count phrases of len(filters) + 1 words, up to ``longest``, whose shorter phrases pass the
+    filters; rows with a phrase count the longest of these themselves; the first time, rows with
+    neither count the words of a language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +174,12 @@ def counts(docs: DataFrame, filters: list, longest: int) -> DataFrame:
                 for i, bits in enumerate(filters, 1):
                     block.keep(bits.value)
                     if i == len(filters):
-                        yield block.rows(np.zeros(len(block.hash)), True)
+                        yield block.rows(named=True)
                     block.extend()
-                if len(block.at):
-                    yield block.rows(block.lengths(), len(filters) + 1 == longest)
+                if len(filters) < longest and len(block.at):
+                    yield block.rows(named=False)
 
-    return docs.mapInArrow(count, COUNTS).groupBy("h1", "h2", "lang", "phrase").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, COUNTS).groupBy("h", "lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def cuts(phrase, longest: int):
@@ -207,19 +212,15 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     ``inside`` percent of its frequency is dropped.
     """
     docs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    levels, filters, frequent = [], [], None
-    for k in range(1, longest + 1):
-        found = cut(counts(docs, filters, longest).where((F.col("n") >= least) | F.col("lang").isNotNull()))
-        if k == 1:
-            totals = found.where("h1 = 0 AND h2 = 0 AND lang IS NOT NULL").select("lang", "n")
-            found = found.where("lang IS NULL")
+    levels, filters = [], []
+    for k in range(longest + 1):
+        found = cut(counts(docs, filters, longest).where((F.col("n") >= least) | F.col("h").isNull() & F.col("phrase").isNull()))
+        if k == 0:
+            totals = found.where("h IS NULL").select("lang", "n")
         else:
-            named = found.where("n = 0").select("h1", "h2", "lang", "phrase")
-            levels.append(frequent.join(named, ["h1", "h2"]).select("lang", "phrase", "n"))
-        frequent = found.where(F.col("n") >= least).select("h1", "h2", "n", *(["lang", "phrase"] if k == longest else []))
+            levels.append(found.where("phrase IS NOT NULL").select("lang", "phrase", "n"))
         if k < longest:
-            filters.append(docs.sparkSession.sparkContext.broadcast(filter_of(frequent, filter_bits)))  # 2 ** filter_bits bits at most
-    levels = [cut(x) for x in (*levels, frequent.select("lang", "phrase", "n"))]
+            filters.append(docs.sparkSession.sparkContext.broadcast(filter_of(found.where("h IS NOT NULL"), filter_bits)))  # 2 ** filter_bits bits at most
     all_levels, candidates = levels[0], levels[1].limit(0)
     for level in levels[1:]:
         all_levels, candidates = all_levels.union(level), candidates.union(level)
