@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VALID = "^[ACGT]+$"
 #: All triples in order, each with a blank: a triple begins at four times its number.
 TRIPLES = "".join(a + b + c + " " for a in "ACGT" for b in "ACGT" for c in "ACGT")
 
+LETTERS = np.frombuffer(b"ACGTN", np.uint8)
+DIGITS = np.full(256, 4, np.uint8)
+DIGITS[LETTERS] = np.arange(5)
+
 
 def normalise(seq: Column, upper: bool = True) -> Column:
     """A genome's text with every run of anything but A, C, G, T as one N, the break. Null becomes empty."""
@@ -45,10 +52,14 @@ def base_codes(seq: Column) -> Column:
 def pack3(seq: Column) -> Column:
     """Three bases a number: two bits each from the highest, and in the lowest two how many are missing at the end."""
     missing = F.pmod(-F.length(seq), F.lit(3)).cast("int")
-    triples = F.regexp_extract_all(F.concat(seq, F.repeat(F.lit("A"), missing)), F.lit("(?s).{3}"), F.lit(0))
-    numbers = F.transform(triples, lambda x: F.instr(F.lit(TRIPLES), x) - 1)
-    last = F.array(F.element_at(numbers, -1) + missing)
-    return F.when(missing == 0, numbers).otherwise(F.concat(F.slice(numbers, F.lit(1), F.size(numbers) - 1), last))
+    triples = F.regexp_extract_all(F.concat(F.translate(seq, "ACGT", "0123"), F.repeat(F.lit("0"), missing)), F.lit("(?s).{3}"), F.lit(0))
+    number = lambda x: F.conv(x, 4, 10).cast("int") * 4
+
+    def packed(x: Column) -> Column:  # x: the triples, bound once
+        last = F.size(x) - 1
+        return F.transform(x, lambda t, i: number(t) + F.when(i == last, missing).otherwise(F.lit(0)))
+
+    return F.get(F.transform(F.array(triples), packed), F.lit(0))
 
 
 def unpack3(packed: Column) -> Column:
@@ -57,6 +68,35 @@ def unpack3(packed: Column) -> Column:
     return F.array_join(F.transform(packed, three), "")
 
 
+def pack_genome(seq: Column) -> Column:
+    """A whole genome, breaks included, as a struct: triples (a byte for each three of A, C, G, T, N, as a number to the base of five) and length."""
+
+    @F.arrow_udf(T.BinaryType())
+    def triples(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            digits = DIGITS[np.frombuffer((text.as_py() or "").encode(), np.uint8)]
+            three = np.append(digits, np.zeros(-len(digits) % 3, np.uint8)).reshape(-1, 3)
+            out.append((three @ np.array([25, 5, 1], np.uint8)).astype(np.uint8).tobytes())
+        return pa.array(out, pa.binary())
+
+    return F.struct(triples(seq).alias("triples"), F.coalesce(F.length(seq), F.lit(0)).alias("length"))
+
+
+def unpack_genome(packed: Column) -> Column:
+    """The genome that pack_genome packed; a letter other than A, C, G, T is N."""
+
+    @F.arrow_udf(T.StringType())
+    def bases(triples: pa.Array) -> pa.Array:
+        out = []
+        for x in triples:
+            number = np.frombuffer(x.as_py(), np.uint8)
+            out.append(LETTERS[np.stack([number // 25, number // 5 % 5, number % 5], axis=1)].tobytes().decode())
+        return pa.array(out, pa.string())
+
+    return F.left(bases(packed["triples"]), packed["length"])
+
+
 def one_hot(seq: Column) -> Column:
     """Four rows of 0 and 1 for A, C, G and T; a break is 0 in all."""
     letters = F.filter(F.split(seq, ""), lambda x: x != "")

@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presentia.functions import dna
+from presentia.operators import seeding
 
 STRIDE = 1 << 16
-#: Chunks of a genome that one task may match by itself.
-SPREAD = 64
 #: Markers below this length give useless seeds.
 SHORT = 10
 #: Longest seed; more bases don't make it rarer.
-SEED = 32
+SEED = seeding.LONGEST
 #: At most so many bases of a window are kept for the first comparison; longer markers are verified on the chunk.
 WINDOW = 64
 #: Most markers, and most of their bases, that are broadcast to all tasks.
@@ -32,7 +31,7 @@ def distinct_markers(markers: DataFrame) -> DataFrame:
     return markers.where(dna.is_valid_marker(F.col("seq"))).select("seq").distinct().withColumn("length", F.length("seq"))
 
 
-def chunks(genomes: DataFrame, longest: int, stride: int = STRIDE, spread: bool = True) -> DataFrame:
+def chunks(genomes: DataFrame, longest: int, stride: int = STRIDE, spread: bool = False) -> DataFrame:
     """(genome_id, chunk_no, chunk): every start lies in one stride, and a match from there of up to ``longest`` bases in its chunk.
 
     A genome that fits in one chunk isn't cut. ``spread`` deals chunks out over the cluster.
@@ -49,18 +48,20 @@ def nested(genomes: DataFrame, markers: DataFrame) -> DataFrame:
     return genomes.join(F.broadcast(markers.select("seq")), F.expr("contains(chunk, seq)")).select("genome_id", "seq").distinct()
 
 
-def seeded(pieces: DataFrame, markers: DataFrame, seed: int, longest: int, broadcast: bool) -> DataFrame:
-    """Equi-join of each start's first ``seed`` bases with the markers', then comparison of what follows.
+def seeded(pieces: DataFrame, markers: DataFrame, seed: int, longest: int, broadcast: bool, sampled: bool = False) -> DataFrame:
+    """Join of the starts that seeding lets through with the markers' seeds, then comparison of what follows.
 
-    Windows stop at breaks by themselves. With ``broadcast`` off the join is
-    shuffled by seed, and Spark splits seeds that are very frequent.
+    ``seed`` bases are in every marker. Windows stop at breaks by themselves. With
+    ``broadcast`` off the join is shuffled by seed, and Spark splits seeds that are very
+    frequent. ``sampled`` tests minimizers only.
     """
     seed, width = min(seed, SEED), min(longest, WINDOW)
-    windows = F.array_distinct(F.regexp_extract_all("chunk", F.lit(f"(?=([ACGT]{{{seed},{width}}}))"), F.lit(1)))
-    starts = pieces.select("genome_id", "chunk_no", F.explode(windows).alias("window")).withColumn("seed", F.left("window", F.lit(seed)))
-    wanted = markers.select("seq", "length", F.left("seq", F.lit(seed)).alias("seed"), F.left("seq", F.lit(width)).alias("head"))
+    k, w = (-(-2 * seed // 3), seed // 3 + 1) if sampled else (seed, 1)
+    wanted = seeding.marker_seeds(markers.select("seq", "length"), k, w).withColumn("head", F.left("seq", F.lit(width)))
+    starts = seeding.starts(pieces, seeding.table_of(wanted.select("seed").distinct()), k, w, width)
     wanted = F.broadcast(wanted) if broadcast else wanted
-    hits = starts.join(wanted, "seed").where(F.expr("startswith(window, head)")).select("genome_id", "chunk_no", "seq", "length")
+    begins = F.expr("shift <= before AND substring(around, before - shift + 1, length(head)) = head")
+    hits = starts.join(wanted, "seed").where(begins).select("genome_id", "chunk_no", "seq", "length")
     sure = hits.where(F.col("length") <= width).select("genome_id", "seq")
     if longest <= width:
         return sure.distinct()
@@ -79,30 +80,32 @@ def by_length(pieces: DataFrame, markers: DataFrame, lengths: list[int]) -> Data
     return reduce(DataFrame.union, [one(k) for k in lengths])
 
 
-def match(genomes: DataFrame, markers: DataFrame, strategy: str = "auto", stride: int = STRIDE, spread: bool | None = None) -> DataFrame:
+def match(genomes: DataFrame, markers: DataFrame, strategy: str = "auto", stride: int = STRIDE, spread: bool = False) -> DataFrame:
     """(genome_id, seq): each distinct marker sequence that a genome (genome_id, seq) contains.
 
-    ``markers`` needs only seq; strategies are auto, nested, seeded, shuffled, by_length.
-    Unless ``spread`` says so, chunks are dealt out if some genome has more than SPREAD
-    of them; shorter genomes are matched in the task that reads them.
+    ``markers`` needs only seq; strategies are auto, nested, seeded, sampled, shuffled, by_length.
+    Genomes are matched in the tasks that read them; ``spread`` deals their chunks out, for
+    few genomes that are long. Files of such genomes are better read as pieces, for match_pieces().
     """
+    return match_pieces(lambda longest: chunks(genomes.select("genome_id", "seq"), longest, stride if stride != STRIDE else max(stride, longest), spread), markers, strategy)
+
+
+def match_pieces(pieces, markers: DataFrame, strategy: str = "auto") -> DataFrame:
+    """(genome_id, seq) as match() has it; ``pieces`` gives (genome_id, chunk_no, chunk) that overlap enough for markers of a given length."""
     from presentia.plans import planner
 
     wanted = distinct_markers(markers)
     plan = planner.choose(planner.statistics(wanted), strategy)
+    cut = pieces(max(1, plan.longest))
     if plan.empty:
-        return genomes.select("genome_id", F.col("seq")).where("false")
-    stride = max(stride, plan.longest) if stride == STRIDE else stride  # else very long markers would copy genomes many times
-    if spread is None:
-        spread = (genomes.agg(F.max(F.length("seq"))).first()[0] or 0) > SPREAD * stride
-    pieces = chunks(genomes.select("genome_id", "seq"), plan.longest, stride, spread)
+        return cut.select("genome_id", F.col("chunk").alias("seq")).where("false")
     parts = []
     for step in plan.steps:
         part = wanted.where(F.col("length").between(step.least, step.most))
         if step.kind == "nested":
-            parts.append(nested(pieces, part))
+            parts.append(nested(cut, part))
         elif step.kind == "by_length":
-            parts.append(by_length(pieces, part, step.lengths))
+            parts.append(by_length(cut, part, step.lengths))
         else:
-            parts.append(seeded(pieces, part, step.least, step.most, step.kind == "seeded"))
+            parts.append(seeded(cut, part, step.least, step.most, step.kind == "seeded", strategy == "sampled"))
     return reduce(DataFrame.union, parts)

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presentia.functions import dna
-from presentia.operators import matrix, statistics
-from presentia.operators.matching import distinct_markers, match
-from presentia.sources import writers
+from presentia.operators import blocked, matrix, statistics
+from presentia.operators.matching import distinct_markers, match, match_pieces
+from presentia.sources import pieces, readers, stored, writers
 
 LETTERS = string.ascii_lowercase + string.ascii_uppercase
 BASES = "ACGT" * 13
@@ -28,8 +28,13 @@ def as_dna(text):
     return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), LETTERS, BASES), "[^ACGT]+", "N")
 
 
+def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The genomes' table; a table in one row group would be one task."""
+    return readers.spread_rows(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def genomes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("genome_id"), as_dna(F.col("text")).alias("seq"))
+    return documents(spark, d).select(F.col("doc_id").alias("genome_id"), as_dna(F.col("text")).alias("seq"))
 
 
 def markers(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +53,7 @@ def _hits(strategy: str, **how):
 def whole_genomes(spark: SparkSession, d: str) -> DataFrame:
     """Genomes without breaks: only the letters of a text."""
     bare = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), LETTERS, BASES), "[^ACGT]+", "")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("genome_id"), bare.alias("seq"))
+    return documents(spark, d).select(F.col("doc_id").alias("genome_id"), bare.alias("seq"))
 
 
 def long_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +124,9 @@ def _absent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merge(spark: SparkSession, d: str) -> DataFrame:
-    even = _long(spark, d).withColumn("present", F.when(F.col("ordinal") % 2 == 0, F.col("present")).otherwise(F.lit(0)).cast("tinyint"))
-    odd = _long(spark, d).withColumn("present", F.when(F.col("ordinal") % 3 == 0, F.col("present")).otherwise(F.lit(0)).cast("tinyint"))
+    once = _bits(spark, d).persist()  # both sides read it
+    even = matrix.to_long(once).withColumn("present", F.when(F.col("ordinal") % 2 == 0, F.col("present")).otherwise(F.lit(0)).cast("tinyint"))
+    odd = matrix.to_long(once).withColumn("present", F.when(F.col("ordinal") % 3 == 0, F.col("present")).otherwise(F.lit(0)).cast("tinyint"))
     return matrix.merge(even, odd).select("genome_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("present").cast("long").alias("present"))
 
 
@@ -129,7 +135,7 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reconcile(spark: SparkSession, d: str) -> DataFrame:
-    a = _named(spark, d)
+    a = _named(spark, d).persist()  # both sides read it
     # another result, without the genomes that lack the first marker, and with bits turned round where the last one is there
     b = a.where("bits LIKE '1%'").withColumn("bits", F.when(F.col("bits").endswith("1"), F.reverse("bits")).otherwise(F.col("bits")))
     return matrix.reconcile(a, b.select("name", "bits"))
@@ -178,7 +184,7 @@ def _csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _case(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "documents").select(F.col("doc_id").alias("genome_id"), dna.normalise(F.translate(F.coalesce("text", F.lit("")), LETTERS, ("acgt" * 13))).alias("seq"))
+    g = documents(spark, d).select(F.col("doc_id").alias("genome_id"), dna.normalise(F.translate(F.coalesce("text", F.lit("")), LETTERS, ("acgt" * 13))).alias("seq"))
     m = markers(spark, d).withColumn("seq", F.upper(F.lower("seq")))
     return matrix.fan_out(match(g, m), m)
 
@@ -204,6 +210,63 @@ def _distinct(spark: SparkSession, d: str) -> DataFrame:
     return distinct_markers(markers(spark, d)).withColumn("length", F.col("length").cast("long"))
 
 
+def _whole_pack(spark: SparkSession, d: str) -> DataFrame:
+    packed = genomes(spark, d).select("genome_id", dna.pack_genome(F.col("seq")).alias("packed"))
+    return packed.select("genome_id", dna.unpack_genome(F.col("packed")).alias("seq"))
+
+
+def _packed_long(spark: SparkSession, d: str) -> DataFrame:
+    """Long markers have ordinals of some millions, so many blocks."""
+    return blocked.pack(_long_hits("auto")(spark, d))
+
+
+def _blocked_column(spark: SparkSession, d: str) -> DataFrame:
+    folder = stored.workspace(spark, "matrix")
+    blocked.save(_packed_long(spark, d), folder)
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("genome_id"))
+    return blocked.column(blocked.load(spark, folder), ids, 3_200_010).withColumn("present", F.col("present").cast("long"))
+
+
+def _blocked_xor(spark: SparkSession, d: str) -> DataFrame:
+    once = _long_hits("auto")(spark, d).persist()  # three sides read it
+    a, b = blocked.pack(once.where("ordinal % 2 = 0 OR ordinal % 3 = 0")), blocked.pack(once.where("ordinal % 3 = 0 OR ordinal % 5 = 0"))
+    return blocked.ones(blocked.combine(a, b, "xor"))
+
+
+def _split_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A FASTA file for each source, of all its documents, read in splits."""
+    folder = stored.workspace(spark, "fasta")
+    text = F.concat(F.lit(">doc "), F.col("doc_id").cast("string"), F.lit("\nN"), as_dna(F.col("text")), F.lit("N"))
+    rows = documents(spark, d, "source").select(F.coalesce("source", F.lit("none")).alias("name"), text.alias("value"))
+    rows.repartition("name").write.partitionBy("name").text(folder)
+    m = markers(spark, d)
+    name = F.url_decode(F.regexp_extract("path", "/name=([^/]*)/", 1))
+    cut = lambda longest: pieces.read_pieces(spark, folder, longest).select(name.alias("genome_id"), "chunk_no", "chunk")
+    return matrix.fan_out(match_pieces(cut, m).distinct(), m).withColumnRenamed("genome_id", "name")
+
+
+def _marker_file(spark: SparkSession, d: str) -> DataFrame:
+    folder = stored.workspace(spark, "markers")
+    rows = markers(spark, d).orderBy("ordinal").coalesce(1)  # a marker file's lines have an order
+    rows.select(F.concat_ws(",", F.col("ordinal").cast("string"), "seq").alias("value")).write.text(folder)
+    return readers.read_markers(spark, folder, strict=True).select(*[F.col(c).cast("long").alias(c) for c in ("ordinal", "marker_id")], "seq")
+
+
+def _result_file(spark: SparkSession, d: str) -> DataFrame:
+    folder = stored.workspace(spark, "result")
+    writers.write_result(_named(spark, d), folder)
+    return readers.read_result(spark, folder)
+
+
+def _incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Some genomes first, then all: only the rest is matched, and those that have changed."""
+    folder, m = stored.workspace(spark, "store"), markers(spark, d)
+    by_source = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("name")).agg(F.max("text").alias("text"))
+    all_of = by_source.select(F.xxhash64("name").alias("genome_id"), "name", as_dna(F.col("text")).alias("seq"))
+    stored.update(all_of.where("name < 'n'").withColumn("seq", F.reverse("seq")), m, folder)
+    return stored.update(all_of, m, folder).select("name", "bits")
+
+
 QUERIES = {
     "presence_bits": _bits,
     "presence_long": lambda s, d: _long(s, d).select("genome_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("present").cast("long").alias("present")),
@@ -214,7 +277,7 @@ QUERIES = {
     "presence_by_length": _hits("by_length"),
     "presence_chunked": _hits("nested", stride=64),
     "long_markers": long_markers,
-    **{f"long_{k}": _long_hits(k) for k in ("auto", "seeded", "shuffled")},
+    **{f"long_{k}": _long_hits(k) for k in ("auto", "seeded", "sampled", "shuffled")},
     "already_clean": _clean,
     "manifest_prefix": _prefix,
     "segments_split_n": _segments,
@@ -242,8 +305,16 @@ QUERIES = {
     "case_insensitive_match": _case,
     "onehot_decode": _one_hot,
     "pack3_roundtrip": _pack3,
+    "pack_whole_genome": _whole_pack,
     "matrix_cell": _cell,
     "matrix_column": _column,
+    "blocked_column": _blocked_column,
+    "blocked_xor_ones": _blocked_xor,
+    "blocked_unpack": lambda s, d: blocked.unpack(_packed_long(s, d)),
+    "fasta_split_scan": _split_scan,
+    "marker_file": _marker_file,
+    "result_file": _result_file,
+    "incremental_store": _incremental,
 }
 
 _DNA = f"regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{BASES}'), '[^ACGT]+', 'N', 'g')"
@@ -264,7 +335,7 @@ ORACLE_SQL = {
     "presence_long": _LONG,
     **{k: _HITS for k in ("presence_hits", "presence_nested", "presence_seeded", "presence_shuffled", "presence_by_length", "presence_chunked")},
     "long_markers": _LONG_MARKERS,
-    **{k: _LONG_HITS for k in ("long_auto", "long_seeded", "long_shuffled")},
+    **{k: _LONG_HITS for k in ("long_auto", "long_seeded", "long_sampled", "long_shuffled")},
     "already_clean": "SELECT doc_id AS genome_id FROM documents WHERE NOT contains(coalesce(text, ''), chr(10))",
     "manifest_prefix": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'g' ELSE 'other/g' END || doc_id AS path FROM documents",
     "segments_split_n": f"{_VIEWS} SELECT genome_id, segment FROM (SELECT genome_id, unnest(string_split(seq, 'N')) AS segment FROM g) WHERE segment <> ''",
@@ -296,4 +367,13 @@ ORACLE_SQL = {
     "pack3_roundtrip": f"{_VIEWS} SELECT genome_id, (row_number() OVER (PARTITION BY genome_id ORDER BY i) - 1)::BIGINT AS at, segment FROM (SELECT genome_id, unnest(string_split(seq, 'N')) AS segment, generate_subscripts(string_split(seq, 'N'), 1) AS i FROM g) WHERE segment <> ''",
     "matrix_cell": f"SELECT genome_id, ordinal, present FROM ({_LONG}) WHERE genome_id = 7 AND ordinal = 3",
     "matrix_column": f"SELECT genome_id, present FROM ({_LONG}) WHERE ordinal = 2",
+    "pack_whole_genome": f"{_VIEWS} SELECT genome_id, seq FROM g",
+    "blocked_column": f"SELECT doc_id AS genome_id, count(h.genome_id) AS present FROM documents LEFT JOIN (SELECT * FROM ({_LONG_HITS}) WHERE ordinal = 3200010) h ON h.genome_id = doc_id GROUP BY doc_id",
+    "blocked_xor_ones": f"SELECT genome_id, count(*) AS ones FROM ({_LONG_HITS}) WHERE (ordinal % 2 = 0 OR ordinal % 3 = 0) <> (ordinal % 3 = 0 OR ordinal % 5 = 0) GROUP BY genome_id",
+    "blocked_unpack": _LONG_HITS,
+    "fasta_split_scan": f"SELECT DISTINCT coalesce(source, 'none') AS name, ordinal FROM ({_HITS}) h JOIN documents ON doc_id = genome_id",
+    "marker_file": f"{_VIEWS} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, ordinal AS marker_id, seq FROM m",
+    "result_file": f"SELECT 'g' || genome_id AS name, bits FROM ({_BITS})",
+    "incremental_store": f"{_VIEWS}, s AS (SELECT coalesce(source, 'none') AS name, max(text) AS text FROM documents GROUP BY 1), t AS (SELECT name, {_DNA} AS seq FROM s) "
+    "SELECT name, string_agg(CASE WHEN m.seq <> '' AND contains(t.seq, m.seq) THEN '1' ELSE '0' END, '' ORDER BY ordinal) AS bits FROM t CROSS JOIN m GROUP BY name",
 }

@@ -32,6 +32,12 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select((F.col("_before") + F.col("_within")).cast("int").alias("ordinal"), "line")
 
 
+def spread_rows(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out by rows if it has fewer splits than the cluster has cores."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_manifest(spark: SparkSession, path: str, base_dir: str | None = None) -> DataFrame:
     """(ordinal, path, name): the genome files that a manifest lists, relative to its folder or to ``base_dir``."""
     base = base_dir if base_dir is not None else path.rpartition("/")[0] or "."
@@ -71,13 +77,33 @@ def read_genomes(spark: SparkSession, manifest: str, base_dir: str | None = None
     return wanted.join(found, "_key", "left").select(F.col("ordinal").cast("long").alias("genome_id"), "name", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
-def read_markers(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """(ordinal, marker_id, seq) of a CSV of id and sequence without a header; the ordinal is the line's number."""
-    row = F.from_csv("line", "marker_id INT, seq STRING")
-    out = _numbered_lines(spark, path).select("ordinal", row.alias("r")).select("ordinal", "r.marker_id", F.coalesce("r.seq", F.lit("")).alias("seq"))
+def read_markers(spark: SparkSession, path: str, first: int | None = None, strict: bool = False) -> DataFrame:
+    """(ordinal, marker_id, seq) of a CSV of id and sequence without a header; the ordinal is the line's number.
+
+    An id that is no whole number is null, or an error that names its line if ``strict``;
+    bad_markers() has such lines as a table.
+    """
+    rows = _marker_rows(spark, path)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit(f"{path}, line "), (F.col("ordinal") + 1).cast("string"), F.lit(": "), F.col("reason")))
+        rows = rows.withColumn("ordinal", F.when(F.col("reason").isNull(), F.col("ordinal")).otherwise(wrong.cast("int")))
+    out = rows.select("ordinal", "marker_id", "seq")
     return out if first is None else out.where(F.col("ordinal") < first)
 
 
+def _marker_rows(spark: SparkSession, path: str) -> DataFrame:
+    row = F.from_csv("line", "id STRING, seq STRING, more STRING")
+    rows = _numbered_lines(spark, path).select("ordinal", "line", row.alias("r"))
+    number = F.trim("r.id").try_cast("int")
+    reason = F.when(F.col("r.id").isNotNull() & number.isNull(), "the id isn't a whole number").when(F.col("r.more").isNotNull(), "more than two fields").when((F.trim("line") != "") & F.col("r.id").isNull(), "no id")
+    return rows.select("ordinal", "line", number.alias("marker_id"), F.coalesce("r.seq", F.lit("")).alias("seq"), reason.alias("reason"))
+
+
+def bad_markers(spark: SparkSession, path: str) -> DataFrame:
+    """(line_number, line, reason): the lines of a marker CSV that aren't an id and a sequence, for a quarantine table; numbers from 1."""
+    return _marker_rows(spark, path).where("reason IS NOT NULL").select((F.col("ordinal") + 1).alias("line_number"), "line", "reason")
+
+
 def genomes_from(spark: SparkSession, sequences: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """(genome_id, name, seq) from a list in memory."""
     names = names or [f"genome{i}" for i in range(len(sequences))]

@@ -61,7 +61,7 @@ CASES += [
     ("ACGTA", ["CG", "GT", "TA"], "111"),
     ("AAAA", ["AA"], "1"),
 ]
-STRATEGIES = ["auto", "nested", "seeded", "shuffled", "by_length"]
+STRATEGIES = ["auto", "nested", "seeded", "sampled", "shuffled", "by_length"]
 
 
 @pytest.mark.parametrize("strategy", STRATEGIES)
