@@ -13,7 +13,7 @@ share one are added up, so no count is too low. Those that are frequent by this
 bits of a filter of ``filter_bits`` at most. The next pass, which extends the lists that
 pass the filter, tells their lengths by the phrase itself, and so the exact
 frequencies: what passed without being frequent falls out then, and a frequent phrase
-always passes. Scores are exact: decimals of 38 digits, divided as whole
+always passes. The longest phrases are named at once. Scores are exact: decimals of 38 digits, divided as whole
 numbers.
 
 Defined results: null and empty texts have no words; a null language is `und`; a null
@@ -24,6 +24,7 @@ result; columns other than the text and the language aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from presentia.llm.bpe import slice_hashes
 from presentia.llm.common import cut, read_table
 from presentia.llm.simhash import mix
 
 #: Bytes of texts in a block, about.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: 1: ends a piece; 2: ends a word.
@@ -53,8 +55,11 @@ HALF = np.uint64(32)
 
 def word_hashes(langs: list[str], lang: np.ndarray, words: pa.Array) -> np.ndarray:
     """64 bits for each word of a language."""
-    seeds = np.array([xxhash.xxh64_intdigest(x) for x in langs], object)[lang].tolist() if len(langs) else []
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words.to_pylist(), seeds)), np.uint64)
+    seeds = np.array([xxhash.xxh64_intdigest(x) for x in langs], np.uint64)
+    if not len(words):
+        return np.empty(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return mix(slice_hashes(np.frombuffer(words.buffers()[2], np.uint8), ends[:-1], ends[1:]) ^ seeds[lang])
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +87,7 @@ class Block:
         after = np.append(False, inside[:-1])
         starts = np.flatnonzero(inside & (begins | ~after))
         stops = np.flatnonzero(after & (begins | ~inside))
-        pieces = np.cumsum((kind == 1) | begins[:-1])
+        pieces = np.cumsum((kind == 1) | begins[:-1], dtype=np.int32)
         letters = np.append(0, np.cumsum(stops - starts)).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(letters), pa.py_buffer(LOWER[data[inside[:-1]]])]).dictionary_encode()
         self.at = np.arange(len(starts)) + (pieces[starts] if len(starts) else 0)
@@ -158,9 +163,9 @@ def filter_of(frequent: DataFrame, filter_bits: int) -> np.ndarray:
 def counts(docs: DataFrame, filters: list, longest: int) -> DataFrame:
     """(h, n, lang, phrase): numbers of occurrences in (lang, text).
 
-    Rows with h count phrases of len(filters) + 1 words, up to ``longest``, whose shorter phrases pass the
-    filters; rows with a phrase count the longest of these themselves; the first time, rows with
-    neither count the words of a language.
+    Rows with h count phrases of len(filters) + 1 words whose shorter phrases pass the
+    filters; rows with a phrase count the longest of these themselves, and those of ``longest``
+    words, of which there are few, at once; the first time, rows with neither count the words of a language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +181,9 @@ def counts(docs: DataFrame, filters: list, longest: int) -> DataFrame:
                     if i == len(filters):
                         yield block.rows(named=True)
                     block.extend()
-                if len(filters) < longest and len(block.at):
-                    yield block.rows(named=False)
+                if len(block.at):
+                    yield block.rows(named=len(filters) + 1 == longest)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(count, COUNTS).groupBy("h", "lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -213,17 +219,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     """
     docs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     levels, filters = [], []
-    for k in range(longest + 1):
+    for k in range(longest):
         found = cut(counts(docs, filters, longest).where((F.col("n") >= least) | F.col("h").isNull() & F.col("phrase").isNull()))
         if k == 0:
             totals = found.where("h IS NULL").select("lang", "n")
         else:
             levels.append(found.where("phrase IS NOT NULL").select("lang", "phrase", "n"))
-        if k < longest:
+        if k < longest - 1:
             filters.append(docs.sparkSession.sparkContext.broadcast(filter_of(found.where("h IS NOT NULL"), filter_bits)))  # 2 ** filter_bits bits at most
-    all_levels, candidates = levels[0], levels[1].limit(0)
-    for level in levels[1:]:
-        all_levels, candidates = all_levels.union(level), candidates.union(level)
+    all_levels = reduce(DataFrame.union, levels)
+    candidates = all_levels.where("phrase LIKE '% %'")
     size = lambda part, n: all_levels.select(F.col("lang").alias("_lang"), F.col("phrase").alias(f"_{part}"), F.col("n").alias(n))
     each = candidates.select("lang", "phrase", F.col("n").alias("a"), F.explode(cuts(F.col("phrase"), longest)).alias("c"))
     for part, n in (("first", "l"), ("rest", "r")):
