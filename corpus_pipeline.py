@@ -34,12 +34,12 @@ def reject_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: blocks of lines that an earlier document has go, and documents of which no words are left by that. Null ids and texts stay as they are; rows that share an id lose the same lines."""
+    """Operator 6: blocks of lines that an earlier document has go, and documents of which no words are left by that. Null ids and texts stay as they are; rows that share an id and have different texts are documents of their own."""
     return _documents(line_dedup.line_dedup(docs, drop_emptied=True))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of near duplicates the document with the smallest id stays. Null and blank texts are one group; rows without an id stay."""
+    """Operator 1: of each group of near duplicates the document with the smallest id stays (of rows that share it, one text's). Null and blank texts are one group; rows without an id stay."""
     return _documents(simhash.deduplicate(docs))
 
 
@@ -71,9 +71,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        if i:
-            remove(spark, f"{folder}/{i - 1}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            if i:
+                remove(spark, f"{folder}/{i - 1}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    except BaseException:
+        remove(spark, folder)
+        raise
     return docs
