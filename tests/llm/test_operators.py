@@ -551,10 +551,11 @@ def test_kneser_ney_equals_brute_force(spark):
     for t in probe:
         w = ["<s>", *lowered(t), "</s>"]
         pairs = list(zip(w, w[1:], strict=False))
-        wanted.append((len(pairs), *(pytest.approx(sum(math.log10(p(*x)) for x in some), rel=1e-5) for some in (pairs, set(pairs)))))
-    texts = documents(spark, probe).select(F.col("doc_id").alias("row"), "text")
-    for way in (kneser_ney.by_look_up, kneser_ney.by_joins):
-        assert [tuple(r._s) for r in way(texts, model).orderBy("row").collect()] == wanted
+        wanted.append((len(pairs), *(pytest.approx(sum(math.log10(p(*x)) for x in some), rel=1e-10) for some in (pairs, set(pairs)))))
+    texts = documents(spark, probe).select(F.col("doc_id").alias("_id"), F.lit("en").alias("_lang"), "text")
+    for sizes in ((400_000, 1 << 20), (90, 1 << 20), (90, 300)):  # one shard or many, each once or repeated
+        got = kneser_ney.score(texts, model, *sizes).orderBy("_id").collect()
+        assert [(r.tokens, r.log10, r.once) for r in got] == wanted and [(r._id, r._lang) for r in got] == [(i, "en") for i in range(len(probe))]
 
 
 def test_classifier_rejects_junk(spark):
@@ -574,8 +575,8 @@ def test_classifier_rejects_junk(spark):
             if r.lang == lang:
                 assert (r.lowest, r.highest, r.least_novelty) == tuple(pytest.approx(v) for v in ends)
     assert all(r.kept == (r.lowest <= r.perplexity <= r.highest and r.novelty >= r.least_novelty) for r in rows.values())
-    joined = {r.doc_id: r for r in kneser_ney.classify(docs, labels, in_memory=10).collect()}
-    assert all(joined[d].kept == r.kept and joined[d].perplexity == pytest.approx(r.perplexity, rel=1e-4) for d, r in rows.items())
+    joined = {r.doc_id: r for r in kneser_ney.classify(docs, labels, shard_keys=500, salt_bytes=20_000).collect()}
+    assert all(joined[d].kept == r.kept and joined[d].perplexity == pytest.approx(r.perplexity, rel=1e-10) for d, r in rows.items())
     assert all(r.kept for r in kneser_ney.classify(docs, labels.where("quality > 1")).collect())
 
 
