@@ -10,8 +10,8 @@ are never content (menus, footers, asides, forms, scripts, notices, adverts,
 comments by readers), is cut into blocks at block tags.
 
 Weights are log ratios of smoothed counts from at most ``sample`` labelled pages,
-chosen by a hash of the url; the counts are aggregated in Spark and the table is
-bounded by ``vocabulary`` rows. With no labelled pages the prior weights stand.
+chosen by a hash of the url; the counts are aggregated in Spark and the table has
+the kinds of token of these pages, no more. With no labelled pages the prior weights stand.
 
 Defined results: a null or empty html, or one without words, has an empty text;
 repeated rows give equal texts; unclosed and unmatched tags are tolerated; an
@@ -20,6 +20,7 @@ empty table gives an empty result. Columns named text or n_chars are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import math
 import re
@@ -74,9 +75,10 @@ def never_content(name: str, attributes: str) -> bool:
 
 def tag_end(page: str, at: int) -> int:
     """Where the tag ends whose attributes begin at ``at``; a ">" in a quoted value doesn't end it, unless the quote never closes."""
-    first = at
+    first, end = at, page.find(">", at)
     while True:
-        end = page.find(">", at)
+        if 0 <= end < at:  # it was inside a quoted value
+            end = page.find(">", at)
         quote = QUOTED.search(page, at, end if end >= 0 else len(page))
         close = page.find(quote[1], quote.end()) if quote else -1
         if close < 0:
@@ -86,9 +88,10 @@ def tag_end(page: str, at: int) -> int:
 
 
 def place_name(name: str, attributes: str) -> str:
-    """An element's name with its class or else id, digits left out."""
+    """An element's name with its class or else id, digits left out; a class of over 40 characters ends in a hash of it all."""
     given = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-    own = re.sub(r"\d+", "", given.get("class") or given.get("id") or "")[:40]
+    own = re.sub(r"\d+", "", given.get("class") or given.get("id") or "")
+    own = own if len(own) <= 40 else f"{own[:40]}#{hashlib.md5(own.encode('utf-8', 'surrogatepass')).hexdigest()}"
     return f"{name}.{own}" if own else name
 
 
@@ -161,7 +164,7 @@ def token_counts(pages: DataFrame, html: str) -> DataFrame:
     return each.groupBy("token").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
 
 
-def learn_weights(pages: DataFrame, url: str, html: str, sample: int = 2000, vocabulary: int = 2000, strength: float = 50.0) -> dict[str, float]:
+def learn_weights(pages: DataFrame, url: str, html: str, sample: int = 2000, strength: float = 50.0) -> dict[str, float]:
     """Scores by kind of token: the prior, moved by the log ratio of its shares inside and outside articles.
 
     Labelled pages have an <article> or <main>; those with the ``sample`` smallest hashes of the url are used.
@@ -169,7 +172,7 @@ def learn_weights(pages: DataFrame, url: str, html: str, sample: int = 2000, voc
     labelled = pages.where(F.col(html).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html), F.xxhash64(url).alias("_order"))
     last = labelled.select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
     chosen = labelled.where(F.col("_order") <= F.lit(last))  # stays where it is: only hashes are sorted
-    rows = token_counts(chosen, html).orderBy(F.desc(F.col("inside") + F.col("outside"))).limit(vocabulary).collect()  # bounded by vocabulary
+    rows = token_counts(chosen, html).collect()  # kinds of at most `sample` pages
     inside, outside = sum(r.inside for r in rows) + 1, sum(r.outside for r in rows) + 1
     weights = {}
     for r in rows:

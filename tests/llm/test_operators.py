@@ -622,13 +622,20 @@ def test_learned_places_decide_the_run(spark, monkeypatch):
     assert html_text.main_text(bare, weights) != story
 
 
-@pytest.mark.parametrize("page", ["<a \"'" * 300_000, "<a =\"x" * 150_000, "<nav>" + "<div>" * 50_000 + "</aside>" * 50_000, "<!--" * 250_000, "<" * 1_000_000])
+@pytest.mark.parametrize("page", ["<a \"'" * 300_000, "<a =\"x" * 150_000, "<nav>" + "<div>" * 50_000 + "</aside>" * 50_000, "<!--" * 250_000, "<" * 1_000_000, "<a " + 'x="" ' * 300_000 + ">", "<a " + 'x=">" ' * 300_000 + ">", "<div class='" + "k " * 300_000 + "'>" + "<i>x</i>" * 50_000])
 def test_long_broken_pages_take_linear_time(page):
     began = time.process_time()
     html_text.main_text(page, {})
     assert time.process_time() - began < 3
 
 
+def test_tags_end_outside_quotes():
+    cases = {'<p x="a>b" y=\'>\'>t': 't', '<p x=">">t': "t", '<p x="a>t': "t", '<p x="" y="" z=">" "> t': "t", '<p x = ">" y>t': "t"}
+    assert {page: page[html_text.tag_end(page, 2) :].strip() for page in cases} == cases
+    long = "k" * 50
+    assert html_text.place_name("div", f' class="{long}a"') != html_text.place_name("div", f' class="{long}b"')
+
+
 def test_best_run_is_the_largest_sum():
     rng = random.Random(0)
     for _ in range(300):
