@@ -558,6 +558,18 @@ def test_kneser_ney_equals_brute_force(spark):
         assert [(r.tokens, r.log10, r.once) for r in got] == wanted and [(r._id, r._lang) for r in got] == [(i, "en") for i in range(len(probe))]
 
 
+def test_kneser_ney_block_in_pieces():
+    rng = random.Random(11)
+    texts = [prose(rng, 1, 60) for _ in range(40)] + ["", None, long := "w1x " * 500]
+    bits = np.full(1 << 12, 255, np.uint8)
+    tokens, pairs, keys, counts = kneser_ney.count_keys(texts, bits)
+    for piece in (1, 300, len(long), 1 << 20):
+        got = kneser_ney.count_block(texts, bits, piece)
+        assert (got[0] == tokens).all() and (got[1] == pairs).all()
+        rows = lambda k, c: sorted(zip(k.tolist(), *c.tolist(), strict=True))
+        assert rows(got[2], got[3]) == rows(keys, counts)
+
+
 def test_classifier_rejects_junk(spark):
     rng = random.Random(12)
     good = [prose(rng, 80, 300) for _ in range(300)]
