@@ -3,7 +3,8 @@
 Texts are folded first: case, look-alike letters of other scripts, and digits and
 signs that stand for letters inside words; all other marks part words. The
 lexicon has whole words and word beginnings, with weights: the lower bound of
-their log odds between toxic and other documents. Where several match one word,
+their log odds between toxic and other documents, numbers of documents with a term
+smoothed by 0.5 and those without by 1. Where several match one word,
 the heaviest counts. A phrase of two words, one of them in the lexicon, that
 occurs at least as readily in other documents is an exception and hides its
 match; ``exceptions`` adds phrases. The sum of weights, as such and normalised by
@@ -15,7 +16,8 @@ texts are inputs of a score.
 
 Defined results: a null, empty or blank text gets the score of a text without
 matches; ids without a label are scored like any other; of rows that label an id
-twice, the larger label holds; with no labelled row every score is 0; an empty
+twice, the larger label holds; of several texts of an id the smallest is learned
+from, and all are scored; with no labelled row every score is 0; an empty
 table gives an empty result. Columns named held_out, score, predicted are replaced.
 """
 
@@ -174,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """(terms, phrases, coefficients) from at most ``sample`` labelled rows that aren't held out."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(label).alias("toxic"))
     chosen = chosen.withColumn("_order", F.xxhash64(F.lit(9), doc_id)).orderBy("_order").limit(sample)
-    rows = docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod("_order", F.lit(10)).alias("_part"))  # at most `sample` ids
+    rows = docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).groupBy("_order", "toxic", doc_id).agg(F.min("text").alias("text"))  # at most `sample` rows
+    rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod("_order", F.lit(10)).alias("_part"))
     terms, phrases = learn_lexicon(rows.where("_part < 6").select("text", "toxic"))
     rest = rows.where("_part >= 6").withColumn("f", features(terms, phrases)("text")).select("toxic", *design(F.col("f.weight"), F.col("f.words")))
     got = np.array([list(r) for r in rest.collect()], dtype=float)  # at most `sample` rows of three numbers

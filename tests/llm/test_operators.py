@@ -659,6 +659,59 @@ def test_best_run_is_the_largest_sum():
 # 9 toxicity
 
 
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(31)
+    bad = ["vermin", "vermins", "grolk", "grolkish", "snarf"]
+    texts = []
+    for i in range(500):
+        w = prose(rng, 20, 60).split()
+        if i % 5 == 0:
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        if i % 7 == 0:
+            w[3:5] = ["snarf", "blanket"]
+        texts.append(" ".join(w))
+    toxic = [int(i % 5 == 0) for i in range(500)]
+    # one id has many rows: its smallest text is learned from once, however many there are
+    extra = [(7, "zzz vermin zzz")] * 300 + [(500, None), (501, ""), (None, "a grolk!")]
+    docs = spark.createDataFrame([*enumerate(texts), *extra], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(5, 1, 0)], "doc_id LONG, quality INT, toxic INT")
+    plain = toxicity.learn(docs.where("NOT (doc_id = 7 AND text LIKE 'zzz%')"), labels)
+    terms, phrases, beta = toxicity.learn(docs, labels)
+    assert (terms, phrases) == plain[:2] and beta == pytest.approx(plain[2], rel=1e-9)
+
+    # the lexicon: documents with each word or beginning, counted one by one
+    learned, harmless = toxicity.learn_lexicon(spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text STRING, toxic INT"))
+    of = [{f" {w} " for w in t.split() if len(w) > 2} | {" " + w[:n] for w in t.split() for n in range(4, 9) if len(w) > n} for t in map(toxicity.fold, texts)]
+    n = [400, 100]
+    wanted = {}
+    for term in set().union(*of):
+        b, a = (sum(term in x for x, y in zip(of, toxic, strict=True) if y == k) for k in (0, 1))
+        if a >= 3:
+            odds = math.log((a + 0.5) / (n[1] - a + 1)) - math.log((b + 0.5) / (n[0] - b + 1))
+            weight = odds - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            if weight > 1:
+                wanted[term] = pytest.approx(weight, rel=1e-9)
+    assert wanted and dict(learned) == wanted and set(toxicity.EXCEPTIONS) <= set(harmless)
+
+    def score(text):
+        words, total = toxicity.fold(text).split(), 0.0
+        covered = set()
+        for phrase in phrases:
+            p = phrase.split()
+            covered |= {i + j for i in range(len(words)) if words[i : i + len(p)] == p for j in range(len(p))}
+        for i, w in enumerate(words):
+            own = [v for term, v in terms if (term == f" {w} " if term.endswith(" ") else w.startswith(term[1:]))]
+            total += max(own, default=0.0) if i not in covered else 0.0
+        z = beta[0] + beta[1] * math.log1p(total) + beta[2] * math.log1p(1000 * total / (len(words) + 50))
+        return 1 / (1 + math.exp(-z))
+
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    assert len(rows) == 803
+    assert [r.score for r in rows] == [pytest.approx(score(r.text), rel=1e-9) for r in rows]
+    assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
 def test_toxicity(spark):
     assert toxicity.fold("IDIOT!! 1d10t, а сlоwn$$$ f0o_b@r") == " idiot idiot a clown foo bar "
     rng = random.Random(13)
