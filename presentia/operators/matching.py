@@ -39,7 +39,7 @@ def chunks(genomes: DataFrame, longest: int, stride: int = STRIDE, spread: bool
     reach = stride + max(1, longest) - 1
     pattern = f"(?=([ACGTN]{{1,{reach}}}))[ACGTN]{{1,{stride}}}"
     cut = F.when(F.length("seq") <= stride, F.array("seq")).otherwise(F.regexp_extract_all("seq", F.lit(pattern), F.lit(1)))
-    out = genomes.where("seq != ''").select("genome_id", F.posexplode(cut).alias("chunk_no", "chunk"))
+    out = genomes.select("genome_id", F.posexplode(cut).alias("chunk_no", "chunk")).where("chunk != ''")  # a filter on seq would go below the dealing out of rows, and clean all texts in the tasks that read
     return out.repartition("genome_id", "chunk_no") if spread else out
 
 
