@@ -365,6 +365,29 @@ def test_moves_leave_the_conditional_as_it_is():
     assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == count).all() and len(sizes) == tables.sum()
 
 
+def test_all_customers_are_seated_by_the_restaurant():
+    """Tables, and squares of their sizes, of pairs with many customers beside a restaurant that is filled one by one."""
+    c, d, many = 300, 0.6, 1500
+    weight = lambda pairs, now: 0.5 + 0.3 * now
+    tables, sizes = pitman_yor.seat_first(np.full(many, c), weight, d, np.random.default_rng(2))
+    squares = np.add.reduceat(sizes**2, np.cumsum(tables) - tables)
+    plain, draw = [], random.Random(2)
+    for _ in range(many):
+        mine = [1]
+        while sum(mine) < c:
+            n, t = sum(mine), len(mine)
+            if draw.random() * (n - d * t + 0.5 + 0.3 * t) >= n - d * t:
+                mine.append(1)
+            else:
+                mine[draw.choices(range(t), weights=[x - d for x in mine])[0]] += 1
+        plain.append((len(mine), sum(x * x for x in mine), mine[0]))
+    first = sizes[np.cumsum(tables) - tables]
+    for got, wanted in zip((tables, squares, first), np.array(plain).T, strict=True):
+        for f in (np.mean, np.std):
+            assert f(got) == pytest.approx(f(wanted), rel=0.08)
+    assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == c).all() and sizes.min() == 1
+
+
 def test_context_is_the_whole_word_before(spark):
     rng = random.Random(3)
     follower = {f"longer{i}": f"follows{rng.randrange(400)}" for i in range(400)}  # no word has 4 bytes or fewer
