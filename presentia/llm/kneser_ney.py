@@ -1,7 +1,7 @@
 """Operator 7: a quality classifier by an interpolated modified Kneser-Ney model.
 
-A word bigram model is trained on trusted documents, ``sample`` of them at most, by a
-hash of the id. Its counts are grouped and joined in Spark: pairs with their contexts'
+A word bigram model is trained on one half of the trusted documents, by a hash of the id,
+all of them. Its counts are grouped and joined in Spark: pairs with their contexts'
 totals and with the continuation counts of their words give each pair's discounted
 probability p, each context's backoff and each word's share of continuations.
 
@@ -17,8 +17,8 @@ by a bit filter, of 2 ** 27 bits at most, aren't sent.
 
 A document has two numbers: its perplexity, and its novelty, the same surprise (log10
 a token) with each distinct pair of the text counted once, as what a text repeats is no
-news. Other trusted documents, ``sample`` at most as well, give each language exact
-quantiles of both. A document outside the perplexities, or below the novelty, is
+news. The other half of the trusted documents, all of them, give each language exact
+quantiles of both, as what a model was trained on is no surprise to it. A document outside the perplexities, or below the novelty, is
 rejected: words said over and over have no novelty, however rare or common they are.
 
 Defined results: a null or empty text is its end token alone; a null language, or
@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from presentia.llm.collocations import filter_of, numbered
 from presentia.llm.common import cut, read_table
@@ -198,10 +199,7 @@ def count_keys(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, n
         np.concatenate([text, np.tile(text, 2)[at]]), np.concatenate([n, np.maximum(by(as_word, n), by(as_context, n))]),
         np.concatenate([one, by(as_word)]), np.concatenate([one, by(as_context)]),  # b is 0 for a pair
     ])
-    size, spread = np.uint64(8 * len(bits) - 1), keys ^ (keys >> FOLD)
-    ok = np.ones(len(keys), bool)
-    for place in (spread & size, (spread >> HALF) & size):
-        ok &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    ok = passes(bits, keys ^ (keys >> FOLD))
     return np.bincount(owner, minlength=len(texts)), np.bincount(text, minlength=len(texts)), keys[ok], counts[:, ok]
 
 
@@ -265,6 +263,62 @@ def sum_shard(own: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame(columns=names)
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose _id is one of ``ids`` (_id, distinct).
+
+    A bit filter of the ids, of 2 ** 27 bits at most, goes before the join, so that
+    hardly any other texts are shuffled.
+    """
+    key = F.xxhash64(F.lit(8), "_id")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select(key.alias("h")), 27))
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, keys.to_numpy().view(np.uint64)))
+
+    return docs.where(maybe(key)).join(ids, "_id", "left_semi")
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a filter of filter_of()."""
+    size, ok = np.uint64(8 * len(bits) - 1), np.ones(len(h), bool)
+    for place in (h & size, (h >> HALF) & size):
+        ok &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return ok
+
+
+def quantiles(rows: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """(_lang, _n, a column for each of ``wanted``): exact quantiles by language, and of all rows where _all is true.
+
+    ``wanted`` has a column's share; between two values a quantile is interpolated. Equal
+    values are counted first, and the distinct ones sorted in ranges that know how many come
+    before them, so no language meets in one task.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("_which"), F.col(c).alias("_x")) for i, c in enumerate(wanted)]))
+    each = rows.select("_lang", values.alias("v")).select(F.explode(F.array(F.lit(True), F.lit(False))).alias("_all"), "_lang", "v.*")
+    each = each.withColumn("_lang", F.when(~F.col("_all"), F.col("_lang"))).groupBy("_all", "_lang", "_which", "_x").agg(F.count("*").alias("_c"))
+    group, order = ["_all", "_lang", "_which"], ["_all", "_lang", "_which", "_x"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(each.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sums = spread.groupBy("_part", *group).agg(F.sum("_c").alias("_s"))  # a row for each range and group in it
+    own = Window.partitionBy(*group)
+    sums = sums.select("_part", *group, F.sum("_s").over(own).alias("_n"), (F.sum("_s").over(own.orderBy("_part")) - F.col("_s")).alias("_before"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ["_part", *group]]
+    run = Window.partitionBy("_part", *group).orderBy("_x")
+    at = spread.withColumn("_to", F.sum("_c").over(run)).alias("t").join(F.broadcast(sums).alias("s"), reduce(Column.__and__, same))
+    at = at.select("t._all", "t._lang", "t._which", "_x", "_n", (F.col("_before") + F.col("_to")).alias("_to"), (F.col("_before") + F.col("_to") - F.col("_c")).alias("_from"))
+    share = F.element_at(F.array(*[F.lit(float(p)) for p in wanted.values()]), F.col("_which") + 1)
+    at = at.withColumn("_at", share * (F.col("_n") - 1))
+    # the values at the two places beside it, by how near it is to each
+    holds = lambda place: (F.col("_from") <= place) & (place < F.col("_to"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    near = F.when(holds(low), F.when(low == high, F.lit(1.0)).otherwise(high - F.col("_at"))).otherwise(0.0) + F.when(holds(high) & (low != high), F.col("_at") - low).otherwise(0.0)
+    found = at.where(holds(low) | holds(high)).groupBy("_all", "_lang").agg(
+        F.max("_n").alias("_n"), *[F.sum(F.when(F.col("_which") == i, near * F.col("_x"))).alias(c) for i, c in enumerate(wanted)]
+    )
+    return cut(found)  # a row for each language
+
+
 def score(docs: DataFrame, model: dict, shard_keys: int = 400_000, salt_bytes: int = 800 << 20) -> DataFrame:
     """(_id, _lang, tokens, log10, once) for each of (_id, _lang, text), by joins of counts with the model's shards."""
     table, shards = value_table(model, shard_keys)
@@ -284,14 +338,13 @@ def score(docs: DataFrame, model: dict, shard_keys: int = 400_000, salt_bytes: i
 
 def classify(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality",
-    sample: int = 6000, shard_keys: int = 400_000, salt_bytes: int = 800 << 20, low: float = 0.003, high: float = 0.99, slack: float = 1.1, low_novelty: float = 0.005, least: int = 30,
+    shard_keys: int = 400_000, salt_bytes: int = 800 << 20, low: float = 0.003, high: float = 0.99, slack: float = 1.1, low_novelty: float = 0.005, least: int = 30,
 ) -> DataFrame:
     """A row for each document: its id, language, n_tokens, perplexity, novelty, lowest, highest, least_novelty, kept."""
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id")).distinct()
-    good = good.withColumn("_order", F.xxhash64(F.lit(7), "_id"))
-    first = good.where(F.col("_order") % 2 == 0).orderBy("_order").limit(sample).select("_id")
-    others = good.where(F.col("_order") % 2 != 0).orderBy("_order").limit(sample).select("_id")
-    model = train(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(first), "_id"))  # at most `sample` ids
+    good = cut(good.withColumn("_half", F.xxhash64(F.lit(7), "_id") % 2 == 0))
+    first, others = good.where("_half").select("_id"), good.where("NOT _half").select("_id")
+    model = train(among(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), first))
     names, numbers = ["n_tokens", "perplexity", "novelty", "lowest", "highest", "least_novelty", "kept"], ["perplexity", "novelty", "lowest", "highest", "least_novelty"]
     base = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("text"))
     named = [F.col("_id").alias(doc_id), F.col("_lang").alias(lang), *names]
@@ -300,12 +353,11 @@ def classify(
     per_token = lambda x: F.col(x) / F.col("tokens")
     scored = score(base, model, shard_keys, salt_bytes).withColumns({"n_tokens": F.col("tokens"), "perplexity": F.pow(F.lit(10.0), -per_token("log10")), "novelty": -per_token("once")})
     scored = cut(scored.drop(*SUMS))
-    judged = scored.join(F.broadcast(others), "_id")  # at most `sample` ids
-    ends = [F.percentile("perplexity", low) / slack, F.percentile("perplexity", high) * slack, F.percentile("novelty", low_novelty) / slack]
-    ends = [x.alias(f"_{n}") for x, n in zip(ends, names[3:6], strict=True)]
-    known = judged.groupBy("_lang").agg(*ends, F.count("*").alias("_n")).where((F.col("_n") >= least) & F.col("_lang").isNotNull()).withColumnRenamed("_lang", "_of").drop("_n")
-    any_language = judged.agg(*ends).first()
-    out = scored.join(F.broadcast(known), F.col("_lang") == F.col("_of"), "left")  # fewer than `sample` rows
+    ends = quantiles(scored.join(others, "_id", "left_semi").select("_lang", *(F.col(c).alias(n) for c, n in zip(["perplexity", "perplexity", "novelty"], names[3:6], strict=True))), dict(zip(names[3:6], (low, high, low_novelty), strict=True)))
+    wide = [(F.col("lowest") / slack).alias("_lowest"), (F.col("highest") * slack).alias("_highest"), (F.col("least_novelty") / slack).alias("_least_novelty")]
+    known = ends.where(~F.col("_all") & (F.col("_n") >= least) & F.col("_lang").isNotNull()).select(F.col("_lang").alias("_of"), *wide)
+    any_language = ends.where("_all").select(*wide).first() or dict.fromkeys([f"_{n}" for n in names[3:6]])
+    out = scored.join(F.broadcast(known), F.col("_lang") == F.col("_of"), "left")  # a row for each language
     out = out.withColumns({n: F.coalesce(f"_{n}", F.lit(any_language[f"_{n}"]).cast("double")) for n in names[3:6]})
     inside = [F.col("perplexity") >= F.col("lowest"), F.col("perplexity") <= F.col("highest"), F.col("novelty") >= F.col("least_novelty")]
     return out.withColumn("kept", reduce(Column.__and__, [F.coalesce(x, F.lit(True)) for x in inside])).select(*named)

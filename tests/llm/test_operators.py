@@ -615,6 +615,30 @@ def test_classifier_rejects_junk(spark):
     assert all(r.kept for r in kneser_ney.classify(docs, labels.where("quality > 1")).collect())
 
 
+def test_classifier_takes_all_trusted_documents(spark):
+    n = 14_000  # more than 6000 in each half
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("own"), "id", F.lit(" and own"), F.col("id") + 1).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    rows = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
+    first = {r.doc_id for r in labels.where(F.xxhash64(F.lit(7), "doc_id") % 2 == 0).collect()}
+    known = max(rows[i].perplexity for i in first)  # learned from: a unique text that's seen is likelier than one that isn't
+    strangers = [i for i in range(1, n - 1) if not {i - 1, i, i + 1} & first]
+    assert len(first) > 6000 and len(rows) == n and known < min(rows[i].perplexity for i in strangers)
+    x = sorted(rows[i].perplexity for i in range(n) if i not in first)
+    assert len(x) > 6000 and rows[0].highest == pytest.approx(np.quantile(x, 0.99) * 1.1, rel=1e-12) and rows[0].lowest == pytest.approx(np.quantile(x, 0.003) / 1.1, rel=1e-12)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.003, 0.5, 0.99, 1.0])
+def test_quantiles_of_languages_with_copies(spark, share):
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "fr", None]), float(rng.choice([0, 1, 1, 1, rng.random()])), rng.random()) for _ in range(500)] + [("one", 5.0, 6.0)]
+    got = {(r._all, r._lang): r for r in kneser_ney.quantiles(spark.createDataFrame(rows, "_lang string, x double, y double"), {"x": share, "y": share}).collect()}
+    assert len(got) == 5
+    for (every, lang), r in got.items():
+        own = [x for x in rows if every or x[0] == lang]
+        assert r._n == len(own) and r.x == pytest.approx(np.quantile([x[1] for x in own], share)) and r.y == pytest.approx(np.quantile([x[2] for x in own], share))
+
+
 # 8 HTML
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href=x>Home</a></header><nav><ul><li><a href="/a">menu one</a></li></ul></nav>
