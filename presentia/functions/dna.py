@@ -23,6 +23,27 @@ def normalise(seq: Column, upper: bool = True) -> Column:
     return F.regexp_replace(F.upper(seq) if upper else seq, "[^ACGT]+", "N")
 
 
+def as_bases(text: Column, letters: dict[str, str], mark: str = "N") -> Column:
+    """A text with ``letters`` (of ASCII) mapped to bases, and every run of anything else as one ``mark``. Null becomes empty."""
+    table = bytearray(b" " * 256)
+    for letter, base in letters.items():
+        table[ord(letter)] = ord(base)
+    table, mark = bytes(table), mark.encode()
+
+    def clean(text: bytes) -> bytes:
+        text = text.translate(table)
+        runs = text.split()
+        if not runs:
+            return mark if text else b""
+        return (mark if text[0] == 32 else b"") + mark.join(runs) + (mark if text[-1] == 32 else b"")
+
+    @F.arrow_udf(T.StringType())
+    def cleaned(texts: pa.Array) -> pa.Array:
+        return pa.array([clean(t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in texts], pa.binary()).cast(pa.string())
+
+    return cleaned(text)
+
+
 def clean_fasta(text: Column) -> Column:
     """The sequence of a FASTA text: header lines dropped, the others upper-cased and joined."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: ~F.startswith(x, F.lit(">")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presentia.functions import dna
-from presentia.operators import seeding
+from presentia.operators import scanning, seeding
 
 STRIDE = 1 << 16
 #: Markers below this length give useless seeds.
@@ -45,7 +45,10 @@ def chunks(genomes: DataFrame, longest: int, stride: int = STRIDE, spread: bool
 
 def nested(genomes: DataFrame, markers: DataFrame) -> DataFrame:
     """Every chunk against every marker; for a marker table whose size was checked to be small."""
-    return genomes.join(F.broadcast(markers.select("seq")), F.expr("contains(chunk, seq)")).select("genome_id", "seq").distinct()
+    every = sorted(r.seq for r in markers.select("seq").toLocalIterator())  # as many as the planner lets through
+    table = markers.sparkSession.createDataFrame(list(enumerate(every)), "_id int, seq string")
+    hits = scanning.found(genomes, every)
+    return hits.select("genome_id", F.explode(scanning.ones(F.col("words"), len(every))).alias("_id")).join(F.broadcast(table), "_id").select("genome_id", "seq")
 
 
 def seeded(pieces: DataFrame, markers: DataFrame, seed: int, longest: int, broadcast: bool, sampled: bool = False) -> DataFrame:
@@ -71,13 +74,9 @@ def seeded(pieces: DataFrame, markers: DataFrame, seed: int, longest: int, broad
 
 
 def by_length(pieces: DataFrame, markers: DataFrame, lengths: list[int]) -> DataFrame:
-    """One equi-join on whole k-grams for each length; for many short markers (at most 4 ** length of them)."""
-
-    def one(k: int) -> DataFrame:
-        grams = F.array_distinct(F.regexp_extract_all("chunk", F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1)))
-        return pieces.select("genome_id", F.explode(grams).alias("seq")).distinct().join(markers.where(F.col("length") == k).select("seq"), "seq").select("genome_id", "seq")
-
-    return reduce(DataFrame.union, [one(k) for k in lengths])
+    """An equi-join on whole k-grams, of which only those of some marker become rows; for many short markers (at most 4 ** length of them)."""
+    wanted = markers.select("seq", scanning.gram_of(F.col("seq")).alias("gram"))
+    return scanning.grams(pieces, wanted, lengths).join(wanted, "gram").select("genome_id", "seq")
 
 
 def match(genomes: DataFrame, markers: DataFrame, strategy: str = "auto", stride: int = STRIDE, spread: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presentia.functions import dna
+from presentia.operators import matching, scanning
 from presentia.operators.matching import STRIDE, match
 
 
@@ -33,11 +34,25 @@ def to_bits(genomes: DataFrame, hits: DataFrame, width: int) -> DataFrame:
 
 def presence_bits(genomes: DataFrame, markers: DataFrame, strategy: str = "auto", stride: int = STRIDE) -> DataFrame:
     """Each genome with a string of one bit for each marker, in order of ordinals from 0."""
-    width = markers.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
+    facts = [F.coalesce(F.max("ordinal") + 1, F.lit(0)), F.min("ordinal"), F.count("*"), F.count_distinct("ordinal"), F.sum(F.length("seq"))]
+    width, least, n, distinct, bases = markers.agg(*facts).first()
+    if strategy == "auto" and 0 < width <= matching.BROADCAST_MARKERS and least >= 0 and n == distinct and (bases or 0) <= matching.BROADCAST_BASES:
+        return _few_bits(genomes, markers, width, stride)
     hits = fan_out(match(genomes, markers, strategy, stride), markers)
     return to_bits(genomes, hits.withColumn("ordinal", F.col("ordinal").cast("int")), width)
 
 
+def _few_bits(genomes: DataFrame, markers: DataFrame, width: int, stride: int) -> DataFrame:
+    """presence_bits() of few markers: bits are set where a chunk is scanned, and no row is made for a hit."""
+    columns: list[str | None] = [None] * width
+    for r in markers.where(dna.is_valid_marker(F.col("seq"))).select("ordinal", "seq").toLocalIterator():  # `width` at most
+        columns[r.ordinal] = r.seq
+    longest = max((len(m) for m in columns if m), default=1)
+    words = scanning.found(matching.chunks(genomes.select("genome_id", "seq"), longest, stride if stride != STRIDE else max(stride, longest)), columns)
+    out = genomes.drop("seq").join(words, "genome_id", "left")
+    return out.withColumn("bits", F.coalesce(scanning.as_bits(F.col("words"), width), F.lit("0" * width))).drop("words")
+
+
 def to_long(bits: DataFrame) -> DataFrame:
     """(genome_id, ordinal, present): a row for each bit."""
     each = F.filter(F.split("bits", ""), lambda x: x != "")

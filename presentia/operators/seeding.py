@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 #: Longest seed that fits a long.
 LONGEST = 31
 #: Bases handled together.
-RUN = 1 << 21
+RUN = 1 << 18
 #: Bits that a row of the table holds, and the largest table (16 MB) in bits.
 ROW, TABLE_BITS = 1 << 15, 27
 CODE = np.full(256, 4, np.uint8)

@@ -24,8 +24,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
-def as_dna(text):
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), LETTERS, BASES), "[^ACGT]+", "N")
+def as_dna(text, mark: str = "N"):
+    return dna.as_bases(text, dict(zip(LETTERS, BASES, strict=True)), mark)
 
 
 def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _hits(strategy: str, **how):
 
 def whole_genomes(spark: SparkSession, d: str) -> DataFrame:
     """Genomes without breaks: only the letters of a text."""
-    bare = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), LETTERS, BASES), "[^ACGT]+", "")
+    bare = as_dna(F.col("text"), "")
     return documents(spark, d).select(F.col("doc_id").alias("genome_id"), bare.alias("seq"))
 
 

@@ -149,3 +149,40 @@ def test_index_options(spark):
         api.Marker("1", "AC")
     assert api.analyze(spark, ["ACG", "TTT"], ["CG", "TT"]) == ["10", "01"]
     assert index.markers.where(F.col("ordinal") == 0).first().seq == "AC"
+
+
+@pytest.mark.parametrize("longest", [12, 40])
+def test_few_markers_are_scanned_for(spark, longest):
+    """No join of every chunk with every marker, whose pairs are then made distinct; markers that share their first bases are told apart."""
+    rng = random.Random(longest)
+    genomes = ["".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 500))) for _ in range(40)]
+    head = "ACGTTGCAAC"
+    genomes += [head + "GG" + "T" * k for k in range(30)] + [head, head[:-1]]
+    markers = ["A", "AC", head, head + "G", head + "GT", head + "GG" + "T" * (longest - 12), *("".join(rng.choice("ACGT") for _ in range(rng.randint(1, 6))) for _ in range(80))]
+    pieces = matching.chunks(readers.genomes_from(spark, genomes), longest, 64)
+    hits = matching.nested(pieces, matching.distinct_markers(readers.markers_from(spark, markers)))
+    assert "BroadcastNestedLoopJoin" not in hits._jdf.queryExecution().toString()
+    rows = [tuple(r) for r in hits.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(i, m) for i, g in enumerate(genomes) for m in markers if m in g}
+
+
+def test_only_grams_of_markers_become_rows(spark):
+    rng = random.Random(5)
+    genomes = ["".join(rng.choice("ACGTN") for _ in range(3000)) for _ in range(20)]
+    markers = ["ACG", "CATTAG", "GATTACAGA", "GATTACAG"]
+    hits = matching.by_length(matching.chunks(readers.genomes_from(spark, genomes), 9), matching.distinct_markers(readers.markers_from(spark, markers)), [3, 6, 8, 9])
+    assert "regexp_extract_all" not in hits._jdf.queryExecution().optimizedPlan().toString().replace("regexp_extract_all(seq", "")
+    assert sorted(tuple(r) for r in hits.collect()) == sorted((i, m) for i, g in enumerate(genomes) for m in markers if m in g)
+
+
+def test_bits_of_few_markers_need_no_row_for_a_hit(spark):
+    rng = random.Random(6)
+    genomes = ["".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 300))) for _ in range(25)]
+    markers = ["A", "", "AN", "A", *("".join(rng.choice("ACGT") for _ in range(rng.randint(1, 5))) for _ in range(90))]
+    bits = matrix.presence_bits(readers.genomes_from(spark, genomes), readers.markers_from(spark, markers), "auto", 40)
+    assert "collect_set" not in bits._jdf.queryExecution().toString()
+    valid = lambda m: m and set(m) <= set("ACGT")
+    assert [r.bits for r in bits.orderBy("genome_id").collect()] == ["".join("1" if valid(m) and m in g else "0" for m in markers) for g in genomes]
+    for some in (["", "N"], ["A", "N"]):
+        rows = matrix.presence_bits(readers.genomes_from(spark, ["ACG", "", "NN"]), readers.markers_from(spark, some)).orderBy("genome_id").collect()
+        assert [r.bits for r in rows] == (["10", "00", "00"] if some[0] else ["00"] * 3)
