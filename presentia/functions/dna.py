@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VALID = "^[ACGT]+$"
-#: All triples in order, each with a blank: a triple begins at four times its number.
-TRIPLES = "".join(a + b + c + " " for a in "ACGT" for b in "ACGT" for c in "ACGT")
 
 LETTERS = np.frombuffer(b"ACGTN", np.uint8)
 DIGITS = np.full(256, 4, np.uint8)
@@ -70,23 +69,50 @@ def base_codes(seq: Column) -> Column:
     return F.translate(seq, "ACGT", "0123")
 
 
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's texts, and where each begins and the last ends."""
+    column = column.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _lists(ends: np.ndarray, values: pa.Array, like: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=like.is_null() if like.null_count else None)
+
+
 def pack3(seq: Column) -> Column:
     """Three bases a number: two bits each from the highest, and in the lowest two how many are missing at the end."""
-    missing = F.pmod(-F.length(seq), F.lit(3)).cast("int")
-    triples = F.regexp_extract_all(F.concat(F.translate(seq, "ACGT", "0123"), F.repeat(F.lit("0"), missing)), F.lit("(?s).{3}"), F.lit(0))
-    number = lambda x: F.conv(x, 4, 10).cast("int") * 4
 
-    def packed(x: Column) -> Column:  # x: the triples, bound once
-        last = F.size(x) - 1
-        return F.transform(x, lambda t, i: number(t) + F.when(i == last, missing).otherwise(F.lit(0)))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def packed(texts: pa.Array) -> pa.Array:
+        data, ends = _spans(texts)
+        sizes = np.diff(ends)
+        last = np.append(0, np.cumsum(-(-sizes // 3)))
+        digits = np.zeros(3 * last[-1], np.uint8)
+        digits[np.arange(len(data)) + np.repeat(3 * last[:-1] - ends[:-1], sizes)] = DIGITS[data] & 3
+        numbers = digits.reshape(-1, 3) @ np.array([64, 16, 4], np.int32)
+        some = sizes > 0
+        numbers[last[1:][some] - 1] += (-sizes % 3)[some]
+        return _lists(last, pa.array(numbers.astype(np.int32)), texts)
 
-    return F.get(F.transform(F.array(triples), packed), F.lit(0))
+    return packed(seq)
 
 
 def unpack3(packed: Column) -> Column:
     """The bases that pack3 packed."""
-    three = lambda x: F.substring(F.lit(TRIPLES), x.bitwiseAND(F.lit(252)) + 1, 3 - x.bitwiseAND(F.lit(3)))
-    return F.array_join(F.transform(packed, three), "")
+
+    @F.arrow_udf(T.StringType())
+    def bases(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers = lists.flatten().to_numpy(zero_copy_only=False)
+        three = LETTERS[np.stack([numbers >> 6 & 3, numbers >> 4 & 3, numbers >> 2 & 3], axis=1)]
+        n = 3 - (numbers & 3)
+        text = three[np.arange(3) < n[:, None]].tobytes()
+        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes))].tolist()
+        there = lists.is_valid().to_pylist()
+        return pa.array([text[a:b] if x else None for a, b, x in zip(ends[:-1], ends[1:], there, strict=True)], pa.binary()).cast(pa.string())
+
+    return bases(packed)
 
 
 def pack_genome(seq: Column) -> Column:
@@ -120,17 +146,37 @@ def unpack_genome(packed: Column) -> Column:
 
 def one_hot(seq: Column) -> Column:
     """Four rows of 0 and 1 for A, C, G and T; a break is 0 in all."""
-    letters = F.filter(F.split(seq, ""), lambda x: x != "")
-    row = lambda b: F.transform(letters, lambda x: (x == b).cast("tinyint")).alias(b.lower())
+
+    def row(base: str) -> Column:
+        @F.arrow_udf(T.ArrayType(T.ByteType()))
+        def bits(texts: pa.Array) -> pa.Array:
+            data, ends = _spans(texts)
+            if len(data) and data.max() > 127:  # a letter is one bit, however many bytes it has
+                first = (data & 0xC0) != 0x80
+                data, ends = data[first], np.append(0, np.cumsum(first))[ends]
+            return _lists(ends, pa.array((data == ord(base)).view(np.int8)), texts)
+
+        return bits(seq).alias(base.lower())
+
     return F.struct(*[row(b) for b in "ACGT"])
 
 
 def from_one_hot(rows: Column) -> Column:
-    """The text of a one-hot genome: the first row that is set, N where none is."""
-    at = lambda b, i: F.get(rows[b.lower()], i) != 0
-    letter = lambda i: F.when(at("A", i), "A").when(at("C", i), "C").when(at("G", i), "G").when(at("T", i), "T").otherwise("N")
-    n = F.size(rows["a"])
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), letter), "")).otherwise(F.lit(""))
+    """The text of a one-hot genome: the first row that is set, N where none is; as long as its row for A."""
+
+    @F.arrow_udf(T.StringType())
+    def letters(a: pa.Array, c: pa.Array, g: pa.Array, t: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(a)):
+            text = np.full(len(a[i].values) if a[i].is_valid else 0, ord("N"), np.uint8)
+            for base, row in zip(b"TGCA", (t, g, c, a), strict=True):
+                if row[i].is_valid:
+                    one = row[i].values.fill_null(0).to_numpy(zero_copy_only=False)[: len(text)] != 0
+                    text[: len(one)][one] = base
+            out.append(text.tobytes())
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    return letters(*[rows[b] for b in "acgt"])
 
 
 def basename(path: Column) -> Column:

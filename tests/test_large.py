@@ -182,3 +182,20 @@ def test_files_in_one_split_are_dealt_out(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t"))
     assert table.rdd.getNumPartitions() == 1 and readers.spread_rows(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert api.analyze(spark, ["ACG"], ["CG"]) == ["1"]
+
+
+def test_packing_and_one_hot_go_by_columns(spark):
+    """Numbers are made for a batch at once, no text or array for each triple or base; odd texts are as they were."""
+    rng = random.Random(8)
+    texts = ["", "A", "AC", "ACG", "TTTT", None, *(bases(rng, rng.randint(0, 50)) for _ in range(60))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").repartition(3)
+    packed = frame.select("i", "s", dna.pack3(F.col("s")).alias("p"))
+    code = lambda x: [sum("ACGT".index(b) << 2 * (3 - j) for j, b in enumerate(x[k : k + 3])) + (3 - len(x[k : k + 3])) for k in range(0, len(x), 3)]
+    rows = packed.withColumn("back", dna.unpack3(F.col("p"))).collect()
+    assert all(r.p == (None if r.s is None else code(r.s)) and r.back == r.s for r in rows)
+    assert "regexp_extract_all" not in packed._jdf.queryExecution().optimizedPlan().toString()
+    odd = spark.createDataFrame([(0, "ACNGT"), (1, ""), (2, "Aé\u20acC"), (3, "NN")], "i int, s string").select("i", dna.one_hot(F.col("s")).alias("h"))
+    got = {r.i: (r.h.a, r.h.t, r.seq) for r in odd.withColumn("seq", dna.from_one_hot(F.col("h"))).collect()}
+    assert got == {0: ([1, 0, 0, 0, 0], [0, 0, 0, 0, 1], "ACNGT"), 1: ([], [], ""), 2: ([1, 0, 0, 0], [0] * 4, "ANNC"), 3: ([0, 0], [0, 0], "NN")}
+    short = spark.sql("SELECT struct(array(1, 0, null) AS a, array(0, 1) AS c, cast(null AS array<int>) AS g, array(0, 0, 2) AS t) AS h")
+    assert short.select(dna.from_one_hot(F.col("h"))).first()[0] == "ACT"
