@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from presentia.llm.collocations import filter_of, numbered
-from presentia.llm.common import cut, read_table
+from presentia.llm.common import Scratch, cut, read_table
 from presentia.llm.pitman_yor import LOWER, pack, tokens_of, unpack
 from presentia.llm.simhash import mix
 
@@ -107,9 +107,12 @@ def by_count(c: Column, values) -> Column:
     return F.when(c == 1, values[0]).when(c == 2, values[1]).otherwise(values[2])
 
 
-def train(trusted: DataFrame) -> dict:
-    """The model's tables from documents (text): probabilities of pairs (u, w, share, backoff, p), backoff of contexts (u, backoff), shares of words (w, share)."""
-    pairs = cut(trusted.select("text").mapInPandas(count_pairs, PAIRS).groupBy("u", "w").agg(F.sum("c").alias("c")))
+def train(trusted: DataFrame, scratch: Scratch | None = None) -> dict:
+    """The model's tables from documents (text): probabilities of pairs (u, w, share, backoff, p), backoff of contexts (u, backoff), shares of words (w, share).
+
+    With ``scratch`` the counted pairs lie there, and "free" drops them once the tables have been read.
+    """
+    pairs = (scratch or cut)(trusted.select("text").mapInPandas(count_pairs, PAIRS).groupBy("u", "w").agg(F.sum("c").alias("c")))
     d, c = discounts(pairs, "c"), F.col("c")
     contexts = pairs.groupBy("u").agg(F.sum("c").alias("total"), F.sum(by_count(c, [F.lit(x) for x in d])).alias("given"))
     contexts = cut(contexts.select("u", "total", (F.col("given") / F.col("total")).alias("backoff")))
@@ -122,7 +125,7 @@ def train(trusted: DataFrame) -> dict:
     shares = words.select("w", ((F.col("n") - by_count(F.col("n"), [F.lit(x) for x in e])) / all_n + unseen).alias("share"))
     found = pairs.join(contexts, "u").join(shares, "w")
     found = found.select("u", "w", "share", "backoff", ((c - by_count(c, [F.lit(x) for x in d])) / F.col("total") + F.col("backoff") * F.col("share")).alias("p"))
-    return {"v": v, "unseen": unseen, "keys": pairs.count() + v, "pairs": found, "contexts": contexts.select("u", "backoff"), "words": shares}
+    return {"v": v, "unseen": unseen, "keys": pairs.count() + v, "free": (lambda: scratch.drop(pairs)) if scratch else (lambda: None), "pairs": found, "contexts": contexts.select("u", "backoff"), "words": shares}
 
 
 def word_key(w: np.ndarray) -> np.ndarray:
@@ -174,6 +177,14 @@ def keys_of(gaps: np.ndarray) -> np.ndarray:
     return np.cumsum(np.append(gaps[0] << HALF | gaps[1], gaps[2:]), dtype=np.uint64) if len(gaps) else gaps
 
 
+def folded_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The keys of packed shards, as the filter has them."""
+    for batch in batches:
+        for data in batch["data"]:
+            keys = keys_of(unpack(data)[0])
+            yield pd.DataFrame({"h": (keys ^ (keys >> FOLD)).view(np.int64)})
+
+
 def count_keys(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens of each text, distinct pairs of each, keys, counts) of a block.
 
@@ -322,10 +333,10 @@ def quantiles(rows: DataFrame, wanted: dict[str, float]) -> DataFrame:
 def score(docs: DataFrame, model: dict, shard_keys: int = 400_000, salt_bytes: int = 800 << 20) -> DataFrame:
     """(_id, _lang, tokens, log10, once) for each of (_id, _lang, text), by joins of counts with the model's shards."""
     table, shards = value_table(model, shard_keys)
-    table = cut(table)
-    salts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // salt_bytes))
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(table.select(F.col("h").bitwiseXOR(F.shiftrightunsigned("h", int(FOLD))).alias("h")), 27))  # 2 ** 27 bits at most
     packed = cut(table.groupBy("shard").applyInPandas(pack_shard, PACKED))
+    model["free"]()
+    salts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // salt_bytes))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(packed.select("data").mapInPandas(folded_keys, "h long"), 27))  # 2 ** 27 bits at most
     packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select((F.col("key") + shards * F.col("salt")).alias("key"), "data")
     counted = docs.mapInPandas(counts_to_shards(bits, shards, salts), PACKED)
     of = {f.name: f.dataType for f in docs.schema}
@@ -344,15 +355,16 @@ def classify(
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id")).distinct()
     good = cut(good.withColumn("_half", F.xxhash64(F.lit(7), "_id") % 2 == 0))
     first, others = good.where("_half").select("_id"), good.where("NOT _half").select("_id")
-    model = train(among(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), first))
     names, numbers = ["n_tokens", "perplexity", "novelty", "lowest", "highest", "least_novelty", "kept"], ["perplexity", "novelty", "lowest", "highest", "least_novelty"]
     base = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("text"))
     named = [F.col("_id").alias(doc_id), F.col("_lang").alias(lang), *names]
-    if not model["v"]:
-        return base.withColumns({"n_tokens": F.lit(None).cast("long"), **{c: F.lit(None).cast("double") for c in numbers}, "kept": F.lit(True)}).select(*named)
-    per_token = lambda x: F.col(x) / F.col("tokens")
-    scored = score(base, model, shard_keys, salt_bytes).withColumns({"n_tokens": F.col("tokens"), "perplexity": F.pow(F.lit(10.0), -per_token("log10")), "novelty": -per_token("once")})
-    scored = cut(scored.drop(*SUMS))
+    with Scratch(docs.sparkSession) as scratch:
+        model = train(among(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), first), scratch)
+        if not model["v"]:
+            return base.withColumns({"n_tokens": F.lit(None).cast("long"), **{c: F.lit(None).cast("double") for c in numbers}, "kept": F.lit(True)}).select(*named)
+        per_token = lambda x: F.col(x) / F.col("tokens")
+        scored = score(base, model, shard_keys, salt_bytes).withColumns({"n_tokens": F.col("tokens"), "perplexity": F.pow(F.lit(10.0), -per_token("log10")), "novelty": -per_token("once")})
+        scored = cut(scored.drop(*SUMS))
     ends = quantiles(scored.join(others, "_id", "left_semi").select("_lang", *(F.col(c).alias(n) for c, n in zip(["perplexity", "perplexity", "novelty"], names[3:6], strict=True))), dict(zip(names[3:6], (low, high, low_novelty), strict=True)))
     wide = [(F.col("lowest") / slack).alias("_lowest"), (F.col("highest") * slack).alias("_highest"), (F.col("least_novelty") / slack).alias("_least_novelty")]
     known = ends.where(~F.col("_all") & (F.col("_n") >= least) & F.col("_lang").isNotNull()).select(F.col("_lang").alias("_of"), *wide)
