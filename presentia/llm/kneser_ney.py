@@ -9,11 +9,16 @@ A document's log10 probability is a sum over its counts. A token adds the logari
 its word's share and of its context's backoff, and where the pair was seen in training
 what p differs from their product. So the model is one table (key, a, b) whose keys are
 words (a: share, b: backoff) and seen pairs (a: the difference), and a document is a
-list of keys, hashes of 56 bits, with counts. Both are sharded by key, and the join of counts gives partial sums
-by document, which are added up. Documents' counts travel packed, by block of texts
-and shard. The model's shards are repeated for every ``salt_bytes`` of text, so no task
-has more than a shard and the counts of so much text. Keys that can't be in the model
-by a bit filter, of 2 ** 27 bits at most, aren't sent.
+list of keys, hashes of 56 bits, with counts. Both are sharded by key. A block of texts
+asks each shard for its distinct keys, once for all its texts; the join with the shards
+answers with their values, and a second join, by block, brings these to the block's counts.
+So what is sent grows with the text, however many shards there are. A shard is repeated
+for every ``TASK_BYTES`` of text that it has, so no task has more than a shard and
+the keys of so much text. Keys that can't be in the model by a bit filter, of 2 ** 27
+bits at most, aren't sent.
+
+Seen pairs get their probabilities, and documents are scored, in up to ``ROUNDS`` parts one
+after the other, by a hash, so that only a part's shuffle files are on disk at once.
 
 A document has two numbers: its perplexity, and its novelty, the same surprise (log10
 a token) with each distinct pair of the text counted once, as what a text repeats is no
@@ -52,9 +57,14 @@ RUN = 1 << 22
 #: Characters of it that are counted at once.
 PIECE = 1 << 20
 PAIRS = T.StructType([T.StructField("u", T.LongType()), T.StructField("w", T.LongType()), T.StructField("c", T.LongType())])
+#: Parts in which pairs and documents are worked off, one for so much text, and this many at most.
+ROUNDS, ROUND_BYTES = 6, 1 << 24
+#: Text for which a shard is repeated.
+TASK_BYTES = 1 << 25
 SUMS = ("tokens", "pairs", "log10", "once")
 TABLE = "h long, shard long, a double, b double"
 PACKED = "key long, data binary"
+ANSWERS = "block long, shard long, data binary"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 HALF = np.uint64(32)
 #: Bits of a key that are kept; the others are zeros and take no room.
@@ -110,13 +120,14 @@ def by_count(c: Column, values) -> Column:
 def train(trusted: DataFrame, scratch: Scratch | None = None) -> dict:
     """The model's tables from documents (text): probabilities of pairs (u, w, share, backoff, p), backoff of contexts (u, backoff), shares of words (w, share).
 
-    With ``scratch`` the counted pairs lie there, and "free" drops them once the tables have been read.
+    With ``scratch`` the counts lie there, and "free" drops them once the tables have been read.
     """
-    pairs = (scratch or cut)(trusted.select("text").mapInPandas(count_pairs, PAIRS).groupBy("u", "w").agg(F.sum("c").alias("c")))
+    keep = scratch or cut
+    pairs = keep(trusted.select("text").mapInPandas(count_pairs, PAIRS).groupBy("u", "w").agg(F.sum("c").alias("c")))
     d, c = discounts(pairs, "c"), F.col("c")
     contexts = pairs.groupBy("u").agg(F.sum("c").alias("total"), F.sum(by_count(c, [F.lit(x) for x in d])).alias("given"))
-    contexts = cut(contexts.select("u", "total", (F.col("given") / F.col("total")).alias("backoff")))
-    words = cut(pairs.groupBy("w").agg(F.count("*").alias("n")))
+    contexts = keep(contexts.select("u", "total", (F.col("given") / F.col("total")).alias("backoff")))
+    words = keep(pairs.groupBy("w").agg(F.count("*").alias("n")))
     e = discounts(words, "n")
     all_n, v, given = words.agg(F.sum("n"), F.count("*"), F.sum(by_count(F.col("n"), [F.lit(x) for x in e]))).first()
     if not v:
@@ -125,7 +136,7 @@ def train(trusted: DataFrame, scratch: Scratch | None = None) -> dict:
     shares = words.select("w", ((F.col("n") - by_count(F.col("n"), [F.lit(x) for x in e])) / all_n + unseen).alias("share"))
     found = pairs.join(contexts, "u").join(shares, "w")
     found = found.select("u", "w", "share", "backoff", ((c - by_count(c, [F.lit(x) for x in d])) / F.col("total") + F.col("backoff") * F.col("share")).alias("p"))
-    return {"v": v, "unseen": unseen, "keys": pairs.count() + v, "free": (lambda: scratch.drop(pairs)) if scratch else (lambda: None), "pairs": found, "contexts": contexts.select("u", "backoff"), "words": shares}
+    return {"v": v, "unseen": unseen, "keys": pairs.count() + v, "free": (lambda: scratch.drop(pairs, contexts, words)) if scratch else (lambda: None), "pairs": found, "contexts": contexts.select("u", "backoff"), "words": shares}
 
 
 def word_key(w: np.ndarray) -> np.ndarray:
@@ -138,8 +149,13 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> HALF) * np.uint64(shards) >> HALF).astype(np.int64)
 
 
-def value_table(model: dict, shard_keys: int) -> tuple[DataFrame, int]:
-    """The model as rows (h, shard, a, b) and the number of shards, of about ``shard_keys`` keys each."""
+def of_round(k: int, rounds: int, *columns: str) -> Column:
+    """Which rows are the ``k``-th of so many parts."""
+    return F.pmod(F.xxhash64(F.lit(9), *columns), F.lit(rounds)) == k
+
+
+def value_tables(model: dict, shard_keys: int, rounds: int = 1) -> tuple[list[DataFrame], int]:
+    """The model as rows (h, shard, a, b), in ``rounds`` parts, and the number of shards, of about ``shard_keys`` keys each."""
     log = lambda x: F.log10(F.col(x))
     words = model["words"].join(model["contexts"].withColumnRenamed("u", "w"), "w", "full")
     zero = F.lit(0.0)
@@ -154,11 +170,12 @@ def value_table(model: dict, shard_keys: int) -> tuple[DataFrame, int]:
             h &= KEPT
             yield pd.DataFrame({"h": h.view(np.int64), "shard": shard_of(h, shards), "a": batch["a"], "b": batch["b"]})
 
-    return pairs.union(words).mapInPandas(keyed, TABLE), shards
+    parts = [pairs.where(of_round(k, rounds, "u", "w")) for k in range(rounds)]
+    return [part.mapInPandas(keyed, TABLE) for part in [parts[0].union(words), *parts[1:]]], shards
 
 
 def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard of the model as one row: sorted keys and their values."""
+    """A shard's keys of one part of the model as one row: sorted keys and their values."""
     h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     parts = pack(gaps_of(h[order]), *(rows[x].to_numpy()[order].tobytes() for x in "ab"))
@@ -224,54 +241,70 @@ def count_block(texts: list[str | None], bits: np.ndarray, piece: int = PIECE) -
     return tuple(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
 
 
-def counts_to_shards(filter_bits, shards: int, salts: int):
-    """A map over (_id, _lang, text): each block's counts for each shard, and once its documents with their sizes."""
+def keys_to_shards(filter_bits, shards: int, salts: int):
+    """A map over (_id, _lang, text): each block's distinct keys for each shard, and at -1 - block its documents with their counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = TaskContext.get().partitionId() << 20
+        part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, langs, at = batch["_id"].astype(object).where(batch["_id"].notna(), None).tolist(), batch["_lang"].tolist(), 0
             for texts in runs(batch["text"].tolist(), RUN):
                 if not texts:
                     continue
-                tokens, pairs, keys, counts = count_block(texts, filter_bits.value)
-                order = np.lexsort((counts[0], keys))
-                keys, (text, n, as_word, as_context) = keys[order], counts[:, order]
-                again = np.append(False, keys[1:] == keys[:-1])[: len(keys)]
-                counts = np.stack([text - np.where(again, np.roll(text, 1), 0), n, n - as_word, n - as_context])  # small numbers
-                salt, own = block % salts, block % shards
-                edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-                out = []
-                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    if a < b or k == own:
-                        distinct, times = np.unique(keys[a:b], return_counts=True)
-                        who = (ids[at : at + len(texts)], langs[at : at + len(texts)], tokens, pairs) if k == own else ()
-                        out.append((k + shards * salt, pack(block, gaps_of(distinct), times, *counts[:, a:b], *who)))
+                block, salt, own = (part << 20) + nth, (part + nth) % salts, slice(at, at + len(texts))
+                tokens, pairs, keys, (text, n, as_word, as_context) = count_block(texts, filter_bits.value)
+                distinct, which = np.unique(keys, return_inverse=True)
+                edges = np.searchsorted(shard_of(distinct, shards), np.arange(shards + 1))
+                out = [(k + shards * salt, pack(block, k, gaps_of(distinct[a:b]))) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+                order = np.argsort(text * max(1, len(distinct)) + which)
+                text, which, n, as_word, as_context = (x[order] for x in (text, which, n, as_word, as_context))
+                again = np.append(False, text[1:] == text[:-1])[: len(text)]
+                steps = which - np.where(again, np.roll(which, 1), 0)  # small numbers
+                out.append((-1 - block, pack(edges, np.bincount(text, minlength=len(texts)), steps, n, n - as_word, n - as_context, ids[own], langs[own], tokens, pairs)))
                 yield pd.DataFrame(out, columns=["key", "data"])
-                block, at = block + 1, at + len(texts)
+                nth, at = nth + 1, at + len(texts)
 
     return run
 
 
-def sum_shard(own: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-    """The join of a shard's keys with blocks' counts: partial sums by document, and documents with their sizes."""
-    names, out = ["row", "_id", "_lang", *SUMS], []
-    gaps, a, b = unpack(own["data"].iloc[0]) if len(own) else (np.zeros(0, np.int64), b"", b"")
-    keys, a, b = keys_of(gaps), np.frombuffer(a), np.frombuffer(b)
-    for data in counted["data"]:
-        block, gaps, times, steps, n, less_word, less_context, *who = unpack(data)
-        wanted, sums = keys_of(gaps), np.append(0, np.cumsum(steps))
-        text = sums[1:] - np.repeat(sums[np.cumsum(times) - times], times)
-        if len(keys) and len(wanted):
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            x, y = (np.repeat(np.where(keys[at] == wanted, v[at], 0.0), times) for v in (a, b))
-            texts, which = np.unique(text, return_inverse=True)
-            total = lambda z, which=which: np.bincount(which, weights=z)
-            out.append(pd.DataFrame({"row": (block << 19) + texts, "_id": None, "_lang": None, "tokens": 0, "pairs": 0, "log10": total(n * (x + y)), "once": total((n - less_word) * x + (n - less_context) * y)}))
-        if who:
-            ids, langs, tokens, pairs = who
-            out.append(pd.DataFrame({"row": (block << 19) + np.arange(len(ids)), "_id": pd.Series(ids, dtype=object), "_lang": pd.Series(langs, dtype=object), "tokens": tokens, "pairs": pairs, "log10": 0.0, "once": 0.0}))
-    return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame(columns=names)
+def look_up(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The join of a shard with the keys that blocks ask for: the places of those it has, and their values; blocks' counts are handed on."""
+    names = ["block", "shard", "data"]
+    if len(asked) and asked["key"].iloc[0] < 0:
+        return pd.DataFrame({"block": -1 - asked["key"], "shard": -1, "data": asked["data"]})
+    if not len(own) or not len(asked):
+        return pd.DataFrame(columns=names)
+    parts, out = [unpack(x) for x in own["data"]], []
+    keys = np.concatenate([keys_of(gaps) for gaps, _, _ in parts])
+    order = np.argsort(keys)
+    keys, a, b = keys[order], *(np.concatenate([np.frombuffer(p[i]) for p in parts])[order] for i in (1, 2))
+    for data in asked["data"]:
+        block, shard, gaps = unpack(data)
+        wanted = keys_of(gaps)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        found = np.flatnonzero(keys[at] == wanted)
+        at = at[found]
+        out.append((block, shard, pack(np.diff(found, prepend=0), a[at].tobytes(), b[at].tobytes())))
+    return pd.DataFrame(out, columns=names)
+
+
+def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    """The join of a block's counts with the values of its keys: its documents with their sums."""
+    own = rows["shard"] < 0
+    edges, sizes, steps, n, less_word, less_context, ids, langs, tokens, pairs = unpack(rows["data"][own].iloc[0])
+    a, b = np.zeros(edges[-1]), np.zeros(edges[-1])
+    for shard, data in zip(rows["shard"][~own], rows["data"][~own], strict=True):
+        steps_to, *values = unpack(data)
+        at = edges[shard] + np.cumsum(steps_to)
+        a[at], b[at] = (np.frombuffer(x) for x in values)
+    sums, text = np.append(0, np.cumsum(steps)), np.repeat(np.arange(len(ids)), sizes)
+    key = sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
+    a, b = a[key], b[key]
+    total = lambda x: np.bincount(text, weights=x, minlength=len(ids))
+    return pd.DataFrame({
+        "_id": pd.Series(ids, dtype=object), "_lang": pd.Series(langs, dtype=object), "tokens": tokens, "pairs": pairs,
+        "log10": total(n * (a + b)), "once": total((n - less_word) * a + (n - less_context) * b),
+    })
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -330,26 +363,33 @@ def quantiles(rows: DataFrame, wanted: dict[str, float]) -> DataFrame:
     return cut(found)  # a row for each language
 
 
-def score(docs: DataFrame, model: dict, shard_keys: int = 400_000, salt_bytes: int = 800 << 20) -> DataFrame:
-    """(_id, _lang, tokens, log10, once) for each of (_id, _lang, text), by joins of counts with the model's shards."""
-    table, shards = value_table(model, shard_keys)
-    packed = cut(table.groupBy("shard").applyInPandas(pack_shard, PACKED))
+def score(docs: DataFrame, model: dict, shard_keys: int = 400_000, salt_bytes: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(_id, _lang, tokens, log10, once) for each of (_id, _lang, text), by joins of keys with the model's shards.
+
+    The shards are repeated for every ``salt_bytes`` of text, else for TASK_BYTES for each of
+    them; ``rounds`` is the number of parts, else by the size of the text.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rounds = rounds or min(ROUNDS, max(1, -(-size // ROUND_BYTES)))
+    tables, shards = value_tables(model, shard_keys, rounds)
+    packed = reduce(DataFrame.union, [cut(table.groupBy("shard").applyInPandas(pack_shard, PACKED)) for table in tables])
     model["free"]()
-    salts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // salt_bytes))
+    salts = max(1, -(-size // (rounds * (salt_bytes or TASK_BYTES * shards))))
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(packed.select("data").mapInPandas(folded_keys, "h long"), 27))  # 2 ** 27 bits at most
     packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select((F.col("key") + shards * F.col("salt")).alias("key"), "data")
-    counted = docs.mapInPandas(counts_to_shards(bits, shards, salts), PACKED)
     of = {f.name: f.dataType for f in docs.schema}
-    schema = T.StructType([T.StructField("row", T.LongType()), *(T.StructField(x, of[x]) for x in ("_id", "_lang")), *(T.StructField(x, T.LongType() if x in SUMS[:2] else T.DoubleType()) for x in SUMS)])
-    sums = packed.groupBy("key").cogroup(counted.groupBy("key")).applyInPandas(sum_shard, schema)
-    sums = sums.groupBy("row").agg(*[F.max(x).alias(x) for x in ("_id", "_lang")], *[F.sum(x).alias(x) for x in SUMS])
-    unseen = F.log10(F.lit(model["unseen"]))
-    return sums.select("_id", "_lang", "tokens", (F.col("log10") + F.col("tokens") * unseen).alias("log10"), (F.col("once") + F.col("pairs") * unseen).alias("once"))
+    schema = T.StructType([*(T.StructField(x, of[x]) for x in ("_id", "_lang")), *(T.StructField(x, T.LongType() if x in SUMS[:2] else T.DoubleType()) for x in SUMS)])
+    unseen, parts = F.log10(F.lit(model["unseen"])), []
+    for k in range(rounds):
+        asked = docs.where(of_round(k, rounds, "_id", "text")).mapInPandas(keys_to_shards(bits, shards, salts), PACKED)
+        sums = packed.groupBy("key").cogroup(asked.groupBy("key")).applyInPandas(look_up, ANSWERS).groupBy("block").applyInPandas(add_up, schema)
+        parts.append(cut(sums.select("_id", "_lang", "tokens", (F.col("log10") + F.col("tokens") * unseen).alias("log10"), (F.col("once") + F.col("pairs") * unseen).alias("once"))))
+    return reduce(DataFrame.union, parts)
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality",
-    shard_keys: int = 400_000, salt_bytes: int = 800 << 20, low: float = 0.003, high: float = 0.99, slack: float = 1.1, low_novelty: float = 0.005, least: int = 30,
+    shard_keys: int = 400_000, salt_bytes: int | None = None, low: float = 0.003, high: float = 0.99, slack: float = 1.1, low_novelty: float = 0.005, least: int = 30,
 ) -> DataFrame:
     """A row for each document: its id, language, n_tokens, perplexity, novelty, lowest, highest, least_novelty, kept."""
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id")).distinct()
@@ -364,7 +404,7 @@ def classify(
             return base.withColumns({"n_tokens": F.lit(None).cast("long"), **{c: F.lit(None).cast("double") for c in numbers}, "kept": F.lit(True)}).select(*named)
         per_token = lambda x: F.col(x) / F.col("tokens")
         scored = score(base, model, shard_keys, salt_bytes).withColumns({"n_tokens": F.col("tokens"), "perplexity": F.pow(F.lit(10.0), -per_token("log10")), "novelty": -per_token("once")})
-        scored = cut(scored.drop(*SUMS))
+        scored = scored.drop(*SUMS)
     ends = quantiles(scored.join(others, "_id", "left_semi").select("_lang", *(F.col(c).alias(n) for c, n in zip(["perplexity", "perplexity", "novelty"], names[3:6], strict=True))), dict(zip(names[3:6], (low, high, low_novelty), strict=True)))
     wide = [(F.col("lowest") / slack).alias("_lowest"), (F.col("highest") * slack).alias("_highest"), (F.col("least_novelty") / slack).alias("_least_novelty")]
     known = ends.where(~F.col("_all") & (F.col("_n") >= least) & F.col("_lang").isNotNull()).select(F.col("_lang").alias("_of"), *wide)

@@ -581,6 +581,38 @@ def test_kneser_ney_equals_brute_force(spark):
         assert [(r.tokens, r.log10, r.once) for r in got] == wanted and [(r._id, r._lang) for r in got] == [(i, "en") for i in range(len(probe))]
 
 
+def test_kneser_ney_in_rounds_with_repeated_shards(spark):
+    rng = random.Random(13)
+    model = kneser_ney.train(documents(spark, [prose(rng, 40, 60) for _ in range(30)]))
+    texts = [*(prose(rng, 5, 80) for _ in range(40)), "", None, "w1x never seen"]
+    rows = [(None if i % 7 == 0 else i // 2, "en", t) for i, t in enumerate(texts)] * 2  # null and repeated ids
+    docs = spark.createDataFrame(rows, "_id long, _lang string, text string").repartition(3)
+    found = []
+    for sizes in ((400_000, None, 1), (90, None, 1), (90, 1_000, 5), (90, 50, 3)):
+        found.append(sorted(((-1 if r._id is None else r._id), r._lang, r.tokens, round(r.log10, 8), round(r.once, 8)) for r in kneser_ney.score(docs, model, *sizes).collect()))
+    assert len(found[0]) == len(rows) and all(x == found[0] for x in found)
+
+
+def test_kneser_ney_sends_a_key_once_however_many_shards(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, 50, 200) for _ in range(60)] + ["", None]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "_id long, _lang string, text string").coalesce(1)
+    bits = spark.sparkContext.broadcast(np.full(1 << 12, 255, np.uint8))
+    distinct = len(np.unique(kneser_ney.count_keys(texts, bits.value)[2]))
+    for shards in (1, 7, 200):
+        rows = docs.mapInPandas(kneser_ney.keys_to_shards(bits, shards, 1), kneser_ney.PACKED).collect()
+        asked = pd.DataFrame([(r.key, bytes(r.data)) for r in rows if r.key >= 0], columns=["key", "data"])
+        assert len(rows) - len(asked) == 1 and len(asked) <= shards  # a block's counts go once
+        keys = [kneser_ney.keys_of(kneser_ney.unpack(x)[2]) for x in asked["data"]]
+        assert sum(map(len, keys)) == distinct
+        answers = []
+        for (key, own), k in zip(asked.groupby("key"), keys, strict=True):
+            shard = kneser_ney.pack_shard(pd.DataFrame({"h": k[::2].view(np.int64), "shard": key, "a": 1.0, "b": 2.0}))
+            answers.append(kneser_ney.look_up(shard, own))
+        got = [kneser_ney.unpack(x) for x in pd.concat(answers)["data"]]
+        assert sum(len(x[0]) for x in got) == sum(len(k[::2]) for k in keys)  # a value for each key that is there, none for each document
+
+
 def test_kneser_ney_block_in_pieces():
     rng = random.Random(11)
     texts = [prose(rng, 1, 60) for _ in range(40)] + ["", None, long := "w1x " * 500]
