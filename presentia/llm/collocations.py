@@ -148,14 +148,14 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(self.n_words.astype(np.int64)), pa.array(self.langs, pa.string()), pa.nulls(n, pa.string())], names=["h", "n", "lang", "phrase"])
 
 
-def filter_of(frequent: DataFrame, filter_bits: int) -> np.ndarray:
-    """The bits of a filter of hashes (h), two for each: 32 bits for each at least, 2 ** ``filter_bits`` at most."""
+def filter_of(frequent: DataFrame, filter_bits: int, keep=lambda rows: rows) -> np.ndarray:
+    """The bits of a filter of hashes (h), two for each: 32 bits for each at least, 2 ** ``filter_bits`` at most; ``keep`` can be cut(), which drops the shuffle files of its rows."""
     size = max(ROW, 1 << min(filter_bits, (32 * frequent.count()).bit_length()))
     places = F.array(*[x.bitwiseAND(F.lit(size - 1)) for x in (F.col("h"), F.shiftrightunsigned("h", 32))])
     place = frequent.select(F.explode(places).alias("place"))
     rows = place.select(F.shiftright("place", 15).alias("row"), F.col("place").bitwiseAND(F.lit(ROW - 1)).alias("bit"))
     bits = np.zeros((size // ROW, ROW // 8), np.uint8)
-    for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # `size` bits in all
+    for r in keep(rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))).toLocalIterator():  # `size` bits in all
         bits[r.row] = np.frombuffer(r.bits, np.uint8)
     return bits.ravel()
 

@@ -58,7 +58,7 @@ RUN = 1 << 22
 PIECE = 1 << 20
 PAIRS = T.StructType([T.StructField("u", T.LongType()), T.StructField("w", T.LongType()), T.StructField("c", T.LongType())])
 #: Parts in which pairs and documents are worked off, one for so much text, and this many at most.
-ROUNDS, ROUND_BYTES = 6, 1 << 24
+ROUNDS, ROUND_BYTES = 4, 1 << 24
 #: Text for which a shard is repeated.
 TASK_BYTES = 1 << 25
 SUMS = ("tokens", "pairs", "log10", "once")
@@ -123,7 +123,8 @@ def train(trusted: DataFrame, scratch: Scratch | None = None) -> dict:
     With ``scratch`` the counts lie there, and "free" drops them once the tables have been read.
     """
     keep = scratch or cut
-    pairs = keep(trusted.select("text").mapInPandas(count_pairs, PAIRS).groupBy("u", "w").agg(F.sum("c").alias("c")))
+    counted = trusted.select("text").mapInPandas(count_pairs, PAIRS).repartition("u", "w")  # counted once; to add up before they are sent would hold many and join few
+    pairs = keep(counted.groupBy("u", "w").agg(F.sum("c").alias("c")))
     d, c = discounts(pairs, "c"), F.col("c")
     contexts = pairs.groupBy("u").agg(F.sum("c").alias("total"), F.sum(by_count(c, [F.lit(x) for x in d])).alias("given"))
     contexts = keep(contexts.select("u", "total", (F.col("given") / F.col("total")).alias("backoff")))
@@ -231,12 +232,13 @@ def count_keys(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, n
     return np.bincount(owner, minlength=len(texts)), np.bincount(text, minlength=len(texts)), keys[ok], counts[:, ok]
 
 
-def count_block(texts: list[str | None], bits: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+def count_block(texts: list[str | None], bits: np.ndarray, piece: int = PIECE >> 1) -> tuple[np.ndarray, ...]:
     """count_keys() of a block, some of its texts at a time, as counting takes many times the room of the counts."""
     parts, done = [], 0
     for some in runs(texts, piece):
         parts.append(count_keys(some, bits))
         parts[-1][-1][0] += done
+        parts[-1] = (*parts[-1][:-1], parts[-1][-1].astype(np.int32))
         done += len(some)
     return tuple(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
 
@@ -252,12 +254,14 @@ def keys_to_shards(filter_bits, shards: int, salts: int):
                 if not texts:
                     continue
                 block, salt, own = (part << 20) + nth, (part + nth) % salts, slice(at, at + len(texts))
-                tokens, pairs, keys, (text, n, as_word, as_context) = count_block(texts, filter_bits.value)
+                tokens, pairs, keys, counts = count_block(texts, filter_bits.value)
                 distinct, which = np.unique(keys, return_inverse=True)
+                del keys
                 edges = np.searchsorted(shard_of(distinct, shards), np.arange(shards + 1))
                 out = [(k + shards * salt, pack(block, k, gaps_of(distinct[a:b]))) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
-                order = np.argsort(text * max(1, len(distinct)) + which)
-                text, which, n, as_word, as_context = (x[order] for x in (text, which, n, as_word, as_context))
+                order = np.argsort(counts[0].astype(np.int64) * max(1, len(distinct)) + which)
+                (text, n, as_word, as_context), which = counts[:, order], which[order]
+                del counts, order, distinct
                 again = np.append(False, text[1:] == text[:-1])[: len(text)]
                 steps = which - np.where(again, np.roll(which, 1), 0)  # small numbers
                 out.append((-1 - block, pack(edges, np.bincount(text, minlength=len(texts)), steps, n, n - as_word, n - as_context, ids[own], langs[own], tokens, pairs)))
@@ -375,7 +379,7 @@ def score(docs: DataFrame, model: dict, shard_keys: int = 400_000, salt_bytes: i
     packed = reduce(DataFrame.union, [cut(table.groupBy("shard").applyInPandas(pack_shard, PACKED)) for table in tables])
     model["free"]()
     salts = max(1, -(-size // (rounds * (salt_bytes or TASK_BYTES * shards))))
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(packed.select("data").mapInPandas(folded_keys, "h long"), 27))  # 2 ** 27 bits at most
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(packed.select("data").mapInPandas(folded_keys, "h long"), 27, cut))  # 2 ** 27 bits at most
     packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select((F.col("key") + shards * F.col("salt")).alias("key"), "data")
     of = {f.name: f.dataType for f in docs.schema}
     schema = T.StructType([*(T.StructField(x, of[x]) for x in ("_id", "_lang")), *(T.StructField(x, T.LongType() if x in SUMS[:2] else T.DoubleType()) for x in SUMS)])
