@@ -38,6 +38,7 @@ def as_bases(text: Column, letters: dict[str, str], mark: str = "N") -> Column:
 
     @F.arrow_udf(T.StringType())
     def cleaned(texts: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()  # what batches before have left
         return pa.array([clean(t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in texts], pa.binary()).cast(pa.string())
 
     return cleaned(text)

@@ -83,6 +83,7 @@ def found(pieces: DataFrame, markers: list[str | None]) -> DataFrame:
             tables[k] = np.full(4**k, -1, np.int16)
             tables[k][[_number(h) for h in of]] = [place[h] for h in of]
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # what batches before have left
             for a, texts in lots(batch.column("chunk"), max(1, CELLS // len(markers))):
                 bits = np.zeros((len(texts), n_words * 64), np.uint8)
                 bits[:, : len(markers)] = seen_in(texts, tables)

@@ -117,6 +117,7 @@ def starts(pieces: DataFrame, bits: np.ndarray, k: int, w: int, width: int) -> D
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # what batches before have left
             data, ends = _batch(batch.column("chunk"))
             lots = np.append(0, np.flatnonzero(np.diff(ends[1:] // RUN)) + 1)
             for a, b in zip(lots, np.append(lots[1:], len(ends) - 1), strict=True):
