@@ -40,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ RUN = 1 << 22
 PIECE = 1 << 20
 PAIRS = T.StructType([T.StructField("u", T.LongType()), T.StructField("w", T.LongType()), T.StructField("c", T.LongType())])
 #: Parts in which pairs and documents are worked off, one for so much text, and this many at most.
-ROUNDS, ROUND_BYTES = 4, 1 << 24
+ROUNDS, ROUND_BYTES = 6, 1 << 24
 #: Text for which a shard is repeated.
 TASK_BYTES = 1 << 25
 SUMS = ("tokens", "pairs", "log10", "once")
@@ -95,12 +96,18 @@ def runs(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
         yield texts[a:b]
 
 
+def give_back() -> None:
+    """Returns what Arrow keeps of freed memory to the system, as a worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for run in runs(batch["text"].tolist(), PIECE):
             u, w, _ = pairs_of(run)
             each = pd.DataFrame({"u": u.view(np.int64), "w": w.view(np.int64)})
             yield each.groupby(["u", "w"]).size().reset_index(name="c")
+            give_back()
 
 
 def discounts(counts: DataFrame, c: str) -> list[float]:
@@ -170,6 +177,7 @@ def value_tables(model: dict, shard_keys: int, rounds: int = 1) -> tuple[list[Da
             h = np.where(batch["pair"].to_numpy(bool), pair_key(u, w), word_key(w))
             h &= KEPT
             yield pd.DataFrame({"h": h.view(np.int64), "shard": shard_of(h, shards), "a": batch["a"], "b": batch["b"]})
+        give_back()
 
     parts = [pairs.where(of_round(k, rounds, "u", "w")) for k in range(rounds)]
     return [part.mapInPandas(keyed, TABLE) for part in [parts[0].union(words), *parts[1:]]], shards
@@ -180,6 +188,7 @@ def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
     h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     parts = pack(gaps_of(h[order]), *(rows[x].to_numpy()[order].tobytes() for x in "ab"))
+    give_back()
     return pd.DataFrame({"key": rows["shard"].iloc[:1], "data": [parts]})
 
 
@@ -266,6 +275,8 @@ def keys_to_shards(filter_bits, shards: int, salts: int):
                 steps = which - np.where(again, np.roll(which, 1), 0)  # small numbers
                 out.append((-1 - block, pack(edges, np.bincount(text, minlength=len(texts)), steps, n, n - as_word, n - as_context, ids[own], langs[own], tokens, pairs)))
                 yield pd.DataFrame(out, columns=["key", "data"])
+                del out, text, n, as_word, as_context, which, again, steps
+                give_back()
                 nth, at = nth + 1, at + len(texts)
 
     return run
@@ -289,6 +300,7 @@ def look_up(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = np.flatnonzero(keys[at] == wanted)
         at = at[found]
         out.append((block, shard, pack(np.diff(found, prepend=0), a[at].tobytes(), b[at].tobytes())))
+    give_back()
     return pd.DataFrame(out, columns=names)
 
 
@@ -304,6 +316,7 @@ def add_up(rows: pd.DataFrame) -> pd.DataFrame:
     sums, text = np.append(0, np.cumsum(steps)), np.repeat(np.arange(len(ids)), sizes)
     key = sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
     a, b = a[key], b[key]
+    give_back()
     total = lambda x: np.bincount(text, weights=x, minlength=len(ids))
     return pd.DataFrame({
         "_id": pd.Series(ids, dtype=object), "_lang": pd.Series(langs, dtype=object), "tokens": tokens, "pairs": pairs,

@@ -593,6 +593,20 @@ def test_kneser_ney_in_rounds_with_repeated_shards(spark):
     assert len(found[0]) == len(rows) and all(x == found[0] for x in found)
 
 
+def test_kneser_ney_works_on_less_than_a_quarter_at_once(spark, monkeypatch):
+    rng = random.Random(15)
+    model = kneser_ney.train(documents(spark, [prose(rng, 40, 60) for _ in range(10)]))
+    docs = documents(spark, [prose(rng, 20, 40) for _ in range(600)]).select(F.col("doc_id").alias("_id"), F.lit("en").alias("_lang"), "text")
+    asked, of_round = [], kneser_ney.of_round
+    monkeypatch.setattr(kneser_ney, "ROUND_BYTES", 100)
+    monkeypatch.setattr(kneser_ney, "of_round", lambda k, rounds, *columns: asked.append((k, rounds, columns)) or of_round(k, rounds, *columns))
+    scored = kneser_ney.score(docs, model)
+    for columns, rows in ((("_id", "text"), docs), (("u", "w"), model["pairs"])):
+        sizes = [rows.where(of_round(*x[:2], *columns)).count() for x in asked if x[2] == columns]
+        assert sum(sizes) == rows.count() and max(sizes) < 0.24 * rows.count()
+    assert sorted(r._id for r in scored.collect()) == list(range(600))
+
+
 def test_kneser_ney_sends_a_key_once_however_many_shards(spark):
     rng = random.Random(14)
     texts = [prose(rng, 50, 200) for _ in range(60)] + ["", None]
